@@ -6,16 +6,71 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from versemill.llm import near_duplicates
+from versemill.llm import encode, lookalikes, mix, near_duplicates, spans, split_groups, split_overlap, survivors
 from versemill.plans.session import table
 
+WEB, MATERIAL, QUALITY = "tet4_web_staging_v1", "tet4_source_material_corpus_v1", "quality_fsoft_v1"
+
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, "tet4_web_staging_v1"))
+    return near_duplicates.near_duplicate_groups(table(spark, sf_dir, WEB))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(table(spark, sf_dir, WEB))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.unified(table(spark, sf_dir, WEB)).selectExpr("rec AS rec_no", "form AS text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.best_representatives(table(spark, sf_dir, MATERIAL), table(spark, sf_dir, "source_trust"))
+
+
+def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, MATERIAL), table(spark, sf_dir, "source_trust"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.cross_split_pairs(table(spark, sf_dir, QUALITY))
+
+
+def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap.overlap_report(table(spark, sf_dir, QUALITY))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_groups.torn_groups(table(spark, sf_dir, QUALITY))
+
+
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_groups.assign_splits(table(spark, sf_dir, QUALITY))
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.span_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_amount(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_shares, p8_found, p8_shared)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
