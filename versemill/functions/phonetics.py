@@ -13,7 +13,11 @@ from versemill.functions import tables as T
 
 def tone(syllable: Column) -> Column:
     """The tone of the first mark; ngang without one, unknown for an empty syllable."""
-    mark = F.regexp_extract(syllable, f"[{T.TONAL}]", 0)
+    return tone_of_mark(syllable, F.regexp_extract(syllable, f"[{T.TONAL}]", 0))
+
+
+def tone_of_mark(syllable: Column, mark: Column) -> Column:
+    """The tone of a syllable whose first character with a tone mark is known."""
     found = F.when(syllable == "", "unknown").when(mark == "", "ngang")
     for name, chars in T.OF_TONE.items():
         found = found.when(F.instr(F.lit(chars), mark) > 0, name)
@@ -43,7 +47,10 @@ def detoned(syllable: Column) -> Column:
 
 def rhyme(syllable: Column) -> Column:
     """The rhyme: without tone, onset and, before a vowel, the glide. Not for extracted rhymes."""
-    rest = F.regexp_replace(detoned(syllable), "^(" + "|".join(T.ONSETS) + ")", "")
+    return without_glide(F.regexp_replace(detoned(syllable), "^(" + "|".join(T.ONSETS) + ")", ""))
+
+
+def without_glide(rest: Column) -> Column:
     glide = (F.length(rest) > 2) & rest.rlike("^[uo][aeioâă]")
     return F.when(glide, F.substring(rest, 2, 1_000_000)).otherwise(rest)
 

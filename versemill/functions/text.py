@@ -93,15 +93,16 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, folded), lambda w: F.length(w) > 1))
 
 
-def has_phrase(haystack: Column, needle: Column) -> Column:
-    """True if the words of `needle` stand in `haystack` one after the other; false if there are none."""
-    joined = lambda a: F.concat(F.lit("\x01"), F.array_join(a, "\x01"), F.lit("\x01"))
-    return (F.size(needle) > 0) & F.contains(joined(haystack), joined(needle))
+def joined(words: Column) -> Column:
+    """Words as one string in which phrases can be looked up."""
+    return F.concat(F.lit("\x01"), F.array_join(words, "\x01"), F.lit("\x01"))
 
 
-def phrase(text: str) -> Column:
-    """The words of a literal phrase."""
-    return F.array(*[F.lit(w) for w in text.split()])
+def has_phrase(haystack: Column, needle: Column | str) -> Column:
+    """True if the words of `needle` stand in the joined words one after the other; false if there are none."""
+    if isinstance(needle, str):
+        return F.contains(haystack, F.lit("\x01" + "\x01".join(needle.split()) + "\x01"))
+    return (F.size(needle) > 0) & F.contains(haystack, joined(needle))
 
 
 def has_word(text: Column, alternatives: list[str]) -> Column:

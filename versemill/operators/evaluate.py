@@ -10,19 +10,30 @@ from versemill.functions import tables as T
 from versemill.functions import text as tx
 
 
-def _line(words: Column) -> Column:
-    """What the rules ask of one line: its length, mandatory places and how many are right, rhymes at 6 and 8."""
-    n, at = F.size(words), lambda k: F.coalesce(F.get(words, F.lit(k - 1)), F.lit(""))
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value worked out once; inside array functions nothing else shares it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sounds(words: Column) -> Column:
+    """The length of a line, the tones at its places 2, 4, 6 and 8, and the rhymes at 6 and 8."""
+    at = lambda k: F.coalesce(F.get(words, F.lit(k - 1)), F.lit(""))
+    tones = F.transform(F.array(*[at(k) for k in (2, 4, 6, 8)]), lambda w: let(F.regexp_extract(w, f"[{T.TONAL}]", 0), lambda m: ph.tone_of_mark(w, m)))
+    rhymes = F.transform(F.array(at(6), at(8)), lambda w: let(F.regexp_replace(ph.detoned(w), "^(" + "|".join(T.ONSETS) + ")", ""), ph.without_glide))
+    return F.struct(F.size(words).alias("n"), tones.alias("t"), rhymes.alias("r"))
+
+
+def _line(sounds: Column) -> Column:
+    """How many mandatory places a line has, and how many are right."""
+    n, t = sounds["n"], sounds["t"]
     yes = lambda c: c.cast("int")
-    first = yes(ph.is_bang(at(2))) + yes(ph.is_trac(at(4))) + yes(ph.is_bang(at(6)))
-    six, eight = ph.tone(at(6)), ph.tone(at(8))
-    last = F.when(six == "huyền", eight == "ngang").when(six == "ngang", eight == "huyền").otherwise(eight.isin(*T.BANG))
+    first = yes(t[0].isin(*T.BANG)) + yes(t[1].isin(*T.TRAC)) + yes(t[2].isin(*T.BANG))
+    last = F.when(t[2] == "huyền", t[3] == "ngang").when(t[2] == "ngang", t[3] == "huyền").otherwise(t[3].isin(*T.BANG))
     return F.struct(
         n.alias("n"),
         F.when(n == 6, first).when(n == 8, first + yes(last)).otherwise(0).alias("correct"),
         F.when(n == 6, 3).when(n == 8, 4).otherwise(0).alias("mandatory"),
-        F.when(n >= 6, ph.rhyme(at(6))).alias("r6"),
-        F.when(n >= 8, ph.rhyme(at(8))).alias("r8"),
+        sounds["r"].alias("r"),
     )
 
 
@@ -38,7 +49,8 @@ def evaluate(df: DataFrame, text: str = "text", expected: Column | int | None =
         raise ValueError("expected must be positive")
     ex = F.lit(expected).cast("int") if expected is None or isinstance(expected, int) else expected.cast("int")
     ex = F.when(ex <= 0, F.raise_error(F.lit("expected must be positive")).cast("int")).otherwise(ex)
-    rows = df.withColumn("_l", F.transform(tx.line_tokens(tx.nfc(F.col(text))), _line)).withColumn("_x", ex)
+    rows = df.withColumn("_l", F.transform(tx.line_tokens(tx.nfc(F.col(text))), _sounds)).withColumn("_x", ex)
+    rows = rows.withColumn("_l", F.transform("_l", _line))
     x, n = F.col("_x"), F.size("_l")
     total = lambda f: F.aggregate("_l", F.lit(0), lambda s, l: s + l[f])
     want = lambda i: F.when(i % 2 == 0, 6).otherwise(8)
@@ -52,8 +64,8 @@ def evaluate(df: DataFrame, text: str = "text", expected: Column | int | None =
     )
     rows = rows.withColumn("_e", F.when(n == 0, F.array(F.lit("empty_poem"))).otherwise(F.concat(F.array_compact(counts), bad)))
     rows = rows.withColumn("_s", F.size("_e") == 0)
-    left = lambda i: F.when(i % 2 == 0, F.col("_l")[i]["r6"]).otherwise(F.col("_l")[i]["r8"])
-    kinds = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.coalesce(ph.rhyme_kind_extracted(left(i), F.col("_l")[i + 1]["r6"]), F.lit("mismatch")))
+    rows = rows.withColumn("_p", F.transform(F.slice("_l", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda l, i: F.struct(l["r"][i % 2].alias("a"), F.col("_l")[i + 1]["r"][0].alias("b"))))
+    kinds = F.transform("_p", lambda p: F.coalesce(ph.rhyme_kind_extracted(p["a"], p["b"]), F.lit("mismatch")))
     rows = rows.withColumn("_k", F.when(F.col("_s") & (n >= 2), kinds).otherwise(F.array().cast("array<string>")))
     share = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * a, b))
     of = lambda k: share(F.size(F.filter("_k", lambda v: v == k)), F.size("_k"))
@@ -69,7 +81,7 @@ def evaluate(df: DataFrame, text: str = "text", expected: Column | int | None =
         (F.col("_s") & (m["scr"] == 100) & (m["tcr"] == 100) & (rma == 100)).alias("is_valid"),
         F.col("_s").alias("structure_ok"), F.col("_e").alias("errors"), n.alias("num_lines"), F.col("_k").alias("rhyme_kinds"),
     )
-    return rows.withColumn(out, F.when(F.col(text).isNotNull(), scores)).drop("_l", "_x", "_ok", "_e", "_s", "_k", "_m")
+    return rows.withColumn(out, F.when(F.col(text).isNotNull(), scores)).drop("_l", "_x", "_ok", "_e", "_s", "_p", "_k", "_m")
 
 
 def longest_run(tokens: Column) -> Column:

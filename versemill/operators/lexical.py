@@ -51,26 +51,27 @@ def assess(df: DataFrame, text: str = "text", keywords: str | None = None) -> Da
     return rows.withColumn("hard_fail", (F.size("orphans") > 0) | (F.size("truncated") > 0))
 
 
-def recipients(intent: Column) -> Column:
-    """The groups of people a wish names, in fixed order; con cháu only right after the verb."""
-    words = tx.tokens(tx.nfc(intent))
+def recipients(words: Column) -> Column:
+    """The groups of people the joined words of a wish name, in fixed order; con cháu only right after the verb."""
     found = []
     for name in T.RECIPIENTS:
-        here = tx.has_phrase(words, tx.phrase(name))
+        here = tx.has_phrase(words, name)
         if name == "con cháu":
-            here = here & (tx.has_phrase(words, tx.phrase("chúc con cháu")) | tx.has_phrase(words, tx.phrase("chúc cho con cháu")))
+            here = here & (tx.has_phrase(words, "chúc con cháu") | tx.has_phrase(words, "chúc cho con cháu"))
         found.append(F.when(here, name))
     return F.array_compact(F.array(*found))
 
 
 def _first_alias(words: Column, aliases: list[str]) -> Column:
-    return F.coalesce(*[F.when(tx.has_phrase(words, tx.phrase(a)), a) for a in aliases])
+    return F.coalesce(*[F.when(tx.has_phrase(words, a), a) for a in aliases])
 
 
 def coverage(df: DataFrame, text: str, intent: str, keywords: str) -> DataFrame:
     """`df` with `coverage`: counts of exact and looser keyword hits, recipients named, and the reasons
     against acceptance; a poem is one list of words, so phrases run over line ends."""
-    rows = df.withColumn("_w", F.coalesce(tx.tokens(tx.nfc(F.col(text))), F.array().cast("array<string>"))).withColumn("_r", recipients(F.col(intent)))
+    none = F.array().cast("array<string>")
+    rows = df.withColumn("_w", tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(text))), none)))
+    rows = rows.withColumn("_r", tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(intent))), none))).withColumn("_r", recipients(F.col("_r")))
     w = F.col("_w")
     matched = {name: _first_alias(w, aliases) for name, aliases in T.RECIPIENTS.items()}
     missing = F.array_compact(F.array(*[F.when(F.array_contains("_r", name) & m.isNull(), name) for name, m in matched.items()]))
@@ -78,7 +79,6 @@ def coverage(df: DataFrame, text: str, intent: str, keywords: str) -> DataFrame:
     keys = F.transform(F.col(keywords), lambda k: tx.tokens(k))
     rows = rows.withColumn("_k", F.coalesce(keys, F.array().cast("array<array<string>>")))
     exact = F.filter("_k", lambda k: tx.has_phrase(w, k))
-    alias = F.lit(None).cast("string")
     loose = F.array_compact(F.array(*[F.when(_first_alias(w, a).isNotNull(), name) for name, a in T.KEYWORD_ALIASES.items()]))
     rows = rows.withColumn("_loose", loose)
     semantic = F.filter("_k", lambda k: tx.has_phrase(w, k) | F.array_contains("_loose", F.array_join(k, " ")))
