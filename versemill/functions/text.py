@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -93,6 +93,17 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(found, folded), lambda w: F.length(w) > 1))
 
 
+def settle(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with the columns, worked out once for each row.
+
+    The optimizer merges neighbouring projections and copies array expressions into every use; it does
+    not merge over a generator, and one of a single element costs neither a shuffle nor a row.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_settled")
+    return df.select(*kept, made).select(*kept, *[F.col("_settled")[n].alias(n) for n in columns])
+
+
 def joined(words: Column) -> Column:
     """Words as one string in which phrases can be looked up."""
     return F.concat(F.lit("\x01"), F.array_join(words, "\x01"), F.lit("\x01"))

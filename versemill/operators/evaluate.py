@@ -49,28 +49,29 @@ def evaluate(df: DataFrame, text: str = "text", expected: Column | int | None =
         raise ValueError("expected must be positive")
     ex = F.lit(expected).cast("int") if expected is None or isinstance(expected, int) else expected.cast("int")
     ex = F.when(ex <= 0, F.raise_error(F.lit("expected must be positive")).cast("int")).otherwise(ex)
-    rows = df.withColumn("_l", F.transform(tx.line_tokens(tx.nfc(F.col(text))), _sounds)).withColumn("_x", ex)
-    rows = rows.withColumn("_l", F.transform("_l", _line))
+    rows = tx.settle(df, _l=F.transform(tx.line_tokens(tx.nfc(F.col(text))), _sounds), _x=ex)
+    rows = tx.settle(rows, _l=F.transform("_l", _line))
     x, n = F.col("_x"), F.size("_l")
     total = lambda f: F.aggregate("_l", F.lit(0), lambda s, l: s + l[f])
     want = lambda i: F.when(i % 2 == 0, 6).otherwise(8)
     fits = lambda l, i: (x.isNull() | (i < x)) & ~(x.isNull() & (n % 2 == 1) & (i == n - 1)) & (l["n"] == want(i))
-    rows = rows.withColumn("_ok", F.transform("_l", fits))
+    rows = tx.settle(rows, _ok=F.transform("_l", fits))
     bad = F.filter(F.transform("_ok", lambda ok, i: F.when(~ok, F.format_string("line_%d_expected_%d", i + 1, want(i)))), lambda e: e.isNotNull())
     counts = F.array(
         F.when(n % 2 == 1, "incomplete_couplet"),
         F.when(x.isNotNull() & (n != x), "line_count_mismatch"),
         F.when(x.isNotNull() & (x % 2 == 1), "odd_expected_num_lines"),
     )
-    rows = rows.withColumn("_e", F.when(n == 0, F.array(F.lit("empty_poem"))).otherwise(F.concat(F.array_compact(counts), bad)))
+    rows = tx.settle(rows, _e=F.when(n == 0, F.array(F.lit("empty_poem"))).otherwise(F.concat(F.array_compact(counts), bad)))
     rows = rows.withColumn("_s", F.size("_e") == 0)
-    rows = rows.withColumn("_p", F.transform(F.slice("_l", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda l, i: F.struct(l["r"][i % 2].alias("a"), F.col("_l")[i + 1]["r"][0].alias("b"))))
+    pairs = F.transform(F.slice("_l", F.lit(1), F.greatest(n - 1, F.lit(0))), lambda l, i: F.struct(l["r"][i % 2].alias("a"), F.col("_l")[i + 1]["r"][0].alias("b")))
+    rows = tx.settle(rows, _p=pairs)
     kinds = F.transform("_p", lambda p: F.coalesce(ph.rhyme_kind_extracted(p["a"], p["b"]), F.lit("mismatch")))
-    rows = rows.withColumn("_k", F.when(F.col("_s") & (n >= 2), kinds).otherwise(F.array().cast("array<string>")))
+    rows = tx.settle(rows, _k=F.when(F.col("_s") & (n >= 2), kinds).otherwise(F.array().cast("array<string>")))
     share = lambda a, b: F.when(b == 0, F.lit(0.0)).otherwise(F.try_divide(F.lit(100.0) * a, b))
     of = lambda k: share(F.size(F.filter("_k", lambda v: v == k)), F.size("_k"))
     slots = F.when(n == 0, F.coalesce(x, F.lit(0))).otherwise(F.greatest(n, F.coalesce(x, n)))
-    rows = rows.withColumn("_m", F.struct(share(F.size(F.filter("_ok", lambda v: v)), slots).alias("scr"), share(total("correct"), total("mandatory")).alias("tcr"), of("exact").alias("exact"), of("slant").alias("slant")))
+    rows = tx.settle(rows, _m=F.struct(share(F.size(F.filter("_ok", lambda v: v)), slots).alias("scr"), share(total("correct"), total("mandatory")).alias("tcr"), of("exact").alias("exact"), of("slant").alias("slant")))
     m = F.col("_m")
     rma = m["exact"] + m["slant"]
     weights = T.METRIC_WEIGHTS
@@ -81,7 +82,7 @@ def evaluate(df: DataFrame, text: str = "text", expected: Column | int | None =
         (F.col("_s") & (m["scr"] == 100) & (m["tcr"] == 100) & (rma == 100)).alias("is_valid"),
         F.col("_s").alias("structure_ok"), F.col("_e").alias("errors"), n.alias("num_lines"), F.col("_k").alias("rhyme_kinds"),
     )
-    return rows.withColumn(out, F.when(F.col(text).isNotNull(), scores)).drop("_l", "_x", "_ok", "_e", "_s", "_p", "_k", "_m")
+    return tx.settle(rows, **{out: F.when(F.col(text).isNotNull(), scores)}).drop("_l", "_x", "_ok", "_e", "_s", "_p", "_k", "_m")
 
 
 def longest_run(tokens: Column) -> Column:

@@ -44,10 +44,9 @@ def guard_tokens_of(keyword: Column) -> Column:
 
 def assess(df: DataFrame, text: str = "text", keywords: str | None = None) -> DataFrame:
     """`df` with `orphans`, `truncated` and `hard_fail`; only certain errors count. Null texts have none."""
-    rows = df.withColumn("_g", F.coalesce(guard_tokens(F.col(text)), F.array().cast("array<string>")))
-    rows = rows.withColumn("orphans", orphan_vowels(F.col("_g")))
+    rows = tx.settle(df, _g=F.coalesce(guard_tokens(F.col(text)), F.array().cast("array<string>")))
     cut = truncated_keywords(F.col("_g"), F.transform(keywords, lambda k: k)) if keywords else F.array().cast("array<string>")
-    rows = rows.withColumn("truncated", F.coalesce(cut, F.array().cast("array<string>"))).drop("_g")
+    rows = tx.settle(rows, orphans=orphan_vowels(F.col("_g")), truncated=F.coalesce(cut, F.array().cast("array<string>"))).drop("_g")
     return rows.withColumn("hard_fail", (F.size("orphans") > 0) | (F.size("truncated") > 0))
 
 
@@ -70,23 +69,23 @@ def coverage(df: DataFrame, text: str, intent: str, keywords: str) -> DataFrame:
     """`df` with `coverage`: counts of exact and looser keyword hits, recipients named, and the reasons
     against acceptance; a poem is one list of words, so phrases run over line ends."""
     none = F.array().cast("array<string>")
-    rows = df.withColumn("_w", tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(text))), none)))
-    rows = rows.withColumn("_r", tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(intent))), none))).withColumn("_r", recipients(F.col("_r")))
+    rows = tx.settle(df, _w=tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(text))), none)), _r=tx.joined(F.coalesce(tx.tokens(tx.nfc(F.col(intent))), none)))
+    rows = tx.settle(rows, _r=recipients(F.col("_r")))
     w = F.col("_w")
     matched = {name: _first_alias(w, aliases) for name, aliases in T.RECIPIENTS.items()}
     missing = F.array_compact(F.array(*[F.when(F.array_contains("_r", name) & m.isNull(), name) for name, m in matched.items()]))
-    rows = rows.withColumn("_miss", F.coalesce(missing, F.array().cast("array<string>")))
+    rows = tx.settle(rows, _miss=F.coalesce(missing, none))
     keys = F.transform(F.col(keywords), lambda k: tx.tokens(k))
-    rows = rows.withColumn("_k", F.coalesce(keys, F.array().cast("array<array<string>>")))
+    rows = tx.settle(rows, _k=F.coalesce(keys, F.array().cast("array<array<string>>")))
     exact = F.filter("_k", lambda k: tx.has_phrase(w, k))
     loose = F.array_compact(F.array(*[F.when(_first_alias(w, a).isNotNull(), name) for name, a in T.KEYWORD_ALIASES.items()]))
-    rows = rows.withColumn("_loose", loose)
+    rows = tx.settle(rows, _loose=loose)
     semantic = F.filter("_k", lambda k: tx.has_phrase(w, k) | F.array_contains("_loose", F.array_join(k, " ")))
-    rows = rows.withColumn("_c", F.struct(F.size(exact).alias("exact"), F.size(semantic).alias("semantic"), F.least(F.lit(2), F.size("_k")).alias("minimum")))
+    rows = tx.settle(rows, _c=F.struct(F.size(exact).alias("exact"), F.size(semantic).alias("semantic"), F.least(F.lit(2), F.size("_k")).alias("minimum")))
     c = F.col("_c")
     reasons = F.array(F.when(F.size("_miss") > 0, "missing_recipient"), F.when(c["exact"] < 1, "no_exact_keyword"), F.when(c["semantic"] < c["minimum"], "insufficient_semantic_keywords"))
     out = F.struct(c["exact"].alias("exact_count"), c["semantic"].alias("semantic_count"), c["minimum"].alias("minimum"), F.col("_r").alias("recipients"), F.col("_miss").alias("missing"), F.array_compact(reasons).alias("reasons"))
-    return rows.withColumn("coverage", out).drop("_w", "_r", "_miss", "_k", "_loose", "_c")
+    return tx.settle(rows, coverage=out).drop("_w", "_r", "_miss", "_k", "_loose", "_c")
 
 
 def acceptance(df: DataFrame) -> DataFrame:

@@ -13,10 +13,10 @@ from versemill.operators.lexical import assess
 
 def components(df: DataFrame, text: str, keywords: str, target: Column, cliches: list[str]) -> DataFrame:
     """`df` with `ev` and `parts`: evaluator, diversity, cliche, keyword and length, each within [-1, 1]."""
-    rows = evaluate(df, text, target).withColumn("_s", F.coalesce(F.flatten(tx.line_tokens(tx.nfc(F.col(text)))), F.array().cast("array<string>")))
+    rows = tx.settle(evaluate(df, text, target), _s=F.coalesce(F.flatten(tx.line_tokens(tx.nfc(F.col(text)))), F.array().cast("array<string>")))
     s = F.col("_s")
     pairs = F.transform(F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), s[i + 1]))
-    rows = rows.withColumn("_b", pairs)
+    rows = tx.settle(rows, _b=pairs)
     low = F.lower(F.col(text))
     hits = sum((F.contains(low, F.lit(c.strip().lower())).cast("int") for c in cliches if c.strip()), F.lit(0))
     keys = F.transform(F.col(keywords), lambda k: tx.tokens(k))
@@ -29,7 +29,7 @@ def components(df: DataFrame, text: str, keywords: str, target: Column, cliches:
         F.when(keyed, F.try_divide(F.size(found).cast("double"), F.size(F.col(keywords)))).otherwise(0.5).alias("keyword"),
         F.when(F.coalesce(target, F.lit(0)) <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.col("ev")["num_lines"] - target))).alias("length"),
     )
-    return rows.withColumn("parts", parts).drop("_s", "_b")
+    return tx.settle(rows, parts=parts).drop("_s", "_b")
 
 
 def total(parts: Column, weights: dict[str, float] | None = None, more: dict[str, Column] | None = None) -> Column:
