@@ -82,14 +82,14 @@ def poem_text(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without any accent, đ as d; for loose matching only."""
-    bare = F.translate(nfc(F.lower(text)), *T.UNACCENT)
+    """Lower case without any accent, đ as d, of a text in NFC; for loose matching only."""
+    bare = F.translate(F.lower(text), *T.UNACCENT)
     return F.translate(F.regexp_replace(bare, r"[\x{300}-\x{36f}]", ""), "đ", "d")
 
 
 def terms(text: Column) -> Column:
     """The distinct folded words longer than one character."""
-    found = F.regexp_extract_all(text, F.lit(T.WORD_ANY), F.lit(0))
+    found = F.regexp_extract_all(nfc(text), F.lit(T.WORD_ANY), F.lit(0))
     return F.array_distinct(F.filter(F.transform(found, folded), lambda w: F.length(w) > 1))
 
 
