@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from versemill.llm import encode, lookalikes, mix, near_duplicates, spans, split_groups, split_overlap, survivors
+from versemill.plans import sql as S
 from versemill.plans.session import table
 
 WEB, MATERIAL, QUALITY = "tet4_web_staging_v1", "tet4_source_material_corpus_v1", "quality_fsoft_v1"
@@ -73,5 +74,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+def _p3() -> str:
+    """The definition itself, with each field's test written out."""
+    author = f"regexp_replace(lower(author), '^[\\s()\\[\\]<>\".:'']+|[\\s()\\[\\]<>\":'']+$', '', 'g')"
+    author = f"coalesce(regexp_matches({author}, '[\\pL\\pN]') AND {author} NOT IN ({', '.join(S.q(x) for x in survivors.NOBODY)}), false)"
+    url = "coalesce(regexp_matches(lower(url), '^\\s*https?://[^\\s/?#]*[a-z0-9]'), false)"
+    refs = "coalesce(len(list_filter(source_refs, lambda r: coalesce(trim(r.source_id), '') <> '' OR coalesce(trim(r.url), '') <> '')) > 0, false)"
+    rows = f"SELECT rec_no, lower({S.strip('nfc_normalize(text)')}) AS m, {author} AS a, {url} AS u, {refs} AS r, coalesce(t.trust, -1) AS trust, ingested_at AS w FROM {MATERIAL} s LEFT JOIN source_trust t USING (source_id) WHERE text IS NOT NULL"
+    order = "trust DESC, w DESC NULLS LAST, rec_no"
+    first = lambda test: f"coalesce((list(rec_no ORDER BY {order}) FILTER ({test}))[1], 0)"
+    return f"SELECT min(rec_no) AS group_no, (list(rec_no ORDER BY a::INT + u::INT + r::INT DESC, {order}))[1] AS best_no, {first('a')} AS author_no, {first('u')} AS url_no FROM ({rows}) GROUP BY m HAVING count(*) > 1"
+
+
+def _related() -> str:
+    """(rec_no, split, group_no): everything reached from a record by shared entities."""
+    bare = lambda c, prefix: f"regexp_replace(regexp_replace(lower({c}), '\\s+', '', 'g'), '^{prefix}', '')"
+    nothing = ", ".join(S.q(x) for x in split_groups.NOTHING)
+    split = "MAP {" + ", ".join(f"{S.q(k)}: {S.q(v)}" for k, v in split_groups.SPLITS.items()) + "}[regexp_replace(lower(split), '\\s+', '', 'g')]"
+    return f"""n AS (SELECT rec_no, {split} AS split, CASE WHEN {bare('duplicate_cluster', 'cluster-')} NOT IN ({nothing}) THEN 'c' || {bare('duplicate_cluster', 'cluster-')} END AS c, CASE WHEN {bare('work_id', 'fsoft:')} NOT IN ({nothing}) THEN 'w' || {bare('work_id', 'fsoft:')} END AS w FROM {QUALITY}),
+l AS (SELECT DISTINCT c AS a, w AS b FROM n WHERE c IS NOT NULL AND w IS NOT NULL), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+reach AS (SELECT x AS node, x AS seen FROM (SELECT c AS x FROM n WHERE c IS NOT NULL UNION SELECT w FROM n WHERE w IS NOT NULL) UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.seen),
+h AS (SELECT node, min(seen) AS of FROM reach GROUP BY node), g AS (SELECT rec_no, split, coalesce(h.of, 'r' || rec_no) AS of FROM n LEFT JOIN h ON h.node = coalesce(n.c, n.w)),
+t AS (SELECT rec_no, split, min(rec_no) OVER (PARTITION BY of) AS group_no FROM g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the problems that plain SQL can state; the others are tested against brute force."""
+    related = _related()
+    point = "(('0x' || substr(sha256('split:' || group_no), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+    grams = "SELECT DISTINCT doc_id, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)"
+    return {
+        "p3_found": _p3(),
+        "p5_found": f"WITH RECURSIVE {related} SELECT DISTINCT rec_no, group_no FROM t WHERE group_no IN (SELECT group_no FROM t GROUP BY 1 HAVING count(DISTINCT split) > 1)",
+        "p5_splits": f"WITH RECURSIVE {related} SELECT rec_no, group_no, CASE WHEN {point} < 0.8 THEN 'train' WHEN {point} < 0.9 THEN 'dev' ELSE 'test' END AS new_split FROM t",
+        "p8_found": f"WITH g AS ({grams}) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id",
+    }
