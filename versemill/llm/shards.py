@@ -92,6 +92,9 @@ def _columns(batch: pa.RecordBatch, name: str = "terms") -> tuple[np.ndarray, np
 
 
 _ENTRY = "shard long, rec long, n int, low long, high long"
+#: As an extra column: the place of the shard's word in the order of the row; with two words, the place of
+#: the second less one, which bounds what they and the words after them can add no less.
+PLACE = "place"
 
 
 def _entries(reps: DataFrame, common, words: int, extra: list[str]) -> DataFrame:
@@ -118,13 +121,14 @@ def _entries(reps: DataFrame, common, words: int, extra: list[str]) -> DataFrame
                 of = row[at]
                 shard = fp.mix(parent[of] ^ fp.mix(terms[at]))
             take = pa.array(of)
+            made = {PLACE: pa.array((place[at] - words + 1).astype(np.int32))}
             yield pa.RecordBatch.from_arrays(
                 [pa.array(shard.view(np.int64)), batch.column(0).take(take), pa.array(n[of].astype(np.int32)), pa.array(low[of].view(np.int64)), pa.array(high[of].view(np.int64))]
-                + [batch.column(batch.schema.get_field_index(x)).take(take) for x in extra],
+                + [made[x] if x in made else batch.column(batch.schema.get_field_index(x)).take(take) for x in extra],
                 ["shard", "rec", "n", "low", "high", *extra],
             )
 
-    schema = _ENTRY + "".join(f", {x} {reps.schema[x].dataType.simpleString()}" for x in extra)
+    schema = _ENTRY + "".join(f", {x} {'int' if x == PLACE else reps.schema[x].dataType.simpleString()}" for x in extra)
     return reps.mapInArrow(run, schema)
 
 
@@ -135,15 +139,15 @@ def shards(reps: DataFrame, common, limit: int = LIMIT, extra: list[str] = []) -
     blocks i and j, `own` being the block of the row: rows of one part are to be compared if i = j
     or their blocks differ.
     """
-    reps = reps.select("rec", "n", "terms", *extra)
-    one = _entries(reps.select("rec", "terms", *extra), common, 1, extra)
+    kept = ["rec", "terms", *[x for x in extra if x != PLACE]]
+    one = _entries(reps.select(*kept), common, 1, extra)
     none = [F.lit(0).alias(x) for x in ("i", "j", "own")]
     small = lambda d: d.select("shard", *none, "rec", "n", "low", "high", *extra)
     large = cut(one.groupBy("shard").count().where(F.col("count") > limit), "large")
     if large.isEmpty():
         return small(one)
     parted = one.join(large, "shard", "left_semi").select("rec", F.col("shard").alias("parent"))
-    two = _entries(reps.select("rec", "terms", *extra).join(parted, "rec"), common, 2, extra)
+    two = _entries(reps.select(*kept).join(parted, "rec"), common, 2, extra)
     huge = cut(two.groupBy("shard").count().where(F.col("count") > limit), "huge")
     blocks = F.ceil(F.col("count") / limit).cast("int")
     own = F.pmod(F.xxhash64("rec"), blocks).cast("int")

@@ -4,11 +4,12 @@ A text is a vector over its terms (the k-th occurrence of a word is a term of it
 length one, so each of its n terms has the weight n ** -0.5. Near-duplicates have
 common >= 0.7 * max(n, m), hence a cosine common / sqrt(n * m) of at least 0.7.
 
-Only the rarest terms of a vector enter the inverted lists: as long as what is left out can't reach
-the threshold with any vector. Two bounds say so: its norm, as no dot product exceeds the norms
-(residual norm), and its weight times the greatest weight a partner can have (maximum weight; a
-partner that reaches the threshold has at least 0.7 n terms). Within a list, pairs whose residual
-norms after the matched term are too small are left, then pairs whose fingerprints show that the dot
+Only the rarest terms of a vector enter the inverted lists: the others are left out as long as they
+alone can't reach the threshold with any vector. A partner that reaches it has at least 0.7 n terms, so
+its weights are at most (0.7 n) ** -0.5 (maximum weight), and the left-out terms times that weight stay
+below it. Within a list a pair is left if the product of the matched weights and of the norms of what
+follows in both vectors (residual norms) can't reach the threshold; at the first term that a pair has
+in common that bound is sound, so no pair is lost. Then pairs go whose fingerprints show that the dot
 product is too small. What remains gets its exact dot product.
 """
 
@@ -29,9 +30,10 @@ from versemill.plans.lineage import cut
 TRAIN, EVAL = 1, 2
 
 
-def cosine_bound(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """The greatest cosine of vectors of n and m equal weights whose fingerprints differ in so many bits."""
-    return (n + m - distance) / 2 / np.sqrt(n * m)
+def residual_bound(n: np.ndarray, m: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The greatest dot product of unit vectors of n and m equal weights whose first common terms stand at
+    places i and k: the matched weights, and the norms of what follows."""
+    return (1 + np.sqrt((n - i - 1) * (m - k - 1))) / np.sqrt(n * m)
 
 
 def _lists(c: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -41,14 +43,14 @@ def _lists(c: dict[str, np.ndarray]) -> Iterator[tuple]:
     if not train.size or not held.size:
         return
     bits = fp.Bits(c["low"].view(np.uint64), c["high"].view(np.uint64), c["n"].astype(np.int64))
-    n = bits.n
+    n, place = bits.n, c[sh.PLACE].astype(np.float32)
     step = max(1, bits.ROWS // held.size)
     for s in range(0, train.size, step):
         x = train[s : s + step]
-        # maximum weight: of vectors of equal weights, the shorter one bounds the dot product
-        d = bits.distance(x, held).astype(np.int64)
-        big = np.maximum(n[x][:, None], n[held][None, :])
-        a, b = np.nonzero((n[x][:, None] + n[held][None, :] - d) * 10 >= 2 * fp.SHARE * big)
+        nx, nh = n[x][:, None].astype(np.float32), n[held][None, :].astype(np.float32)
+        least = fp.SHARE / 10 * np.maximum(nx, nh)  # common terms that a pair needs
+        can = residual_bound(nx, nh, place[x][:, None], place[held][None, :]) * np.sqrt(nx * nh) >= least - 1e-3
+        a, b = np.nonzero(can & (nx + nh - bits.distance(x, held) >= 2 * least - 1e-3))
         p, q = x[a], held[b]
         ok = c["rec"][p] != c["rec"][q]
         if blocks:
@@ -67,7 +69,7 @@ def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) ->
     members = cut(members.join(side.where("side IS NOT NULL"), "rec").distinct(), "sided")
     reps = reps.join(members.groupBy(F.col("rep").alias("rec")).agg(F.bit_or("side").alias("sides")), "rec")
     common = sh.common_terms(reps)
-    entries = sh.shards(reps, common, limit, ["sides"])
+    entries = sh.shards(reps, common, limit, ["sides", sh.PLACE])
     found = sh.by_shard(entries, _lists, "a long, b long").distinct()
     near = exact_overlap(found, reps).where(F.col("common") * 10 >= F.greatest("na", "nb") * fp.SHARE)
     return members, cut(near.select("a", "b"), "links")
