@@ -207,3 +207,24 @@ def decode_verify(spark, sf_dir):
     ends = ln.line_table(table(spark, sf_dir, WEB), "rec_no").select(F.element_at("tk", -1).alias("id")).distinct()
     rows = ends.select("id", F.lit(0).alias("root"), F.filter(F.split("id", ""), lambda c: c != "").alias("tokens"))
     return tr.verify(rows, tr.nodes(sequences(spark, sf_dir)))
+
+
+@query()
+def page_select(spark, sf_dir):
+    """Documents as pages: season windows judged, overlaps and repeats dropped, accepted or for review."""
+    from versemill.operators import web
+    from versemill.plans.verse_queries import gated_windows
+
+    return web.select_windows(gated_windows(spark, sf_dir))
+
+
+@query()
+def decode_trace(spark, sf_dir):
+    """Every window as a sequence of characters: what a decoder over the rhyme dictionary would have
+    allowed, and the penalties of its tones and rhymes, summed by window."""
+    from versemill.operators import decode
+
+    clean = F.lower(F.regexp_replace(tx.nfc(F.col("text")), r"[^\p{L}\n ]+", ""))
+    rows = table(spark, sf_dir, WEB).where("text IS NOT NULL").select(F.col("rec_no").alias("id"), F.filter(F.split(clean, ""), lambda c: c != "").alias("tokens"))
+    found = decode.traced(rows, tr.nodes(sequences(spark, sf_dir)))
+    return found.groupBy("id").agg(F.count("*").alias("steps"), F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum("penalty").alias("penalty"))
