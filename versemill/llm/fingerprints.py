@@ -103,6 +103,8 @@ class Bits:
 
     def _cross(self, i: np.ndarray, j: np.ndarray, reach: int, same: bool):
         step = max(1, self.ROWS // max(1, j.size))
+        if same:
+            step = min(step, max(32, j.size // 8))  # so that few pairs are looked at from both sides
         for s in range(0, i.size, step):
             other = j[s:] if same else j
             a, b = np.nonzero(self.distance(i[s : s + step], other) <= reach)
