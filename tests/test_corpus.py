@@ -97,6 +97,19 @@ def test_metadata_faults(spark):
     assert (got[0].wish_intent, got[0].fault) == ("Chúc ông bà: chúc vui", None) and [m.fault for m in got[1:]] == ["wish_intent", "keywords", "num_lines", "protocol_version"]
 
 
+def test_topics_answers_and_manifests(spark):
+    one = lambda c, t: spark.createDataFrame([(t,)], "t string").select(c(F.col("t")).alias("v")).first().v
+    assert one(ag.request_topic, " Viết bài thơ lục bát 6 câu về mùa xuân..") == "mùa xuân"
+    assert one(ag.clean_output, "a</think>b</think> ... nghe mưa") == "Nghe mưa" and one(ag.clean_output, "") == ""
+    cols = "id string, prompt string, wish_intent string, recipient string, keywords array<string>, num_lines int, protocol_version string"
+    rows = [("a", "p", "w", None, ["x", "y"], 4, None), ("b", " ", "w", None, ["x", "y"], 4, None), ("c", "p", "w", None, ["x"], 4, None), ("d", "p", "w", None, ["x", "y"], 4, None), ("d", "p", "w", None, ["x", "y"], 4, None)]
+    df = spark.createDataFrame(rows, cols)
+    assert {(r.id, r.fault) for r in ag.manifest_faults(df, F.lit("tet4-v1"), F.lit("dev"), "dev").collect()} == {("b", "prompt"), ("c", "keywords"), ("d", "repeated_id")}
+    assert {r.fault for r in ag.manifest_faults(df, F.lit("v0"), F.lit("dev")).collect()} == {"version"}
+    text = df.select(ag.coverage_instruction(F.array(F.lit("ông bà")), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("v")).first().v
+    assert text == "Ràng buộc nội dung: phải nhắc rõ ông bà; phải dùng nguyên văn ít nhất một từ khoá: a, b, c; phải phủ ít nhất 2/3 ý từ khoá; phần còn lại được paraphrase."
+
+
 def test_audits_and_tallies(spark):
     rows = [("4", "3", "0", "accept")] * 8 + [("2", "2", "1", "reject")] * 2 + [("9", "x", "0", "accept")]
     r = au.audit_summary(spark.createDataFrame(rows, "a string, b string, c string, d string"), "a", "b", "c", "d").first()

@@ -54,6 +54,44 @@ def extract_poem(raw: Column, most: int = 8) -> Column:
     return F.array_join(F.slice(lines, 1, most), "\n")
 
 
+def request_topic(prompt: Column) -> Column:
+    """What a request is about: without the opening, the number of lines, the verb and full stops at its end."""
+    text = tx.strip(prompt)
+    text = tx.strip(F.regexp_replace(text, "(?iu)^viết bài thơ lục bát", ""))
+    text = F.regexp_replace(text, f"(?iu)^[0-9]+{T.WS}*(?:câu|dòng){T.WS}*", "")
+    text = F.regexp_replace(text, f"(?iu)^(?:về|tả|nhớ){T.WS}+", "")
+    return F.regexp_replace(text, r"\.+$", "")
+
+
+def clean_output(raw: Column) -> Column:
+    """A model's answer after its thoughts, without stray signs at its head, its first letter in upper case."""
+    text = tx.strip(F.regexp_replace(tx.strip(raw), "(?s)^.*</think>", ""))
+    text = F.regexp_replace(text, f"(?iu)^(nghèn|nghẹn|nghẽn|[^\\p{{L}}\\p{{N}}_\\x{{c0}}-\\x{{1ef9}}\t-\r\x1c-\x20]+){T.WS}*", "")
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
+
+
+def manifest_faults(prompts: DataFrame, version: Column, split: Column, wanted_split: str | None = None) -> DataFrame:
+    """(id, fault): what is wrong with the prompts (id, prompt, wish_intent, recipient, keywords, num_lines,
+    protocol_version) of a manifest; no rows for a sound one. A manifest without prompts is not sound
+    either, which its empty table says."""
+    m = normalize_metadata(*[F.col(c) for c in ("wish_intent", "recipient", "keywords", "num_lines", "protocol_version")])
+    rows = tx.settle(prompts.withColumn("_n", F.count("*").over(Window.partitionBy("id"))), m=m, version=version, split=split)
+    blank = lambda c: tx.squeeze(F.coalesce(c, F.lit(""))) == ""
+    fault = F.when(F.coalesce("version", F.lit("")) != "tet4-v1", "version")
+    if wanted_split is not None:
+        fault = fault.when(F.coalesce("split", F.lit("")) != wanted_split, "split")
+    fault = fault.when(blank(F.col("id")), "id").when(F.col("_n") > 1, "repeated_id").when(blank(F.col("prompt")), "prompt").otherwise(F.col("m.fault"))
+    return rows.select("id", fault.alias("fault")).where("fault IS NOT NULL").distinct()
+
+
+def coverage_instruction(recipients: Column, keywords: Column) -> Column:
+    """What a prompt says about the people and keywords that a poem has to name."""
+    named = F.when(F.size(recipients) > 0, F.concat(F.lit("phải nhắc rõ "), F.array_join(recipients, ", ")))
+    exact = F.concat(F.lit("phải dùng nguyên văn ít nhất một từ khoá: "), F.array_join(keywords, ", "))
+    loose = F.format_string("phải phủ ít nhất %d/%d ý từ khoá; phần còn lại được paraphrase", F.least(F.lit(2), F.size(keywords)), F.size(keywords))
+    return F.concat(F.lit("Ràng buộc nội dung: "), F.concat_ws("; ", named, exact, loose), F.lit("."))
+
+
 def title_topic(title: Column) -> Column:
     """A title as topic; the genre where there is none; 160 characters at most."""
     text = tx.squeeze(F.coalesce(title, F.lit("")))

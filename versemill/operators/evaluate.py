@@ -113,10 +113,11 @@ def prosody_trace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     and six places back, so the automaton is read off by offset instead of being run.
     """
     flat = F.flatten(tx.line_tokens(tx.nfc(F.col(text))))
-    rows = df.select(F.col(key).alias("id"), flat.alias("t")).select("id", "t", F.posexplode("t").alias("i", "syllable"))
-    back = lambda k: F.get("t", F.col("i") - k)
+    rows = tx.settle(df.select(F.col(key).alias("id"), F.col(text)), t=flat)
+    near = F.transform("t", lambda w, i: F.struct(w.alias("w"), F.get("t", i - 2).alias("two"), F.get("t", i - 6).alias("six")))
+    rows = rows.select("id", F.posexplode(near).alias("i", "n")).select("id", "i", F.col("n.w").alias("syllable"), F.col("n.two").alias("two"), F.col("n.six").alias("six"))
     p = F.col("i") % 14
-    two_back = ph.tone(back(2))
+    two_back = ph.tone(F.col("two"))
     return rows.select(
         "id",
         "i",
@@ -126,7 +127,7 @@ def prosody_trace(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.when(p < 6, "luc").otherwise("bat").alias("line_type"),
         F.when(p < 6, p + 1).otherwise(p - 5).alias("place"),
         F.when(p.isin(1, 5, 7, 11), "B").when(p.isin(3, 9), "T").when(p == 13, F.when(two_back == "ngang", "HUYEN").when(two_back == "huyền", "NGANG").otherwise("B")).alias("required_tone"),
-        F.when(p.isin(5, 11) & (F.col("i") >= 6), ph.rhyme(back(6))).alias("required_rhyme"),
+        F.when(p.isin(5, 11) & (F.col("i") >= 6), ph.rhyme(F.col("six"))).alias("required_rhyme"),
     )
 
 

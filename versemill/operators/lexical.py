@@ -19,13 +19,15 @@ def orphan_vowels(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: t.isin(T.ORPHAN_VOWELS))
 
 
-def truncated_keywords(tokens: Column, keywords: Column) -> Column:
+def truncated_keywords(tokens: Column, keywords: Column, joined: Column) -> Column:
     """For each keyword of several words: places where all but the last word agree and the last is cut short."""
 
     def of(keyword: Column) -> Column:
         want = guard_tokens_of(keyword)
         k = F.size(want)
-        starts = F.when((k >= 2) & (F.size(tokens) >= k), F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>"))
+        # most texts do not hold the words before the last at all, and are settled by one look
+        held = F.contains(joined, tx.joined(F.slice(want, F.lit(1), F.greatest(k - 1, F.lit(0)))))
+        starts = F.when((k >= 2) & (F.size(tokens) >= k) & held, F.sequence(F.lit(1), F.size(tokens) - k + 1)).otherwise(F.array().cast("array<int>"))
         last = F.element_at(want, -1)
 
         def cut(i: Column) -> Column:
@@ -45,8 +47,9 @@ def guard_tokens_of(keyword: Column) -> Column:
 def assess(df: DataFrame, text: str = "text", keywords: str | None = None) -> DataFrame:
     """`df` with `orphans`, `truncated` and `hard_fail`; only certain errors count. Null texts have none."""
     rows = tx.settle(df, _g=F.coalesce(guard_tokens(F.col(text)), F.array().cast("array<string>")))
-    cut = truncated_keywords(F.col("_g"), F.transform(keywords, lambda k: k)) if keywords else F.array().cast("array<string>")
-    rows = tx.settle(rows, orphans=orphan_vowels(F.col("_g")), truncated=F.coalesce(cut, F.array().cast("array<string>"))).drop("_g")
+    rows = tx.settle(rows, _j=tx.joined(F.col("_g")))
+    cut = truncated_keywords(F.col("_g"), F.col(keywords), F.col("_j")) if keywords else F.array().cast("array<string>")
+    rows = tx.settle(rows, orphans=orphan_vowels(F.col("_g")), truncated=F.coalesce(cut, F.array().cast("array<string>"))).drop("_g", "_j")
     return rows.withColumn("hard_fail", (F.size("orphans") > 0) | (F.size("truncated") > 0))
 
 

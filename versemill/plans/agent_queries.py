@@ -48,6 +48,22 @@ def parse_request(spark, sf_dir):
     return rows.select("doc_id", "m.topic", "m.num_lines", F.array_join("m.keywords", " ").alias("keywords"), "m.rhyme")
 
 
+@query(
+    f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({S.strip(chr(114) + 'egexp_replace(' + S.strip('t') + ', ' + S.q('(?i)^viết bài thơ lục bát') + ', ' + chr(39) * 2 + ')')}, {S.q(f'(?i)^[0-9]+{T.WS}*(?:câu|dòng){T.WS}*')}, ''), {S.q(f'(?i)^(?:về|tả|nhớ){T.WS}+')}, ''), '\\.+$', '') AS topic FROM (SELECT doc_id, 'VIẾT bài thơ lục bát ' || (doc_id % 9) || ' Câu về ' || coalesce(title, 'x') || '..' AS t FROM {DOCS})"
+)
+def request_topic(spark, sf_dir):
+    t = F.concat(F.lit("VIẾT bài thơ lục bát "), (F.col("doc_id") % 9).cast("string"), F.lit(" Câu về "), F.coalesce("title", F.lit("x")), F.lit(".."))
+    return table(spark, sf_dir, DOCS).select("doc_id", ag.request_topic(t).alias("topic"))
+
+
+@query(f"SELECT rec_no, upper(substr(x, 1, 1)) || substr(x, 2) AS answer FROM (SELECT rec_no, regexp_replace({S.strip('title')}, {S.q('(?i)^nghẹn' + T.WS + '*')}, '') AS x FROM {POEMS} WHERE regexp_matches(title, '^[a-zA-Z]'))")
+def clean_output(spark, sf_dir):
+    """Titles as answers behind a thought and a stray syllable."""
+    rows = table(spark, sf_dir, POEMS).where(F.col("title").rlike("^[a-zA-Z]"))
+    raw = F.concat(F.lit("nghĩ\n</think> nghẹn "), tx.strip(F.col("title")))
+    return rows.select("rec_no", ag.clean_output(raw).alias("answer"))
+
+
 _RAW = S.q(r"(?is)<think>.*?</think>")
 _HEAD = S.q("^(" + "|".join(ag.HEADERS) + ")")
 
