@@ -2,8 +2,35 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once for each application.
+
+    They import it to run the functions that need Python, wherever the driver was started. The archive
+    is served to the executors by the driver.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="versemill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(f"{folder}/{root.name}.zip")
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "versemill", **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
@@ -21,9 +48,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "verse
         builder = builder.config(key.replace("__", "."), value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship(session)
     return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
