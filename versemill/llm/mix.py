@@ -58,11 +58,16 @@ def _running(df: DataFrame, group: str, bucket: str, order: list, value: Column,
     return df.join(sums, [group, bucket]).withColumn(name, F.col("_before") + F.coalesce(within, F.lit(0))).drop("_before")
 
 
-def blocks(docs: DataFrame, block_tokens: int, seed: int, path: str = VOCABULARY) -> DataFrame:
+def document_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, source, tokens) of every document by plain source, those without a source (null) included."""
+    return cut(token_counts(docs.select("doc_id", plain_source(F.col("source")).alias("source"), "text"), ["doc_id", "source"], path=path), "sized")
+
+
+def blocks(sized: DataFrame, block_tokens: int, seed: int) -> DataFrame:
     """(source, block, tokens, doc_id): the documents of each source in shuffled order, cut into blocks
-    of about equal tokens; the order is the hash of seed and key, the same on any cluster."""
-    sized = token_counts(docs.select("doc_id", plain_source(F.col("source")).alias("source"), "text"), ["doc_id", "source"], path=path)
-    shuffled = cut(sized.where("tokens > 0 AND source IS NOT NULL").withColumn("at", F.xxhash64(F.lit(seed), "doc_id")), "sized")
+    of about equal tokens; the order is the hash of seed and key, the same on any cluster. Documents
+    without a source belong to no block."""
+    shuffled = sized.where("tokens > 0 AND source IS NOT NULL").withColumn("at", F.xxhash64(F.lit(seed), "doc_id"))
     shuffled = shuffled.withColumn("bucket", F.shiftrightunsigned("at", 54).cast("int")).withColumn("at", F.expr("shiftrightunsigned(at, 1)"))
     placed = _running(shuffled, "source", "bucket", ["at", "doc_id"], F.col("tokens"), "before")
     return placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "tokens", "doc_id")
@@ -74,12 +79,14 @@ def schedule(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed
     Slot t goes to the source in whose part of the cumulated shares the point frac((t + 1/2) * golden
     ratio) falls, so every stretch of the schedule is close to the shares. The k-th slot of a source
     takes its k-th block, in the first round or in a repetition; slots beyond max_repeats rounds stay
-    empty and are left out. Null and empty texts take no part; the mix is as large as the corpus.
+    empty and are left out. Null and empty texts take no part; the mix is as large as the corpus,
+    documents of other sources or none included.
     """
     named = _targets(targets)
-    held = cut(blocks(docs, block_tokens, seed, path).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
-    whole = held.groupBy("source").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"))
-    size = sum(r["sum"] for r in whole.limit(MOST_SOURCES + 1).collect())
+    sized = document_tokens(docs, path)
+    size = sized.agg(F.sum("tokens")).first()[0] or 0
+    held = cut(blocks(sized, block_tokens, seed).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    whole = held.groupBy("source").agg(F.count("*").alias("n"))
     weight, bound, choice = sum(r["target_share"] for r in named), 0.0, None
     point = (F.col("id") + 0.5) * GOLDEN
     point = point - F.floor(point)
