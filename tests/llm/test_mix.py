@@ -16,3 +16,25 @@ def test_mix_is_as_large_as_the_corpus_with_documents_of_no_source(spark):
     corpus = sum(r.tokens for r in mix.source_tokens(docs).collect())
     (got,) = mix.mix_shares(docs, targets, block_tokens=1024).collect()
     assert abs(got.mixed_tokens / corpus - 1) < 0.1 and got.rounds >= 2
+
+
+@needs
+def test_rows_of_the_mix_are_the_documents_of_its_slots(spark):
+    docs = spark.createDataFrame([(k, TEXT * (3 + k % 5), s) for k, s in enumerate(["a"] * 90 + ["B "] * 30 + [None] * 20)] + [(900, None, "a"), (901, "", "b")], DOCS)
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.6, 3)], TARGETS)
+    rows = mix.mix(docs, targets, block_tokens=256).collect()
+    size = {r.doc_id: r.tokens for r in mix.document_tokens(docs).collect()}
+    of = {**{k: "a" for k in range(90)}, **{k: "b" for k in range(90, 120)}}
+    assert rows and all(of[r.doc_id] == r.source and r.tokens == size[r.doc_id] for r in rows)
+    assert len({(r.slot, r.doc_id) for r in rows}) == len(rows) == len({(r.doc_id, r.round) for r in rows})
+    assert max(r.round for r in rows if r.source == "a") == 0 and 0 < max(r.round for r in rows if r.source == "b") < 3
+    held, slots = {}, {}
+    for r in mix.blocks(mix.document_tokens(docs), 256, 1).collect():
+        held.setdefault((r.source, r.block), set()).add(r.doc_id)
+    for r in rows:
+        slots.setdefault((r.slot, r.round, r.source, r.block), set()).add(r.doc_id)
+    planned = {(s.slot, s.round, s.source, s.block): s.tokens for s in mix.schedule(docs, targets, block_tokens=256).collect()}
+    assert slots == {k: held[k[2:]] for k in planned}
+    assert all(sum(size[d] for d in slots[k]) == n for k, n in planned.items())
+    shares = {r.source: r.mixed_tokens for r in mix.mix_shares(docs, targets, block_tokens=256).collect()}
+    assert shares == {s: sum(r.tokens for r in rows if r.source == s) for s in "ab"}

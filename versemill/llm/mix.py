@@ -64,17 +64,30 @@ def document_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def blocks(sized: DataFrame, block_tokens: int, seed: int) -> DataFrame:
-    """(source, block, tokens, doc_id): the documents of each source in shuffled order, cut into blocks
+    """(source, block, before, tokens, doc_id): the documents of each source in shuffled order (`before` is
+    the sum of the tokens of earlier ones), cut into blocks
     of about equal tokens; the order is the hash of seed and key, the same on any cluster. Documents
     without a source belong to no block."""
     shuffled = sized.where("tokens > 0 AND source IS NOT NULL").withColumn("at", F.xxhash64(F.lit(seed), "doc_id"))
     shuffled = shuffled.withColumn("bucket", F.shiftrightunsigned("at", 54).cast("int")).withColumn("at", F.expr("shiftrightunsigned(at, 1)"))
     placed = _running(shuffled, "source", "bucket", ["at", "doc_id"], F.col("tokens"), "before")
-    return placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "tokens", "doc_id")
+    return placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "before", "tokens", "doc_id")
 
 
 def schedule(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
-    """(slot, source, block, round, tokens): the mix, in order.
+    """(slot, source, block, round, tokens): the blocks of the mix, in order; mix() has their documents."""
+    return _scheduled(docs, targets, block_tokens, seed, path)[0]
+
+
+def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
+    """(slot, round, source, block, before, doc_id, tokens): the documents of the mix, in order of slot and
+    before; a document stands once in each round in which its block is taken."""
+    slots, placed = _scheduled(docs, targets, block_tokens, seed, path)
+    return slots.drop("tokens").join(placed, ["source", "block"]).select("slot", "round", "source", "block", "before", "doc_id", "tokens")
+
+
+def _scheduled(docs: DataFrame, targets: DataFrame, block_tokens: int, seed: int, path: str) -> tuple[DataFrame, DataFrame]:
+    """(slots, placed): the schedule and the blocks() that it was made of.
 
     Slot t goes to the source in whose part of the cumulated shares the point frac((t + 1/2) * golden
     ratio) falls, so every stretch of the schedule is close to the shares. The k-th slot of a source
@@ -85,7 +98,8 @@ def schedule(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed
     named = _targets(targets)
     sized = document_tokens(docs, path)
     size = sized.agg(F.sum("tokens")).first()[0] or 0
-    held = cut(blocks(sized, block_tokens, seed).groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
+    placed = cut(blocks(sized, block_tokens, seed), "placed")
+    held = cut(placed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
     whole = held.groupBy("source").agg(F.count("*").alias("n"))
     weight, bound, choice = sum(r["target_share"] for r in named), 0.0, None
     point = (F.col("id") + 0.5) * GOLDEN
@@ -101,12 +115,13 @@ def schedule(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed
     numbered = _running(held.withColumn("bucket", F.shiftright("block", 12)), "source", "bucket", ["block"], F.lit(1), "nth")
     taken = slots.join(whole, "source").join(F.broadcast(repeats), "source").withColumn("round", F.floor(F.col("k") / F.col("n"))).where("round < repeats")
     taken = taken.withColumn("nth", F.col("k") % F.col("n"))
-    return taken.join(numbered.select("source", "nth", "block", "tokens"), ["source", "nth"]).select("slot", "source", "block", "round", "tokens")
+    slots = taken.join(numbered.select("source", "nth", "block", "tokens"), ["source", "nth"]).select("slot", "source", "block", "round", "tokens")
+    return slots, placed
 
 
 def mix_shares(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
     """(source, target_share, mixed_tokens, rounds, actual_share) of every target; 0 where nothing is mixed."""
-    mixed = cut(schedule(docs, targets, block_tokens, seed, path), "mix")
+    mixed = cut(mix(docs, targets, block_tokens, seed, path), "mix")
     sums = mixed.groupBy(F.col("source").alias("plain")).agg(F.sum("tokens").alias("mixed_tokens"), (F.max("round") + 1).alias("rounds"))
     total = sums.agg(F.sum("mixed_tokens").alias("total"))
     named = targets.where("source IS NOT NULL").withColumn("plain", plain_source(F.col("source")))

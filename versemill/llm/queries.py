@@ -57,6 +57,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
@@ -70,7 +74,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_shares, p8_found, p8_shared)
+    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shared)
     return {f.__name__: f for f in every}
 
 
