@@ -38,3 +38,12 @@ def test_rows_of_the_mix_are_the_documents_of_its_slots(spark):
     assert all(sum(size[d] for d in slots[k]) == n for k, n in planned.items())
     shares = {r.source: r.mixed_tokens for r in mix.mix_shares(docs, targets, block_tokens=256).collect()}
     assert shares == {s: sum(r.tokens for r in rows if r.source == s) for s in "ab"}
+
+
+@needs
+def test_size_of_the_mix_counts_every_source(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MOST_SOURCES", 2)
+    docs = spark.createDataFrame([(k, TEXT * 5, f"s{k % 12}") for k in range(240)], DOCS)
+    slots = mix.schedule(docs, spark.createDataFrame([("s0", 1.0, 99)], TARGETS), block_tokens=256)
+    corpus = sum(r.tokens for r in mix.source_tokens(docs).collect())
+    assert slots.count() == -(-corpus // 256)
