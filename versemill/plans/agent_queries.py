@@ -64,6 +64,15 @@ def clean_output(spark, sf_dir):
     return rows.select("rec_no", ag.clean_output(raw).alias("answer"))
 
 
+@query()
+def clean_output_all(spark, sf_dir):
+    """Every title, whatever it begins with, as an answer behind a thought and a stray syllable, and behind
+    the thought alone; null titles give null."""
+    thought, title = F.lit("nghĩ\n</think> "), F.col("title")
+    rows = table(spark, sf_dir, POEMS)
+    return rows.select("rec_no", ag.clean_output(F.concat(thought, F.lit("nghẹn "), tx.strip(title))).alias("answer"), ag.clean_output(F.concat(thought, title)).alias("bare"))
+
+
 _RAW = S.q(r"(?is)<think>.*?</think>")
 _HEAD = S.q("^(" + "|".join(ag.HEADERS) + ")")
 
