@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.functions import tables as T
 from versemill.functions import text as tx
+from versemill.plans.lineage import cut
+
+#: Wishes and materials that meet in one task of retrieve_many().
+WISH_BLOCK, MATERIAL_BLOCK = 256, 4096
 
 # Words of a request that are no keywords.
 REQUEST_STOP = [
@@ -204,6 +211,47 @@ def retrieve(wishes: DataFrame, materials: DataFrame, k: int = 3) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def retrieve_many(wishes: DataFrame, materials: DataFrame, k: int = 3, wish_block: int = WISH_BLOCK, material_block: int = MATERIAL_BLOCK) -> DataFrame:
+    """As retrieve(), for wishes that grow with the materials.
+
+    Blocks of wishes meet blocks of materials, each pair in a task of its own: the terms of both are two
+    matrices, whose product holds the scores. Only the first k of each wish leave a pair of blocks.
+    """
+    searchable = tx.terms(F.concat_ws(" ", "text", "author", "url"))
+    bonus = (F.coalesce("author", F.lit("")) != "").cast("int")
+    rows = cut(tx.settle(materials.select("material_id", "text", "author", "url"), terms=searchable, bonus=bonus).select(F.col("material_id").cast("long"), "bonus", "terms"), "materials")
+    asked = cut(tx.settle(wishes, wanted=F.coalesce(tx.terms(F.col("wish")), F.array().cast("array<string>"))).select(F.col("wish_id").cast("long"), "wanted"), "wishes")
+    down, across = (max(1, -(-df.count() // size)) for df, size in ((asked, wish_block), (rows, material_block)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("across", own("material_id", across)).withColumn("down", every(down))
+    right = asked.withColumn("down", own("wish_id", down)).withColumn("across", every(across))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("material_id")
+        ids, wish_ids, extra = (t[c].to_numpy() for t, c in ((left, "material_id"), (right, "wish_id"), (left, "bonus")))
+        known = pc.unique(pc.list_flatten(right["wanted"]))
+        wanted = np.zeros((len(wish_ids), len(known)), np.float32)
+        wanted[pc.list_parent_indices(right["wanted"]).to_numpy(), pc.index_in(pc.list_flatten(right["wanted"]), value_set=known).to_numpy()] = 1
+        owner = pc.list_parent_indices(left["terms"]).to_numpy()
+        term = pc.fill_null(pc.index_in(pc.list_flatten(left["terms"]), value_set=known), -1).to_numpy()
+        owner, term = owner[term >= 0], term[term >= 0]
+        scores = np.zeros((len(wish_ids), len(ids)), np.int64)
+        for begin in range(0, len(ids), 512):
+            end = min(begin + 512, len(ids))
+            own = slice(*np.searchsorted(owner, [begin, end]))
+            held = np.zeros((len(known), end - begin), np.float32)
+            held[term[own], owner[own] - begin] = 1
+            scores[:, begin:end] = np.rint(wanted @ held).astype(np.int64) + extra[begin:end]
+        first = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        found = np.take_along_axis(scores, first, axis=1)
+        return pa.table({"wish_id": np.repeat(wish_ids, first.shape[1]), "material_id": ids[first.ravel()], "score": found.ravel()})
+
+    scored = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(best, "wish_id long, material_id long, score long")
+    w = Window.partitionBy("wish_id").orderBy(F.desc("score"), "material_id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
 def accepted_attempts(attempts: DataFrame, pool: str = "pool", attempt: str = "attempt") -> DataFrame:
     """(pool, attempts, accepted_at): the first accepted attempt of each pool that no critic vetoed, null for none."""
     good = F.col("accepted") & ~F.coalesce(F.col("vetoed"), F.lit(False))

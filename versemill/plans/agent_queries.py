@@ -130,6 +130,16 @@ def topk_retrieval(spark, sf_dir):
     return found.select("wish_id", "material_id", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
 
 
+@query(
+    f"SELECT wish_id, rec_no AS material_id, score, place FROM (SELECT wish_id, rec_no, CAST(len(list_intersect(ts, ws)) + b AS BIGINT) AS score, row_number() OVER (PARTITION BY wish_id ORDER BY len(list_intersect(ts, ws)) + b DESC, rec_no) AS place FROM (SELECT rec_no, {_TERMS(chr(99) + 'oncat_ws(' + chr(39) + ' ' + chr(39) + ', text, author, url)')} AS ts, (coalesce(author, '') <> '')::INT AS b FROM {MATERIAL}), (SELECT rec_no AS wish_id, {_TERMS('text')} AS ws FROM {MATERIAL} WHERE rec_no % 50 = 0)) WHERE place <= 3"
+)
+def topk_retrieval_all(spark, sf_dir):
+    """The texts of every fiftieth material as wishes, against all materials."""
+    rows = table(spark, sf_dir, MATERIAL).select(F.col("rec_no").alias("material_id"), "text", "author", "url")
+    wishes = rows.where("material_id % 50 = 0").select(F.col("material_id").alias("wish_id"), F.col("text").alias("wish"))
+    return ag.retrieve_many(wishes, rows).select("wish_id", "material_id", "score", F.col("place").cast("long").alias("place"))
+
+
 _G = ", ".join(f"len(list_intersect(t, {S.array(g)}))" for g, _ in ag.GUIDES)
 
 
