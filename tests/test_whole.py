@@ -45,3 +45,18 @@ def test_retrieval_in_blocks_as_at_once(spark):
     at_once = {tuple(r) for r in ag.retrieve(wishes.where("wish IS NOT NULL"), materials).collect()}
     in_blocks = {tuple(r) for r in ag.retrieve_many(wishes, materials, wish_block=2, material_block=7).collect()}
     assert {r for r in in_blocks if r[0] != 5} == at_once and sum(r[0] == 5 for r in in_blocks) == 3
+
+
+def test_audit_summary_as_by_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    name, sf = "tet4_web_staging_v1", "/root/testdata/sf0.01"
+    try:
+        spark.read.parquet(f"{sf}/{name}.parquet")
+    except Exception:
+        pytest.skip("no test tables here")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    found = con.execute(entry.oracle_sql()["audit_summary"])
+    names = [d[0] for d in found.description]
+    (got,) = entry.queries()["audit_summary"](spark, sf).collect()
+    assert got.asDict() == dict(zip(names, found.fetchone())) and 0 < got.rejected < got.accepted and got.sensitive > 0

@@ -181,6 +181,16 @@ def audit_ratings(spark, sf_dir):
     return rows.groupBy(ok.alias("ok")).agg(F.count("*").alias("n"), F.bround(F.avg(F.when(ok, F.col("r"))), 3).alias("naturalness"))
 
 
+@query(
+    f"SELECT n, n AS rated, accepted, n - accepted AS rejected, round_even(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE accepted::DOUBLE / n END, 4) AS accept_rate, naturalness, imagery, sensitive, CASE WHEN n = 0 THEN false ELSE accepted::DOUBLE / n >= 0.8 END AS gate_passed FROM (SELECT count(*) FILTER (ok) AS n, count(*) FILTER (ok AND d) AS accepted, round_even(avg(r) FILTER (ok), 3) AS naturalness, round_even(avg(i) FILTER (ok), 3) AS imagery, count(*) FILTER (ok AND s = 1) AS sensitive FROM (SELECT *, coalesce(r BETWEEN 1 AND 5 AND i BETWEEN 1 AND 5 AND s IN (0, 1), false) AS ok FROM (SELECT round(metrics.tcr) % 7 AS r, rec_no % 6 AS i, rec_no % 3 AS s, rec_no % 7 < 6 AS d FROM {WEB})))"
+)
+def audit_summary(spark, sf_dir):
+    """Four ratings made of every row, some outside their domain or missing, summed up by the audit."""
+    n = F.col("rec_no")
+    rows = table(spark, sf_dir, WEB).select((F.round("metrics.tcr").cast("long") % 7).alias("r"), (n % 6).alias("i"), (n % 3).alias("s"), F.when(n % 7 < 6, " Accept").otherwise("reject").alias("d"))
+    return au.audit_summary(rows, "r", "i", "s", "d")
+
+
 @query(f"SELECT CASE WHEN rec_no % 5 = 0 THEN 'tie' WHEN (rec_no % 2 = 0) = (rec_no % 3 = 0) THEN 'left' ELSE 'right' END AS winner, count(*) AS n FROM {POEMS} GROUP BY 1")
 def paired_tally(spark, sf_dir):
     rows = table(spark, sf_dir, POEMS).select("rec_no")
