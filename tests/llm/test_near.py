@@ -1,13 +1,18 @@
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
 from versemill.llm import fingerprints as fp
-from versemill.llm.near_duplicates import near_duplicate_groups
+from versemill.llm import shards as sh
+from versemill.llm.near_duplicates import near_duplicate_groups, search_effort
 from versemill.llm.split_overlap import cross_split_pairs, overlap_report
 
+SF = "/root/testdata/sf0.1"
+
 
 def poems(n, seed=1, vocabulary=60, length=24):
     """Poems of a small vocabulary, a third of them variants of one; many pairs near the threshold."""
@@ -59,20 +64,37 @@ def test_look_alikes_and_repeated_words(spark):
     assert got == set(brute.components(brute.near_pairs(rows)).items()) and {(1, 1), (2, 1)} <= got
 
 
-def test_tree_finds_every_pair_within_reach():
-    r = np.random.default_rng(3)
-    centre = r.integers(0, 2**63, (6, 2), np.int64).view(np.uint64)
-    bits = centre[r.integers(0, 6, 500)]
-    for k in range(8):
-        flip = r.integers(0, 64, (500, 2)).astype(np.uint64)
-        bits = bits ^ np.where(r.random((500, 2)) < 0.5, np.left_shift(np.uint64(1), flip), np.uint64(0))
-    b = fp.Bits(bits[:, 0].copy(), bits[:, 1].copy(), np.full(500, 28))
-    found = {tuple(sorted(p)) for x, y in b.pairs(np.arange(500)) for p in zip(x.tolist(), y.tolist())}
-    compared = b.compared
-    every = b.distance(np.arange(500), np.arange(500)).astype(int)
-    want = {(i, k) for i in range(500) for k in range(i + 1, 500) if every[i, k] <= 16}
-    assert found == want
-    assert compared < 500 * 500 / 2 * 0.6  # branches were pruned
+@pytest.mark.parametrize("leaf", [2, 8, 1000])
+def test_tree_finds_every_near_duplicate_of_its_shards(monkeypatch, leaf):
+    """Each near-duplicate pair comes out of the shard of its first common word, however deep the tree is."""
+    monkeypatch.setattr(fp.Balls, "LEAF", leaf)
+    texts = poems(260, seed=8, vocabulary=90) + ["a b c d e f g h i j " + "x " * 90, "a b c d e f g h i j y " + "x " * 90]
+    offsets, terms = fp.term_arrays(pa.array(texts))
+    n = np.diff(offsets)
+    names, counts = np.unique(terms, return_counts=True)
+    terms, place = sh.ranked(offsets, terms, (names, counts))
+    short, shards = fp.short_hashes(terms), {}
+    flipped = fp.prefix_parities(short)
+    for r in range(len(n)):
+        for at in range(offsets[r], offsets[r + 1]):
+            if n[r] >= fp.MIN_WORDS and place[at] <= n[r] - fp.needed(n[r]):
+                end = offsets[r] + n[r] - fp.needed(n[r]) + 1 + fp.Balls.DEPTH
+                tail = short[at + 1 : end].tobytes() if end - at - 1 <= fp.Balls.TAIL else None
+                shards.setdefault(terms[at], []).append((r, [f[offsets[r + 1]] ^ f[at + 1] for f in flipped], place[at], tail))
+    found = set()
+    for rows in shards.values():
+        rec = np.array([x[0] for x in rows])
+        balls = fp.Balls(*np.array([x[1] for x in rows], np.uint64).T, n[rec], np.array([x[2] for x in rows]), [x[3] for x in rows])
+        for x, y in balls.pairs(np.arange(len(rec))):
+            found |= {(min(p), max(p)) for p in zip(rec[x].tolist(), rec[y].tolist())}
+    assert brute.near_pairs(list(enumerate(texts))) <= found
+
+
+def test_branches_are_pruned_on_the_test_table(spark):
+    if not os.path.exists(f"{SF}/tet4_web_staging_v1.parquet"):
+        pytest.skip("no test tables here")
+    got = search_effort(spark.read.parquet(f"{SF}/tet4_web_staging_v1.parquet")).where("records > 32").groupBy().sum("pairs", "compared", "splits").first()
+    assert got[1] < got[0] / 2 and got[2] > 1000
 
 
 def test_forest_of_a_dense_graph_spans_it():

@@ -1,8 +1,8 @@
 """Word multisets, their parity fingerprints and a vantage-point self-join over them.
 
 A text is the multiset of its words; the k-th occurrence of a word is a term of its own, so that the
-words two texts have in common, counted with repetition, are the terms they share. The fingerprint
-has 128 bits; a term flips the bit its hash names. Texts that differ in d terms have fingerprints
+words two texts have in common, counted with repetition, are the terms they share. A fingerprint
+has 128 bits; a term flips the bit its hash names. Sets of terms that differ in d terms have fingerprints
 that differ in at most d bits, so a search within that Hamming distance misses no pair.
 """
 
@@ -65,13 +65,18 @@ def signatures(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.n
     return _sums(a, offsets, np.add), _sums(b, offsets, np.add)
 
 
-def parities(offsets: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The fingerprints, as low and high 64 bits."""
-    bit = mix(terms + np.uint64(77)) & np.uint64(127)
-    one = np.left_shift(np.uint64(1), bit & np.uint64(63))
-    zero = np.zeros_like(one)
-    low, high = np.where(bit < 64, one, zero), np.where(bit < 64, zero, one)
-    return _sums(low, offsets, np.bitwise_xor), _sums(high, offsets, np.bitwise_xor)
+def short_hashes(terms: np.ndarray) -> np.ndarray:
+    """16 bits of each term; the last seven name the bit of the fingerprint that the term flips."""
+    return (mix(terms + np.uint64(77)) >> np.uint64(48)).astype(np.uint16)
+
+
+def prefix_parities(short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parities, as low and high 64 bits, of the first 0, 1, 2, ... terms of short_hashes(); those of a
+    stretch are the exclusive or of the two at its ends."""
+    one = np.left_shift(np.uint64(1), (short & np.uint16(63)).astype(np.uint64))
+    upper = (short & np.uint16(64)) != 0
+    none = np.zeros(1, np.uint64)
+    return tuple(np.concatenate([none, np.bitwise_xor.accumulate(np.where(half, one, np.uint64(0)))]) if len(short) else none for half in (~upper, upper))
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -85,77 +90,137 @@ def farthest(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.where(needed(big) > small, -1, n + m - 2 * needed(big))
 
 
-class Bits:
-    """Fingerprints with word counts, and the search for pairs within reach of each other."""
+class Balls:
+    """Records of one shard as balls in the Hamming space of their fingerprints, and the search for
+    pairs of balls that meet.
 
-    LEAF, ROWS = 64, 2_000_000
+    The words of a record stand in the order of the tree's vantage points, rarest first. A shard holds
+    the records within n - 1 of its vantage points, the fingerprints of single words, that is those that
+    have the word (the others are n + 1 away). `low` and `high` are the parities of the words after the shard's
+    last one (low and high 64 bits) and `spent` are the words of the record before it that a partner lacks, if the shard's words
+    are the first that both have. The radius of a ball is what is left of n - needed(n) then. By the
+    triangle inequality a pair whose radii do not add up to the distance of its prints is no
+    near-duplicate.
 
-    def __init__(self, low: np.ndarray, high: np.ndarray, n: np.ndarray):
-        self.low, self.high, self.n = low, high, n
-        self.compared = 0
-
-    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Hamming distances of all i (down) to all j (across)."""
-        self.compared += i.size * j.size
-        d = np.bitwise_count(self.low[i][:, None] ^ self.low[j][None, :])
-        d += np.bitwise_count(self.high[i][:, None] ^ self.high[j][None, :])
-        return d
+    `tail` holds the short_hashes of the words after the shard's last one up to the place where a record
+    that met DEPTH further vantage points would have spent its radius; None if they are more than TAIL.
+    """
 
-    def _cross(self, i: np.ndarray, j: np.ndarray, reach: int, same: bool):
-        step = max(1, self.ROWS // max(1, j.size))
+    LEAF, DEPTH, TAIL, ROWS = 32, 2, 24, 2_000_000
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, n: np.ndarray, spent: np.ndarray, tail: list[bytes | None] | None = None):
+        self.low, self.high, self.n, self.spent = low, high, n.astype(np.int64), spent.astype(np.int64)
+        self.compared = self.splits = 0
+        tail = tail if tail is not None else [None] * len(n)
+        self.tailed = np.array([t is not None for t in tail], bool)
+        self.words = np.frombuffer(b"".join(t or b"" for t in tail), np.uint16)
+        self.begin = np.concatenate([[0], np.cumsum([len(t or b"") // 2 for t in tail])]).astype(np.int64)
+        self.flipped = prefix_parities(self.words)
+
+    def after(self, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The prints of `rows` without the words of their tails up to the places `at`."""
+        begin = self.begin[rows]
+        return tuple(p[rows] ^ f[at + 1] ^ f[begin] for p, f in ((self.low, self.flipped[0]), (self.high, self.flipped[1])))
+
+    def _matrix(self, i: np.ndarray, j: np.ndarray, same: bool):
+        """All pairs of one of i and one of j (or of i alone, if same) whose balls meet."""
+        if not i.size or not j.size:
+            return
+        reach = (self.n[i] - needed(self.n[i]) - self.spent[i]).max() + (self.n[j] - needed(self.n[j]) - self.spent[j]).max()
+        step = max(1, self.ROWS // j.size)
         if same:
             step = min(step, max(32, j.size // 8))  # so that few pairs are looked at from both sides
         for s in range(0, i.size, step):
             other = j[s:] if same else j
-            a, b = np.nonzero(self.distance(i[s : s + step], other) <= reach)
+            a = i[s : s + step]
+            self.compared += a.size * other.size
+            d = np.bitwise_count(self.low[a][:, None] ^ self.low[other][None, :])
+            d += np.bitwise_count(self.high[a][:, None] ^ self.high[other][None, :])
+            p, q = np.nonzero(d <= reach)
             if same:
-                keep = b > a
-                a, b = a[keep], b[keep]
-            x, y = i[s + a], other[b]
-            near = farthest(self.n[x], self.n[y])
-            d = np.bitwise_count(self.low[x] ^ self.low[y]).astype(np.int64) + np.bitwise_count(self.high[x] ^ self.high[y])
-            yield x[d <= near], y[d <= near]
+                later = q > p
+                p, q = p[later], q[later]
+            x, y = a[p], other[q]
+            keep = d[p, q] <= farthest(self.n[x], self.n[y]) - self.spent[x] - self.spent[y]
+            yield x[keep], y[keep]
+
+    def _groups(self, rows: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, spent: np.ndarray):
+        """The pairs within groups (ascending) whose balls meet."""
+        lag = 1
+        at = np.arange(len(rows))
+        while True:
+            at = at[: np.searchsorted(at, len(rows) - lag)]
+            at = at[group[at] == group[at + lag]]
+            if not at.size:
+                return
+            x, y = rows[at], rows[at + lag]
+            self.compared += len(x)
+            d = np.bitwise_count(low[at] ^ low[at + lag]) + np.bitwise_count(high[at] ^ high[at + lag])
+            ok = d <= farthest(self.n[x], self.n[y]) - spent[at] - spent[at + lag]
+            if ok.any():
+                yield x[ok], y[ok]
+            lag += 1
 
     def pairs(self, which: np.ndarray):
-        """All pairs (arrays x, y) among `which` whose fingerprints are within reach.
+        """The pairs (arrays x, y; some more than once) among `which` that can be near-duplicates.
 
-        A node of the tree parts its points at a distance mu from a vantage point. By the triangle
-        inequality a pair across the boundary lies within reach of mu on both sides, so only those
-        margins are held against each other. Where no mu saves a tenth of the comparisons, the node
-        is a leaf.
+        A node is parted by the next vantage points, the words that its records have: a record goes to
+        the branch of each of its words until its radius is spent, as its ball reaches over the
+        boundaries of all of these. Branches of up to LEAF records, and nodes that would not save a
+        tenth of the comparisons (large groups of copies), are compared pair by pair.
         """
-        todo = [which]
-        while todo:
-            s = todo.pop()
-            if s.size < 2:
-                continue
-            longest = self.n[s].max()
-            reach = int(2 * longest - 2 * needed(longest))
-            if s.size > self.LEAF:
-                best = None
-                for v in (s[0], s[s.size // 2]):
-                    d = self.distance(np.array([v]), s)[0].astype(np.int64)
-                    below = np.concatenate([[0], np.cumsum(np.bincount(d, minlength=129))])
-                    mu = np.arange(1, 129)
-                    left, right = below[mu], s.size - below[mu]
-                    near_left = left - below[np.maximum(mu - reach, 0)]
-                    near_right = below[np.minimum(mu + reach, 129)] - left
-                    cost = left * left / 2 + right * right / 2 + near_left * near_right
-                    k = int(np.argmin(cost))
-                    if best is None or cost[k] < best[0]:
-                        best = cost[k], int(mu[k]), d
-                if best[0] < 0.9 * s.size * s.size / 2:
-                    _, mu, d = best
-                    todo += [s[d < mu], s[d >= mu]]
-                    yield from self._cross(s[(d < mu) & (d >= mu - reach)], s[(d >= mu) & (d < mu + reach)], reach, False)
-                    continue
-            yield from self._cross(s, s, reach, True)
+        if which.size <= self.LEAF:
+            yield from self._matrix(which, which, True)
+            return
+        bare, rows = which[~self.tailed[which]], which[self.tailed[which]]
+        yield from self._matrix(bare, bare, True)
+        yield from self._matrix(bare, rows, False)
+        node = np.zeros(len(rows), np.int64)
+        place, spent = self.begin[rows] - 1, self.spent[rows]
+        for depth in range(1, self.DEPTH + 1):
+            if not rows.size:
+                return
+            last = self.begin[rows + 1] - (self.DEPTH - depth)
+            count = np.maximum(last - place - 1, 0)
+            of = np.repeat(np.arange(len(rows)), count)
+            at = np.arange(int(count.sum())) - (np.cumsum(count) - count)[of] + place[of] + 1
+            key = node[of] << 16 | self.words[at].astype(np.int64)
+            order = np.argsort(key, kind="stable")
+            of, at, key = of[order], at[order], key[order]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            branch = np.cumsum(first) - 1
+            size = np.bincount(branch).astype(np.int64)
+            old = np.bincount(node)
+            cost = np.bincount(node[of][first], size * size, minlength=len(old))
+            split = cost < 0.9 * old * old
+            self.splits += int(split.sum())
+            for k in np.flatnonzero(~split & (old > 1)).tolist():  # a node that stays whole
+                yield from self._whole(rows[node == k], spent[node == k], place[node == k])
+            keep = split[node[of]]
+            leaf = keep & (size[branch] <= self.LEAF if depth < self.DEPTH else True)
+            use = spent[of] + at - place[of] - 1
+            x = np.flatnonzero(leaf)
+            yield from self._groups(rows[of[x]], branch[x], *self.after(rows[of[x]], at[x]), use[x])
+            x = np.flatnonzero(keep & ~leaf)
+            node = np.unique(branch[x], return_inverse=True)[1] if x.size else np.zeros(0, np.int64)
+            rows, place, spent = rows[of[x]], at[x], use[x]
+
+    def _whole(self, rows: np.ndarray, spent: np.ndarray, place: np.ndarray):
+        held = Balls(*self.after(rows, place), self.n[rows], spent)
+        for x, y in held._matrix(np.arange(len(rows)), np.arange(len(rows)), True):
+            yield rows[x], rows[y]
+        self.compared += held.compared
 
     def pairs_across(self, i: np.ndarray, j: np.ndarray):
-        """All pairs of one of i and one of j within reach."""
-        if i.size and j.size:
-            longest = max(self.n[i].max(), self.n[j].max())
-            yield from self._cross(i, j, int(2 * longest - 2 * needed(longest)), False)
+        """The pairs of one of i and one of j whose balls meet."""
+        yield from self._matrix(i, j, False)
+
+    def met(self, p: int, others: np.ndarray) -> np.ndarray:
+        """True for those of `others` whose balls meet that of p."""
+        self.compared += len(others)
+        d = np.bitwise_count(self.low[p] ^ self.low[others]) + np.bitwise_count(self.high[p] ^ self.high[others])
+        return d <= farthest(self.n[p], self.n[others]) - self.spent[p] - self.spent[others]
 
 
 def forest(n: int, edges, dense: int = 8, neighbours=None) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,30 @@ from versemill.operators.components import connected_components
 from versemill.plans.lineage import cut
 
 
+def _balls(c: dict[str, np.ndarray]) -> fp.Balls:
+    return fp.Balls(c["low"].view(np.uint64), c["high"].view(np.uint64), c["n"], c["spent"], list(c[sh.TAIL]))
+
+
+def search_effort(df: DataFrame, key: str = "rec_no", text: str = "text", limit: int = sh.LIMIT) -> DataFrame:
+    """(shard, records, pairs, compared, splits) of each part of a shard: how many pairs it has, how many
+    of them the tree compares, and how many nodes are parted."""
+
+    def work(c: dict[str, np.ndarray]) -> Iterator[tuple]:
+        balls, size = _balls(c), len(c["rec"])
+        if c["i"][0] == c["j"][0]:
+            every = size * (size - 1) // 2
+            for _ in balls.pairs(np.arange(size)):
+                pass
+        else:
+            left = int((c["own"] == c["i"][0]).sum())
+            every = balls.compared = left * (size - left)
+        yield tuple(np.array([v]) for v in (c["shard"][0], size, every, balls.compared, balls.splits))
+
+    _, reps = sh.classes(df, key, text)
+    entries = sh.shards(reps, sh.common_terms(reps), limit, [sh.TAIL])
+    return sh.by_shard(entries, work, "shard long, records long, pairs long, compared long, splits long")
+
+
 def _candidates(every: bool):
     """The work on one part of a shard: a spanning forest of its candidate pairs, or all of them
     that lie between different groups (label)."""
@@ -21,12 +45,12 @@ def _candidates(every: bool):
     def work(c: dict[str, np.ndarray]) -> Iterator[tuple]:
         if len(c["rec"]) < 2 or every and (c["label"] == c["label"][0]).all():
             return
-        bits = fp.Bits(c["low"].view(np.uint64), c["high"].view(np.uint64), c["n"].astype(np.int64))
+        balls = _balls(c)
         blocks = c["i"][0] != c["j"][0]
         if blocks:
-            pairs = bits.pairs_across(np.flatnonzero(c["own"] == c["i"][0]), np.flatnonzero(c["own"] == c["j"][0]))
+            pairs = balls.pairs_across(np.flatnonzero(c["own"] == c["i"][0]), np.flatnonzero(c["own"] == c["j"][0]))
         else:
-            pairs = bits.pairs(np.arange(len(c["rec"])))
+            pairs = balls.pairs(np.arange(len(c["rec"])))
         rec, shard = c["rec"], c["shard"][0]
         if every:
             for x, y in pairs:
@@ -36,7 +60,7 @@ def _candidates(every: bool):
             return
 
         def near(p: int, left: np.ndarray) -> np.ndarray:
-            ok = bits.distance(np.array([p]), left)[0] <= fp.farthest(bits.n[p], bits.n[left])
+            ok = balls.met(p, left)
             return ok & (c["own"][left] != c["own"][p]) if blocks else ok
 
         a, b = fp.forest(len(rec), pairs, neighbours=near)
@@ -72,7 +96,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "rec_no", text: str = "text"
     """
     members, reps = sh.classes(df, key, text)
     common = sh.common_terms(reps)
-    entries = sh.shards(reps, common, limit)
+    entries = sh.shards(reps, common, limit, [sh.TAIL])
     found = cut(sh.by_shard(entries, _candidates(False), "a long, b long, shard long"), "candidates")
     checked = cut(exact_overlap(found.select("a", "b").distinct(), reps).select("a", "b", (F.col("common") * 10 >= F.greatest("na", "nb") * fp.SHARE).alias("ok")), "checked")
     links = checked.where("ok").select("a", "b")
@@ -80,7 +104,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "rec_no", text: str = "text"
     if not again.isEmpty():
         label = cut(connected_components(links, "a", "b"), "labels").select(F.col("node").alias("rec"), "component")
         labelled = reps.join(label, "rec", "left").select("rec", "n", "terms", F.coalesce("component", "rec").alias("label"))
-        part = sh.shards(labelled, common, limit, ["label"]).join(again, "shard", "left_semi")
+        part = sh.shards(labelled, common, limit, ["label", sh.TAIL]).join(again, "shard", "left_semi")
         more = cut(sh.by_shard(part, _candidates(True), "a long, b long, shard long").select("a", "b").distinct(), "more")
         more = more.join(checked.where("NOT ok").select("a", "b"), ["a", "b"], "left_anti")
         links = links.union(exact_overlap(more, reps).where(F.col("common") * 10 >= F.greatest("na", "nb") * fp.SHARE).select("a", "b"))

@@ -21,8 +21,8 @@ from versemill.llm import fingerprints as fp
 from versemill.plans.lineage import cut
 
 LIMIT = 20_000
-#: Words rarer than one in this many classes all count as rare; at most 60 times as many are common.
-COMMON_IN = 2_000
+#: The most terms whose frequencies are told apart (16 bytes each); all rarer ones count as equally rare.
+MOST_RANKED = 500_000
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -61,13 +61,13 @@ def classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
 
 
 def common_terms(reps: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(terms ascending, counts) of the terms in more than one of COMMON_IN classes.
+    """(terms ascending, counts) of the terms in more than one of MOST_RANKED of all places.
 
-    There are at most COMMON_IN times as many of them as a text has words on average, whatever the
-    size of the table. Other terms count as equally rare, so they only decide the order of words.
+    So there are fewer than MOST_RANKED of them, whatever the size of the table. Other terms count as
+    equally rare, so they only decide the order of words.
     """
-    size = reps.count()
-    found = reps.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") > size / COMMON_IN).toPandas()
+    places = reps.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    found = reps.select(F.explode("terms").alias("t")).groupBy("t").count().where(F.col("count") > places / MOST_RANKED).toPandas()
     order = np.argsort(found["t"].to_numpy().astype(np.int64).view(np.uint64))
     return found["t"].to_numpy().astype(np.int64).view(np.uint64)[order], found["count"].to_numpy()[order]
 
@@ -91,10 +91,15 @@ def _columns(batch: pa.RecordBatch, name: str = "terms") -> tuple[np.ndarray, np
     return offsets, lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-_ENTRY = "shard long, rec long, n int, low long, high long"
-#: As an extra column: the place of the shard's word in the order of the row; with two words, the place of
-#: the second less one, which bounds what they and the words after them can add no less.
-PLACE = "place"
+_ENTRY = "shard long, rec long, n int, spent int, low long, high long"
+#: As an extra column: the words after the shard's, see fingerprints.Balls.
+TAIL = "tail"
+
+
+def _tails(at: np.ndarray, end: np.ndarray, short: np.ndarray) -> pa.Array:
+    """The short hashes of the places after `at` and before `end`; null where they are more than TAIL."""
+    held = short.tobytes()
+    return pa.array([held[2 * a + 2 : 2 * e] if e - a - 1 <= fp.Balls.TAIL else None for a, e in zip(at.tolist(), end.tolist())], pa.binary())
 
 
 def _entries(reps: DataFrame, common, words: int, extra: list[str]) -> DataFrame:
@@ -103,12 +108,13 @@ def _entries(reps: DataFrame, common, words: int, extra: list[str]) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, terms = _columns(batch)
-            low, high = fp.parities(offsets, terms)
             n = np.diff(offsets)
             terms, place = ranked(offsets, terms, common)
+            short = fp.short_hashes(terms)
+            flipped = fp.prefix_parities(short)
             row = np.repeat(np.arange(len(n)), n)
-            first = place < (n - fp.needed(n) + words)[row]
-            at = np.flatnonzero(first)
+            last = n - fp.needed(n) + words  # places from here on are never the shard's
+            at = np.flatnonzero(place < last[row])
             if words == 1:
                 shard, of = terms[at], row[at]
             else:
@@ -121,28 +127,32 @@ def _entries(reps: DataFrame, common, words: int, extra: list[str]) -> DataFrame
                 of = row[at]
                 shard = fp.mix(parent[of] ^ fp.mix(terms[at]))
             take = pa.array(of)
-            made = {PLACE: pa.array((place[at] - words + 1).astype(np.int32))}
+            made = {TAIL: _tails(at, offsets[:-1][of] + last[of] + fp.Balls.DEPTH, short)} if TAIL in extra else {}
+            low, high = ((f[offsets[1:][of]] ^ f[at + 1]).view(np.int64) for f in flipped)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(shard.view(np.int64)), batch.column(0).take(take), pa.array(n[of].astype(np.int32)), pa.array(low[of].view(np.int64)), pa.array(high[of].view(np.int64))]
+                [pa.array(shard.view(np.int64)), batch.column(0).take(take), pa.array(n[of].astype(np.int32)), pa.array((place[at] - words + 1).astype(np.int32)), pa.array(low), pa.array(high)]
                 + [made[x] if x in made else batch.column(batch.schema.get_field_index(x)).take(take) for x in extra],
-                ["shard", "rec", "n", "low", "high", *extra],
+                ["shard", "rec", "n", "spent", "low", "high", *extra],
             )
 
-    schema = _ENTRY + "".join(f", {x} {'int' if x == PLACE else reps.schema[x].dataType.simpleString()}" for x in extra)
+    schema = _ENTRY + "".join(f", {x} {'binary' if x == TAIL else reps.schema[x].dataType.simpleString()}" for x in extra)
     return reps.mapInArrow(run, schema)
 
 
 def shards(reps: DataFrame, common, limit: int = LIMIT, extra: list[str] = []) -> DataFrame:
-    """Rows (shard, i, j, own, rec, n, low, high, *extra) of all shards.
+    """Rows (shard, i, j, own, rec, n, spent, low, high, *extra) of all shards.
+
+    `spent` is the number of words of the row before the last word of the shard that are not the shard's,
+    and `low` and `high` are the fingerprint of the words after it.
 
     A small shard has i = j = 0. A large one is cut into blocks; its part (i, j) holds the rows of
     blocks i and j, `own` being the block of the row: rows of one part are to be compared if i = j
     or their blocks differ.
     """
-    kept = ["rec", "terms", *[x for x in extra if x != PLACE]]
+    kept = ["rec", "terms", *[x for x in extra if x != TAIL]]
     one = _entries(reps.select(*kept), common, 1, extra)
     none = [F.lit(0).alias(x) for x in ("i", "j", "own")]
-    small = lambda d: d.select("shard", *none, "rec", "n", "low", "high", *extra)
+    small = lambda d: d.select("shard", *none, "rec", "n", "spent", "low", "high", *extra)
     large = cut(one.groupBy("shard").count().where(F.col("count") > limit), "large")
     if large.isEmpty():
         return small(one)
@@ -155,7 +165,7 @@ def shards(reps: DataFrame, common, limit: int = LIMIT, extra: list[str] = []) -
         two.join(huge, "shard")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec", "n", "low", "high", *extra)
+        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rec", "n", "spent", "low", "high", *extra)
     )
     return small(one.join(large, "shard", "left_anti")).union(small(two.join(huge, "shard", "left_anti"))).union(part)
 

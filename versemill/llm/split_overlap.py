@@ -28,12 +28,21 @@ from versemill.llm.split_groups import split_name
 from versemill.plans.lineage import cut
 
 TRAIN, EVAL = 1, 2
+#: Pairs whose fingerprints are compared at once.
+ROWS = 2_000_000
 
 
-def residual_bound(n: np.ndarray, m: np.ndarray, i: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """The greatest dot product of unit vectors of n and m equal weights whose first common terms stand at
-    places i and k: the matched weights, and the norms of what follows."""
-    return (1 + np.sqrt((n - i - 1) * (m - k - 1))) / np.sqrt(n * m)
+def residual_bound(n, m, i, k):
+    """The greatest dot product of unit vectors of n and m equal weights of whose terms i and k follow the
+    first common one: the matched weights, and the product of the residual norms."""
+    return (1 + np.sqrt(i * k)) / np.sqrt(n * m)
+
+
+def least_residual(n: int, i: int) -> float:
+    """The least number of following terms with which any vector can reach the threshold with one of n
+    terms, i of which follow."""
+    need = fp.SHARE / 10 * n - 1
+    return need * need / i - 1e-6 if i else (0.0 if need <= 1e-6 else np.inf)
 
 
 def _lists(c: dict[str, np.ndarray]) -> Iterator[tuple]:
@@ -42,21 +51,32 @@ def _lists(c: dict[str, np.ndarray]) -> Iterator[tuple]:
     train, held = np.flatnonzero(c["sides"] & TRAIN), np.flatnonzero(c["sides"] & EVAL)
     if not train.size or not held.size:
         return
-    bits = fp.Bits(c["low"].view(np.uint64), c["high"].view(np.uint64), c["n"].astype(np.int64))
-    n, place = bits.n, c[sh.PLACE].astype(np.float32)
-    step = max(1, bits.ROWS // held.size)
-    for s in range(0, train.size, step):
-        x = train[s : s + step]
-        nx, nh = n[x][:, None].astype(np.float32), n[held][None, :].astype(np.float32)
-        least = fp.SHARE / 10 * np.maximum(nx, nh)  # common terms that a pair needs
-        can = residual_bound(nx, nh, place[x][:, None], place[held][None, :]) * np.sqrt(nx * nh) >= least - 1e-3
-        a, b = np.nonzero(can & (nx + nh - bits.distance(x, held) >= 2 * least - 1e-3))
-        p, q = x[a], held[b]
-        ok = c["rec"][p] != c["rec"][q]
-        if blocks:
-            ok &= c["own"][p] != c["own"][q]
-        p, q = p[ok], q[ok]
-        yield c["rec"][p], c["rec"][q]
+    n, spent, low, high = c["n"].astype(np.int64), c["spent"].astype(np.int64), c["low"].view(np.uint64), c["high"].view(np.uint64)
+    follows = n - spent - 1  # terms that follow the matched one: n times the square of the residual norm
+    held = held[np.argsort(-follows[held], kind="stable")]
+    # train rows with one count and place have one norm and one residual norm, so one bound for all
+    order = train[np.lexsort((spent[train], n[train]))]
+    cuts = np.flatnonzero((np.diff(n[order]) != 0) | (np.diff(spent[order]) != 0)) + 1
+    for x in np.split(order, cuts):
+        size, rest = int(n[x[0]]), int(follows[x[0]])
+        # the others must leave a residual norm that lets the dot product reach the threshold
+        some = held[: np.searchsorted(-follows[held], -least_residual(size, rest), side="right")]
+        can = residual_bound(size, n[some], rest, follows[some]) >= fp.SHARE / 10 * np.maximum(size, n[some]) / np.sqrt(size * n[some]) - 1e-9
+        some = some[can]
+        if not some.size:
+            continue
+        far = fp.farthest(np.int64(size), n[some]) - spent[some]
+        step = max(1, ROWS // some.size)
+        for s in range(0, x.size, step):
+            t = x[s : s + step]
+            d = np.bitwise_count(low[t][:, None] ^ low[some][None, :])
+            d += np.bitwise_count(high[t][:, None] ^ high[some][None, :])
+            a, b = np.nonzero(d <= (far[None, :] - spent[t][:, None]))
+            p, q = t[a], some[b]
+            ok = c["rec"][p] != c["rec"][q]
+            if blocks:
+                ok &= c["own"][p] != c["own"][q]
+            yield c["rec"][p[ok]], c["rec"][q[ok]]
 
 
 def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +89,7 @@ def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) ->
     members = cut(members.join(side.where("side IS NOT NULL"), "rec").distinct(), "sided")
     reps = reps.join(members.groupBy(F.col("rep").alias("rec")).agg(F.bit_or("side").alias("sides")), "rec")
     common = sh.common_terms(reps)
-    entries = sh.shards(reps, common, limit, ["sides", sh.PLACE])
+    entries = sh.shards(reps, common, limit, ["sides"])
     found = sh.by_shard(entries, _lists, "a long, b long").distinct()
     near = exact_overlap(found, reps).where(F.col("common") * 10 >= F.greatest("na", "nb") * fp.SHARE)
     return members, cut(near.select("a", "b"), "links")
