@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from versemill.plans.lineage import cut
 GOLDEN = 0.6180339887498949
 #: Targets are a table of sources, not of data; more rows than this are refused.
 MOST_SOURCES = 10_000
-BUCKETS = 1024
+#: Rows of one source that a window holds at most, on average.
+BUCKET_ROWS = 100_000
 
 
 def plain_source(source: Column) -> Column:
@@ -21,31 +24,14 @@ def plain_source(source: Column) -> Column:
 
 
 def _targets(targets: DataFrame) -> list:
-    rows = targets.where("source IS NOT NULL AND target_share > 0").select("source", plain_source(F.col("source")).alias("plain"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).distinct().orderBy("plain", "source").limit(MOST_SOURCES + 1).collect()
+    """(plain, share, repeats) of each plain source with a share; rows of one plain source add up."""
+    kept = targets.where("source IS NOT NULL AND target_share > 0").groupBy(plain_source(F.col("source")).alias("plain"))
+    rows = kept.agg(F.sum("target_share").cast("double").alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).cast("long").alias("repeats")).orderBy("plain").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     return rows
 
 
-def source_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(source, tokens) by plain source; documents without a source are one of their own (null)."""
-    sized = token_counts(docs.select(plain_source(F.col("source")).alias("source"), "text"), ["source"], path=path)
-    return sized.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-
-
-def short_sources(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(source): the targets that can't be reached although every document is taken max_repeats times.
-
-    The mix is as large as the corpus, documents of other sources or none included. A target without
-    documents has 0 tokens; a null max_repeats allows none; targets keep their own spelling.
-    """
-    sums = cut(source_tokens(docs, path), "sources")
-    total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("total"))
-    named = targets.where("source IS NOT NULL").withColumn("plain", plain_source(F.col("source")))
-    have = named.join(sums.select(F.col("source").alias("plain"), "tokens"), "plain", "left").join(F.broadcast(total))
-    return have.where("coalesce(tokens, 0) * coalesce(max_repeats, 0) < target_share * total").select("source").distinct()
-
-
 def _running(df: DataFrame, group: str, bucket: str, order: list, value: Column, name: str) -> DataFrame:
     """`df` with the sum of `value` over all earlier rows of its group as `name`.
 
@@ -64,65 +50,104 @@ def document_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
 
 def blocks(sized: DataFrame, block_tokens: int, seed: int) -> DataFrame:
-    """(source, block, before, tokens, doc_id): the documents of each source in shuffled order (`before` is
-    the sum of the tokens of earlier ones), cut into blocks
-    of about equal tokens; the order is the hash of seed and key, the same on any cluster. Documents
-    without a source belong to no block."""
-    shuffled = sized.where("tokens > 0 AND source IS NOT NULL").withColumn("at", F.xxhash64(F.lit(seed), "doc_id"))
-    shuffled = shuffled.withColumn("bucket", F.shiftrightunsigned("at", 54).cast("int")).withColumn("at", F.expr("shiftrightunsigned(at, 1)"))
-    placed = _running(shuffled, "source", "bucket", ["at", "doc_id"], F.col("tokens"), "before")
-    return placed.select("source", F.floor(F.col("before") / block_tokens).alias("block"), "before", "tokens", "doc_id")
+    """(source, block, at, doc_id, first_token, tokens): the tokens of each source in one sequence, the documents in
+    shuffled order, cut into blocks of exactly `block_tokens` (the last one of a source may be shorter).
+
+    A row is the part of a document, `tokens` from `first_token` on, that stands in the block from `at` on; a
+    text may go over several blocks. The order is the hash of seed and key, the same on any cluster.
+    Documents without a source or without tokens belong to no block.
+    """
+    shuffled = sized.where("tokens > 0 AND source IS NOT NULL").withColumn("hash", F.xxhash64(F.lit(seed), "doc_id"))
+    bits = max(10, (sized.count() // BUCKET_ROWS).bit_length())
+    shuffled = shuffled.withColumn("bucket", F.shiftrightunsigned("hash", 64 - bits)).withColumn("hash", F.expr("shiftrightunsigned(hash, 1)"))
+    placed = _running(shuffled, "source", "bucket", ["hash", "doc_id"], F.col("tokens"), "before")
+    ends = F.col("before") + F.col("tokens")
+    cut_up = placed.withColumn("block", F.explode(F.sequence(F.expr(f"before DIV {block_tokens}"), F.expr(f"(before + tokens - 1) DIV {block_tokens}"))))
+    begin = F.greatest("before", F.col("block") * block_tokens)
+    end = F.least(ends, (F.col("block") + 1) * block_tokens)
+    return cut_up.select("source", "block", (begin - F.col("block") * block_tokens).alias("at"), "doc_id", (begin - F.col("before")).alias("first_token"), (end - begin).alias("tokens"))
+
+
+def _slots(spark, named: list, size: int, block_tokens: int) -> DataFrame:
+    """(slot, source) of every slot of a mix of `size` tokens.
+
+    Slot t goes to the source in whose part of the cumulated shares the point frac((t + 1/2) * golden
+    ratio) falls, so every stretch of the schedule is close to the shares.
+    """
+    weight, bound, choice = sum(r["share"] for r in named), 0.0, None
+    point = (F.col("id") + 0.5) * GOLDEN
+    point = point - F.floor(point)
+    for r in named[:-1]:
+        bound += r["share"] / weight
+        choice = F.when(point < bound, r["plain"]) if choice is None else choice.when(point < bound, r["plain"])
+    last = F.lit(named[-1]["plain"] if named else None).cast("string")
+    return spark.range(-(-size // block_tokens)).select(F.col("id").alias("slot"), (last if choice is None else choice.otherwise(last)).alias("source"))
+
+
+def _held(sized: DataFrame) -> tuple[DataFrame, int]:
+    """(source, held): the tokens of each plain source, null included; and those of all documents."""
+    sums = cut(sized.groupBy("source").agg(F.sum("tokens").alias("held")), "sources")
+    return sums, sums.agg(F.sum("held")).first()[0] or 0
+
+
+def short_sources(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, path: str = VOCABULARY) -> DataFrame:
+    """(source): the targets that can't be reached although every document is taken max_repeats times.
+
+    The mix is as large as the corpus, documents of other sources or none included. The schedule gives
+    each source its slots; a source whose blocks, taken max_repeats times, do not fill them (or fill them by
+    less than the points of the schedule can stray from the shares) gets an exact count of tokens. A
+    target without documents has 0 tokens; a null max_repeats allows none; targets keep their own spelling.
+    """
+    named = _targets(targets)
+    sums, size = _held(document_tokens(docs, path))
+    wanted = _slots(docs.sparkSession, named, size, block_tokens).groupBy(F.col("source").alias("plain")).agg(F.count("*").alias("slots"))
+    # N points of the golden ratio's multiples stray from an interval's share by less than 2 (3 + 2.1 ln N)
+    astray = 2 * (3 + 2.1 * math.log(max(2, size // block_tokens)))
+    weight = max(1.0, sum(r["share"] for r in named))
+    rows = targets.where("source IS NOT NULL AND target_share > 0").select("source", plain_source(F.col("source")).alias("plain"), "target_share", F.coalesce("max_repeats", F.lit(0)).cast("long").alias("repeats"))
+    rows = rows.join(wanted, "plain", "left").join(sums.select(F.col("source").alias("plain"), "held"), "plain", "left").na.fill(0, ["slots", "held"])
+    near = rows.where(F.ceil(F.col("held") / block_tokens) * F.col("repeats") <= (F.col("slots") + astray) * weight + F.col("repeats"))
+    return near.where(F.col("held") * F.col("repeats") < F.col("target_share") * F.lit(size)).select("source").distinct()
 
 
 def schedule(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
     """(slot, source, block, round, tokens): the blocks of the mix, in order; mix() has their documents."""
-    return _scheduled(docs, targets, block_tokens, seed, path)[0]
+    return _scheduled(document_tokens(docs, path), targets, block_tokens)
 
 
 def mix(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
-    """(slot, round, source, block, before, doc_id, tokens): the documents of the mix, in order of slot and
-    before; a document stands once in each round in which its block is taken."""
-    slots, placed = _scheduled(docs, targets, block_tokens, seed, path)
-    return slots.drop("tokens").join(placed, ["source", "block"]).select("slot", "round", "source", "block", "before", "doc_id", "tokens")
+    """(slot, round, source, block, at, doc_id, first_token, tokens): the parts of documents in the mix, whose order is
+    that of slot and at; a document stands once in each round in which its blocks are taken."""
+    sized = document_tokens(docs, path)
+    slots = _scheduled(sized, targets, block_tokens)
+    return slots.drop("tokens").join(blocks(sized, block_tokens, seed), ["source", "block"]).select("slot", "round", "source", "block", "at", "doc_id", "first_token", "tokens")
 
 
-def _scheduled(docs: DataFrame, targets: DataFrame, block_tokens: int, seed: int, path: str) -> tuple[DataFrame, DataFrame]:
-    """(slots, placed): the schedule and the blocks() that it was made of.
+def _scheduled(sized: DataFrame, targets: DataFrame, block_tokens: int) -> DataFrame:
+    """(slot, source, block, round, tokens).
 
-    Slot t goes to the source in whose part of the cumulated shares the point frac((t + 1/2) * golden
-    ratio) falls, so every stretch of the schedule is close to the shares. The k-th slot of a source
-    takes its k-th block, in the first round or in a repetition; slots beyond max_repeats rounds stay
-    empty and are left out. Null and empty texts take no part; the mix is as large as the corpus,
-    documents of other sources or none included.
+    The k-th slot of a source takes its k-th block, in the first round or in a repetition; slots beyond
+    max_repeats rounds stay empty and are left out. Null and empty texts take no part; the mix is as
+    large as the corpus, documents of other sources or none included.
     """
+    spark = sized.sparkSession
     named = _targets(targets)
-    sized = document_tokens(docs, path)
-    size = sized.agg(F.sum("tokens")).first()[0] or 0
-    placed = cut(blocks(sized, block_tokens, seed), "placed")
-    held = cut(placed.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "blocks")
-    whole = held.groupBy("source").agg(F.count("*").alias("n"))
-    weight, bound, choice = sum(r["target_share"] for r in named), 0.0, None
-    point = (F.col("id") + 0.5) * GOLDEN
-    point = point - F.floor(point)
-    for r in named[:-1]:
-        bound += r["target_share"] / weight
-        choice = F.when(point < bound, r["plain"]) if choice is None else choice.when(point < bound, r["plain"])
-    last = F.lit(named[-1]["plain"] if named else None)
-    slots = docs.sparkSession.range(-(-size // block_tokens)).select(F.col("id").alias("slot"), (last if choice is None else choice.otherwise(last)).alias("source"), F.shiftright("id", 16).alias("bucket"))
+    sums, size = _held(sized)
+    slots = _slots(spark, named, size, block_tokens).withColumn("bucket", F.shiftright("slot", 16))
     slots = _running(slots, "source", "bucket", ["slot"], F.lit(1), "k")
-    repeats = docs.sparkSession.createDataFrame([(r["plain"], r["max_repeats"] or 0) for r in named], "source string, repeats int")
-    # the blocks of a source are numbered without gaps: a text longer than a block leaves numbers out
-    numbered = _running(held.withColumn("bucket", F.shiftright("block", 12)), "source", "bucket", ["block"], F.lit(1), "nth")
-    taken = slots.join(whole, "source").join(F.broadcast(repeats), "source").withColumn("round", F.floor(F.col("k") / F.col("n"))).where("round < repeats")
-    taken = taken.withColumn("nth", F.col("k") % F.col("n"))
-    slots = taken.join(numbered.select("source", "nth", "block", "tokens"), ["source", "nth"]).select("slot", "source", "block", "round", "tokens")
-    return slots, placed
+    repeats = spark.createDataFrame([(r["plain"], r["repeats"]) for r in named], "source string, repeats long")
+    whole = sums.where("held > 0").join(F.broadcast(repeats), "source").withColumn("n", F.ceil(F.col("held") / block_tokens))
+    taken = slots.join(whole, "source").withColumn("round", F.expr("k DIV n")).where("round < repeats").withColumn("block", F.col("k") % F.col("n"))
+    return taken.select("slot", "source", "block", "round", F.least(F.lit(block_tokens).cast("long"), F.col("held") - F.col("block") * block_tokens).alias("tokens"))
 
 
 def mix_shares(docs: DataFrame, targets: DataFrame, block_tokens: int = 4096, seed: int = 1, path: str = VOCABULARY) -> DataFrame:
-    """(source, target_share, mixed_tokens, rounds, actual_share) of every target; 0 where nothing is mixed."""
-    mixed = cut(mix(docs, targets, block_tokens, seed, path), "mix")
-    sums = mixed.groupBy(F.col("source").alias("plain")).agg(F.sum("tokens").alias("mixed_tokens"), (F.max("round") + 1).alias("rounds"))
+    """(source, target_share, mixed_tokens, rounds, actual_share) of every target; 0 where nothing is mixed.
+
+    Targets of one plain source each show what that source has in the mix.
+    """
+    sums = mix(docs, targets, block_tokens, seed, path).groupBy(F.col("source").alias("plain")).agg(F.sum("tokens").alias("mixed_tokens"), (F.max("round") + 1).alias("rounds"))
+    sums = cut(sums, "mixed")
     total = sums.agg(F.sum("mixed_tokens").alias("total"))
     named = targets.where("source IS NOT NULL").withColumn("plain", plain_source(F.col("source")))
     out = named.join(sums, "plain", "left").join(F.broadcast(total))
