@@ -10,13 +10,19 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from versemill.plans.lineage import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how byte-level BPE of this family parts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids a task keeps; beyond that it starts over, which changes nothing but time.
+#: Words whose ids a task that counts tokens keeps; beyond that it starts over, which changes nothing but time.
 KEPT = 500_000
+#: Code points of a chunk of texts, about.
+CHUNK = 500_000
 
 
 class Replay:
@@ -106,21 +112,6 @@ class Replay:
         out = np.fromiter(map(code.__getitem__, words), np.int64, len(words))
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(offsets, ids) of the texts; null and empty texts have no ids."""
-        if len(self.code) > KEPT:
-            self._clear()
-        words, counts = [], []
-        for t in texts:
-            found = _split.findall(t) if t else []
-            counts.append(len(found))
-            words += found
-        codes = self.codes(words)
-        first, length = self.start[codes], self.start[codes + 1] - self.start[codes]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(first - total[:-1], length) + np.arange(total[-1])]
-        return total[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)], ids
-
 
 _split = regex.compile(PATTERN)
 _replays: dict[int, Replay] = {}
@@ -139,24 +130,93 @@ def replay(source: bytes) -> Replay:
     return _replays[key]
 
 
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Begin and end of stretches of about CHUNK code points."""
+    begin, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK:
+            yield begin, k + 1
+            begin, size = k + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)
+
+
+def chunks(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(chunk, keys, counts, places, words): the rows in chunks of about CHUNK code points.
+
+    `words` are the distinct words of a chunk, `places` the word at each place of its texts one after
+    another, `counts` the number of places of each row. The number of a chunk is that of its partition and
+    a serial number, so a task that runs again gives the same.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for begin, end in _parts(texts):
+                code: dict[str, int] = {}
+                counts, places = [], []
+                for t in texts[begin:end]:
+                    found = _split.findall(t) if t else []
+                    counts.append(len(found))
+                    places += [code.setdefault(w, len(code)) for w in found]
+                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, kind))
+                keys = batch.column(0).slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys), one(counts, pa.int32()), one(places, pa.int32()), one(list(code), pa.string())],
+                    ["chunk", "keys", "counts", "places", "words"],
+                )
+                number += 1
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.selectExpr(f"`{key}`", f"CAST(`{text}` AS STRING) AS text").mapInArrow(run, f"chunk long, keys array<{kind}>, counts array<int>, places array<int>, words array<string>")
+
+
+def word_ids(words: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(word, ids) of a table of distinct words: the replay of all merges over them, partition by partition."""
+    source = vocabulary(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = replay(source)
+        for batch in batches:
+            offsets, ids = bpe.run([w.encode() for w in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], ["word", "ids"])
+
+    return words.select("word").mapInArrow(run, "word string, ids array<int>")
+
+
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """(key, ids) of every row: the token ids of its whole text, without special tokens.
 
     Null and empty texts have the empty list; strings of special tokens are ordinary text; repeated
-    rows give repeated rows. Each task replays the merges over the distinct words of its own part of
-    the corpus, so nothing is shuffled and memory follows the words of one part.
+    rows give repeated rows. Each distinct word of the corpus is replayed once; its ids are joined to the
+    chunks that hold it, so what is shuffled are the distinct words of chunks, not the places.
     """
-    source = vocabulary(path)
+    parted = cut(chunks(df, key, text), "chunks")
+    codes = cut(word_ids(parted.select(F.explode("words").alias("word")).distinct(), path), "codes")
+    held = parted.select("chunk", F.posexplode("words").alias("pos", "word")).join(codes, "word").groupBy("chunk").agg(F.collect_list(F.struct("pos", "ids")).alias("coded"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = replay(source)
         for batch in batches:
-            offsets, ids = bpe.encode(batch.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], [key, "ids"])
+            keys, counts, places, coded = (batch.column(k) for k in range(4))
+            for r in range(batch.num_rows):
+                entries = coded[r].values
+                n = len(entries) if entries is not None else 0
+                start, flat, size = np.zeros(n, np.int64), np.zeros(0, np.int32), np.zeros(n, np.int64)
+                if n:
+                    pos, lists = entries.field(0).to_numpy(), entries.field(1)
+                    flat, size[pos] = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+                    start[pos] = np.cumsum(size[pos]) - size[pos]
+                at = places[r].values.to_numpy()
+                length = size[at]
+                total = np.concatenate([[0], np.cumsum(length)])
+                ids = flat[np.repeat(start[at] - total[:-1], length) + np.arange(total[-1])]
+                ends = total[np.concatenate([[0], np.cumsum(counts[r].values.to_numpy())]).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([keys[r].values, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.selectExpr(f"`{key}`", f"CAST(`{text}` AS STRING) AS text").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return parted.drop("words").join(held, "chunk", "left").select("keys", "counts", "places", "coded").mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str = VOCABULARY) -> DataFrame:
