@@ -1,5 +1,7 @@
 import os
 import random
+import time
+from itertools import combinations
 
 import pytest
 
@@ -29,13 +31,32 @@ def test_ids_as_by_the_library_and_back(spark):
 
 
 @needs
-def test_replay_starts_over_without_changing_ids(monkeypatch):
+def test_replay_starts_over_without_changing_ids():
     r = random.Random(1)
-    texts = ["".join(r.choice("abc độ .,'1\n") for _ in range(r.randint(0, 60))) for _ in range(200)]
+    words = ["".join(r.choice("abc độ .,'1\n") for _ in range(r.randint(1, 12))) for _ in range(200)]
     bpe = encode.replay(encode.vocabulary())
-    whole = [bpe.encode([t])[1].tolist() for t in texts]
-    monkeypatch.setattr(encode, "KEPT", 3)
-    assert [bpe.encode([t])[1].tolist() for t in texts] == whole
+
+    def ids(word):
+        code = bpe.codes([word])[0]
+        return bpe.flat[bpe.start[code] : bpe.start[code + 1]].tolist()
+
+    whole = [ids(w) for w in words]
+    bpe._clear()
+    assert [ids(w) for w in words] == whole
+    offsets, flat = bpe.run([w.encode() for w in words])
+    assert [flat[s:e].tolist() for s, e in zip(offsets, offsets[1:])] == whole
+
+
+@needs
+def test_each_word_of_the_corpus_is_replayed_once_whatever_the_chunks(spark):
+    texts = [f"từ {k % 7} nào cũng được {k}" for k in range(300)] + ["dài " * 300_000, None, "", "x" * 700_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    parted = encode.chunks(df, "doc_id", "text").collect()
+    assert len({c.chunk for c in parted}) == len(parted) > 5 and sorted(k for c in parted for k in c["keys"]) == list(range(304))
+    assert "".join(c.words[p] for c in parted for p in c.places) != "" and all(len(set(c.words)) == len(c.words) for c in parted)
+    bpe = encode.replay(encode.vocabulary())
+    for row in encode.encode_corpus(df).collect():
+        assert b"".join(bpe.names[i] for i in row.ids).decode() == (texts[row.doc_id] or "")
 
 
 @needs
@@ -110,10 +131,68 @@ def test_shared_amount_counts_each_place_once(spark):
             if len(by[t[i : i + 100]]) > 1:
                 held.update(range(i, i + 100))
         want[k] = (len(t or ""), len(held))
-    got = {r.doc_id: (r.n_chars, r.shared_chars) for r in spans.shared_amount(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for k, t in rows:
+        if len(t or "") >= 100:
+            first[t] = min(k, first.get(t, k))
+    want = {k: (first.get(t), *want[k]) for k, t in rows}
+    got = {r.doc_id: (r.class_no, r.n_chars, r.shared_chars) for r in spans.shared_amount(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
 
 
 def test_covers_hold_every_difference():
     for v, d in spans.COVERS.items():
         assert {(a - b) % v for a in d for b in d} == set(range(v))
+
+
+def test_passages_as_by_brute_force(spark):
+    rows = span_rows(12)
+    first = {}
+    for k, t in rows:
+        first.setdefault(t, k)
+    texts = {k: t for t, k in first.items() if len(t or "") >= 100}
+    grams = {k: {t[i : i + 100] for i in range(len(t) - 99)} for k, t in texts.items()}
+    want = set()
+    for k, t in texts.items():
+        for o in texts:
+            begin = [i for i in range(len(t) - 99) if k != o and t[i : i + 100] in grams[o]]
+            for i in begin:
+                if i - 1 not in begin:
+                    n = next(n for n in range(1, len(t)) if i + n not in begin)
+                    want.add((k, o, i, n + 99))
+    assert {tuple(r) for r in spans.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    assert spans.passages(spark.createDataFrame(rows, "doc_id long, text string").limit(0)).collect() == []
+
+
+def test_periodic_texts_take_linear_work():
+    n = 200_000
+    began = time.time()
+    assert spans.common_passages("-" * n, "-" * (n + 5), 100) == ([(0, n)], [(0, n + 5)])
+    assert spans.common_passages("ab" * n, "x" + "ba" * n, 100) == ([(0, 2 * n)], [(1, 2 * n)])
+    assert spans.common_passages("ab-" * n, "x" + "ba" * n, 100) == ([], [])
+    assert time.time() - began < 30
+
+
+def test_buckets_are_folded_and_hot_anchors_spread(spark):
+    """However small the stretches and the folded pieces are, each hot anchor keeps all its records."""
+    r = random.Random(5)
+    notice = "".join(r.choice("abcdefgh") for _ in range(130))
+    rows = [(k, chr(0x4E00 + k) * 7 + notice[: 99 + k % 3] + chr(0x5E00 + k) * 9) for k in range(1, 170)] + [(k, notice[40:120] + chr(0x7000 + k)) for k in range(300, 310)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = {(k, len(t), 0 if k >= 300 or k % 3 == 0 else 99 + k % 3) for k, t in rows}
+    assert {(x.doc_id, x.n_chars, x.shared_chars) for x in spans.shared_amount(df).collect()} == held
+    assert {(x.doc_a, x.doc_b) for x in spans.span_pairs(df).collect()} == brute.span_pairs(rows)
+    docs = df.selectExpr("doc_id AS rec", "text").coalesce(1)
+    of = {}
+    for k, t in rows:
+        for h in spans.anchors([t], 100)[2].tolist():
+            of.setdefault(h, set()).add(k)
+    for paired in (1, spans.PAIRED):
+        for most in (20, 400, 4_000_000):
+            met = spans._meet(spans._blobs(docs, 100, 64, most), 64, paired, most).distinct().collect()
+            got, pairs = {}, {(x.a, x.b) for x in met if x.b is not None}
+            for x in met:
+                if x.b is None:
+                    got.setdefault(x.h, set()).add(x.a)
+            assert sorted(map(sorted, got.values())) == sorted(sorted(v) for v in of.values() if len(v) > paired)
+            assert pairs == {p for v in of.values() if paired >= len(v) > 1 for p in combinations(sorted(v), 2)}

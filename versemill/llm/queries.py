@@ -69,12 +69,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.span_pairs(table(spark, sf_dir, "documents"))
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.passages(table(spark, sf_dir, "documents"))
+
+
 def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_amount(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_shared)
+    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_shared)
     return {f.__name__: f for f in every}
 
 
@@ -107,9 +111,12 @@ def oracle_sql() -> dict[str, str]:
     related = _related()
     point = "(('0x' || substr(sha256('split:' || group_no), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
     grams = "SELECT DISTINCT doc_id, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)"
+    places = "SELECT doc_id, i, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)"
     return {
         "p3_found": _p3(),
         "p5_found": f"WITH RECURSIVE {related} SELECT DISTINCT rec_no, group_no FROM t WHERE group_no IN (SELECT group_no FROM t GROUP BY 1 HAVING count(DISTINCT split) > 1)",
         "p5_splits": f"WITH RECURSIVE {related} SELECT rec_no, group_no, CASE WHEN {point} < 0.8 THEN 'train' WHEN {point} < 0.9 THEN 'dev' ELSE 'test' END AS new_split FROM t",
+        "p8_spans": f"WITH f AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), g AS ({places.replace('documents', 'f')}), n AS (SELECT DISTINCT a.doc_id, b.doc_id AS other, a.i FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id), t AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other ORDER BY i) AS island FROM n) SELECT doc_id, other, min(i) - 1 AS begin, count(*) + 99 AS size FROM t GROUP BY doc_id, other, island",
+        "p8_shared": f"WITH g AS ({places}), k AS (SELECT s FROM g GROUP BY s HAVING count(DISTINCT doc_id) > 1), c AS (SELECT doc_id, least(100, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 100)) AS gain FROM g SEMI JOIN k USING (s)), t AS (SELECT doc_id, sum(gain) AS shared FROM c GROUP BY doc_id), f AS (SELECT text, min(doc_id) AS class_no FROM documents WHERE length(text) >= 100 GROUP BY text) SELECT d.doc_id, f.class_no, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(t.shared, 0)::BIGINT AS shared_chars FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN f ON f.text = d.text",
         "p8_found": f"WITH g AS ({grams}) SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id",
     }

@@ -30,6 +30,8 @@ COVERS = {
 #: Records that share one anchor and are paired directly; with more of them the anchor is hot.
 PAIRED = 128
 CHUNK, PER_BUCKET = 1_000_000, 100_000
+#: Buckets over which the records of anchors that are hot within a task are spread, for each plain one.
+SALTS = 4096
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _powers = _inverses = np.ones(1, np.uint64)
 
@@ -86,10 +88,11 @@ def _chunks(ids: np.ndarray, texts: list[str]) -> Iterator[tuple[np.ndarray, lis
         yield ids[begin:], texts[begin:]
 
 
-def _blobs(docs: DataFrame, least: int, buckets: int) -> DataFrame:
+def _blobs(docs: DataFrame, least: int, buckets: int, most: int = 4 * CHUNK) -> DataFrame:
     """Anchors packed by bucket: (bucket, hot, low, rec), the last two arrays in bytes.
 
-    The records of an anchor that is hot within a chunk are flagged.
+    Of an anchor that is hot within a stretch of a task, one record goes to the bucket, flagged; the
+    records themselves go to one of SALTS buckets of their own, where they are only unpacked.
     """
 
     def pack(bucket, low, rec, hot: bool) -> pa.RecordBatch:
@@ -98,7 +101,7 @@ def _blobs(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         lows, recs = low.tobytes(), rec.tobytes()
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(bucket[begin].astype(np.int32)),
+                pa.array(bucket[begin].astype(np.int64)),
                 pa.array(np.full(len(begin), hot)),
                 pa.array([lows[4 * s : 4 * e] for s, e in zip(begin.tolist(), end.tolist())], pa.binary()),
                 pa.array([recs[8 * s : 8 * e] for s, e in zip(begin.tolist(), end.tolist())], pa.binary()),
@@ -119,10 +122,11 @@ def _blobs(docs: DataFrame, least: int, buckets: int) -> DataFrame:
         first[1:] = h[1:] != h[:-1]
         group = np.cumsum(first) - 1
         hot = (np.bincount(group) > PAIRED)[group]
-        for flag in (False, True):
-            x = hot == flag
+        bucket, low = (h >> np.uint64(32)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        salt = int(h[0] ^ rec[:1].view(np.uint64)[0]) % SALTS
+        for x, flag, away in ((~hot, False, 0), (hot & first, True, 0), (hot, True, (1 + salt) * buckets)):
             if x.any():
-                yield pack((h[x] >> np.uint64(32)).astype(np.int64), (h[x] & np.uint64(0xFFFFFFFF)).astype(np.uint32), rec[x], flag)
+                yield pack(bucket[x] + away, low[x], rec[x], flag)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -131,29 +135,47 @@ def _blobs(docs: DataFrame, least: int, buckets: int) -> DataFrame:
                 owner, _, h = anchors(texts, least)
                 held.append((h, ids[owner]))
                 size += len(h)
-                if size > 4 * CHUNK:
+                if size > most:
                     yield from flush(held)
                     held, size = [], 0
         if size:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "bucket int, hot boolean, low binary, rec binary")
+    return docs.mapInArrow(run, "bucket long, hot boolean, low binary, rec binary")
 
 
-def _meet(blobs: DataFrame) -> DataFrame:
-    """(a, b, h): pairs of records with an equal anchor, h null; or a record with a hot anchor h, b null."""
+def _meet(blobs: DataFrame, buckets: int, paired: int = PAIRED, most: int = 4 * CHUNK) -> DataFrame:
+    """(a, b, h): pairs of records with an equal anchor, h null; or a record with a hot anchor h, b null.
 
-    def bucket(number: int, pieces: list) -> Iterator[pa.RecordBatch]:
-        low = np.concatenate([np.frombuffer(p[1], np.uint32) for p in pieces])
-        rec = np.concatenate([np.frombuffer(p[2], np.int64) for p in pieces])
-        flag = np.repeat([p[0] for p in pieces], [len(p[1]) // 4 for p in pieces])
+    Anchors of more than `paired` records are hot; with `paired` 1 all anchors of several records are. The
+    pieces of a bucket are folded on the way, so that it never holds more than `paired` records of an anchor and
+    the last pieces.
+    """
+
+    def grouped(low, rec, flag):
         order = np.argsort(low, kind="stable")
         low, rec, flag = low[order], rec[order], flag[order]
         first = np.ones(len(low), bool)
         first[1:] = low[1:] != low[:-1]
         group = np.cumsum(first) - 1
         sizes = np.bincount(group)
-        hot = ((sizes > PAIRED) | (np.bincount(group, flag) > 0))[group]
+        hot = ((sizes > paired) | (np.bincount(group, flag) > 0))[group]
+        return low, rec, first, group, sizes, hot
+
+    def arrays(pieces: list):
+        low = np.concatenate([np.frombuffer(p[1], np.uint32) for p in pieces])
+        rec = np.concatenate([np.frombuffer(p[2], np.int64) for p in pieces])
+        return low, rec, np.repeat([p[0] for p in pieces], [len(p[1]) // 4 for p in pieces])
+
+    def fold(number: int, pieces: list) -> tuple[list, list]:
+        """(rows given out, pieces left): the records of hot anchors go, but for one that is flagged."""
+        low, rec, first, _, _, hot = grouped(*arrays(pieces))
+        out = [rows(rec[hot], None, (np.int64(number) << 32) + low[hot].astype(np.int64))] if hot.any() else []
+        one = hot & first
+        return out, [[flag, low[x].tobytes(), rec[x].tobytes()] for flag, x in ((False, ~hot), (True, one)) if x.any()]
+
+    def bucket(number: int, pieces: list) -> Iterator[pa.RecordBatch]:
+        low, rec, _, group, sizes, hot = grouped(*arrays(pieces))
         if hot.any():
             yield rows(rec[hot], None, (np.int64(number) << 32) + low[hot].astype(np.int64))
         keep = ~hot & (sizes > 1)[group]
@@ -173,86 +195,112 @@ def _meet(blobs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), none if h is None else pa.array(h)], ["a", "b", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, pieces = None, []
+        at, pieces, size = None, [], 0
         for batch in batches:
             for number, *piece in zip(*[c.to_pylist() for c in batch.columns]):
+                if number >= buckets:
+                    low, rec, _ = arrays([piece])
+                    yield rows(rec, None, (np.int64(number % buckets) << 32) + low.astype(np.int64))
+                    continue
                 if number != at and pieces:
                     yield from bucket(at, pieces)
-                    pieces = []
+                    pieces, size = [], 0
                 at = number
                 pieces.append(piece)
+                size += len(piece[1]) // 4
+                if size > most:
+                    out, pieces = fold(at, pieces)
+                    yield from out
+                    size = 0
         if pieces:
             yield from bucket(at, pieces)
 
     return blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long, h long")
 
 
-def _runs_at(docs: DataFrame, hot: DataFrame, least: int, buckets: int) -> DataFrame:
-    """(run, rec): hashes of the runs of `least` code points that contain a hot anchor of the record."""
+def _near(place: np.ndarray, size: int, least: int) -> np.ndarray:
+    """The begins of all runs of `least` code points that contain the window of one of the anchors at `place`."""
     _, _, window = cover(least)
+    begin = np.unique((place[:, None] - np.arange(least - window + 1)[None, :]).ravel())
+    return begin[(begin >= 0) & (begin <= size - least)]
+
+
+def _runs_at(docs: DataFrame, hot: DataFrame, least: int, buckets: int) -> DataFrame:
+    """(run, rec, begin): hashes of the runs of `least` code points that contain a hot anchor (a, h) of the record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rec, text, wanted in zip(*[c.to_pylist() for c in batch.columns]):
                 _, place, h = anchors([text], least)
                 h = ((h % np.uint64(buckets)) << np.uint64(32) | (h >> np.uint64(32))).astype(np.int64)
-                place = place[np.isin(h, np.array(wanted, np.int64))]
-                begin = np.unique((place[:, None] - np.arange(least - window + 1)[None, :]).ravel())
-                begin = begin[(begin >= 0) & (begin <= len(text) - least)]
+                begin = _near(place[np.isin(h, np.array(wanted, np.int64))], len(text), least)
                 if begin.size:
-                    found = np.unique(window_hashes(_codes([text]), begin, least)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), rec))], ["run", "rec"])
+                    found = window_hashes(_codes([text]), begin, least).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), rec)), pa.array(begin)], ["run", "rec", "begin"])
 
     wanted = hot.groupBy(F.col("a").alias("rec")).agg(F.collect_set("h").alias("wanted"))
-    return docs.join(wanted, "rec").select("rec", "text", "wanted").mapInArrow(run, "run long, rec long")
+    return docs.join(wanted, "rec").select("rec", "text", "wanted").mapInArrow(run, "run long, rec long, begin long")
+
 
+def _stretches(begin: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(begin, size) of the passages that consecutive begins of runs make up."""
+    cuts = np.flatnonzero(np.diff(begin) != 1)
+    first, last = begin[np.concatenate([[0], cuts + 1])], begin[np.concatenate([cuts, [len(begin) - 1]])]
+    return list(zip(first.tolist(), (last - first + least).tolist()))
 
-def common_runs(a: str, b: str, least: int) -> list[tuple[int, int, int]]:
-    """(begin in a, begin in b, length) of every maximal common run of at least `least` code points."""
+
+def common_passages(a: str, b: str, least: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(begin, size) of the passages of a held in b, and of those of b held in a.
+
+    A passage is a longest stretch all of whose runs of `least` code points stand in the other text. The
+    work is linear in the texts, periodic ones too: places are not paired.
+    """
     owner, place, h = anchors([a, b], least)
-    left, right = owner == 0, owner == 1
-    order = np.argsort(h[right], kind="stable")
-    hr, pr = h[right][order], place[right][order]
-    lo, hi = np.searchsorted(hr, h[left]), np.searchsorted(hr, h[left], side="right")
-    count = hi - lo
-    total = np.cumsum(count) - count
-    at = np.repeat(lo - total, count) + np.arange(int(count.sum()))
-    lines = np.unique(np.repeat(place[left], count) - pr[at])
-    x, y, found = _codes([a]), _codes([b]), []
-    for d in lines.tolist():
-        s, t = max(d, 0), max(-d, 0)
-        n = min(len(x) - s, len(y) - t)
-        same = np.concatenate([[False], x[s : s + n] == y[t : t + n], [False]])
-        edges = np.flatnonzero(same[1:] != same[:-1])
-        for begin, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if end - begin >= least:
-                found.append((s + begin, t + begin, end - begin))
-    return found
+    both = np.intersect1d(h[owner == 0], h[owner == 1])
+    known = np.isin(h, both)
+    x, y = (_near(place[known & (owner == k)], len(t), least) for k, t in ((0, a), (1, b)))
+    if not x.size or not y.size:
+        return [], []
+    hx, hy = window_hashes(_codes([a]), x, least), window_hashes(_codes([b]), y, least)
+    order = np.argsort(hy, kind="stable")
+    at = np.minimum(np.searchsorted(hy[order], hx), len(hy) - 1)
+    hit = hy[order][at] == hx
+    x, q, hx = x[hit], y[order][at][hit], hx[hit]
+    if not x.size:
+        return [], []
+    # exact comparison: stretches in which both places advance together, as a whole
+    cuts = np.flatnonzero((np.diff(x) != 1) | (np.diff(q) != 1)) + 1
+    ok = np.ones(len(x), bool)
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(x)]):
+        p, r, n = int(x[s]), int(q[s]), e - s - 1 + least
+        if a[p : p + n] != b[r : r + n]:
+            ok[s:e] = [a[p + k : p + k + least] == b[r + k : r + k + least] for k in range(e - s)]
+    x, hx = x[ok], hx[ok]
+    y = y[np.isin(hy, hx)]
+    return (_stretches(x, least), _stretches(y, least)) if x.size else ([], [])
 
 
 def _extend(pairs: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(a, b, begin_a, begin_b, size): the exact common runs of each pair."""
+    """(rec, other, begin, size): the passages of each text of a pair that the other holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(a, b, *r) for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]) for r in common_runs(x, y, least)]
+            out = []
+            for a, b, x, y in zip(*[c.to_pylist() for c in batch.columns]):
+                of_a, of_b = common_passages(x, y, least)
+                out += [(a, b, *p) for p in of_a] + [(b, a, *p) for p in of_b]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b", "begin_a", "begin_b", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["rec", "other", "begin", "size"])
 
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct(), "involved")
     texts = docs.join(ids, "rec", "left_semi")
     left, right = (texts.select(F.col("rec").alias(k), F.col("text").alias(t)) for k, t in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, begin_a long, begin_b long, size long")
-
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "rec long, other long, begin long, size long")
 
-def shared_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(members(rec, rep, n), runs(a, b, begin_a, begin_b, size)).
 
-    Records of one text are a class, named by its least key; runs are the maximal common runs of at
-    least `least` code points between the texts of different classes. Null texts and those shorter
-    than `least` take no part. Anchors that more than PAIRED records hold are refined to the hashes
-    of whole runs, so a standing phrase below the length gives no pairs however common it is.
-    """
+def _classes(df: DataFrame, key: str, text: str, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """(members(rec, rep, n), docs(rec, text), buckets): records of one text are a class, named by its least
+    key, whose text stands in docs. Null texts and those shorter than `least` take no part."""
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec"), F.col(text).cast("string").alias("text")).where(F.length("text") >= least)
     each = cut(docs.select("rec", F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").alias("n")), "digests")
     first = each.groupBy("sha").agg(F.min("rec").alias("rep"), F.count("*").alias("held")).where("held > 1")
@@ -261,22 +309,39 @@ def shared_runs(df: DataFrame, key: str = "doc_id", text: str = "text", least: i
     docs = docs.join(copies.where("rec <> rep").select("rec"), "rec", "left_anti")
     chars = each.agg(F.sum("n")).first()[0] or 0
     period, mask, _ = cover(least)
-    buckets = max(64, int(chars * mask.sum() / period / PER_BUCKET))
-    met = cut(_meet(_blobs(docs, least, buckets)).distinct(), "met")
+    return members, docs, max(64, int(chars * mask.sum() / period / PER_BUCKET))
+
+
+def shared_passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(members(rec, rep, n), passages(rec, other, begin, size)).
+
+    Records of one text are a class, named by its least key; passages are the longest stretches of a
+    class's text all of whose runs of `least` code points stand in the text of another class. Null texts and those
+    shorter than `least` take no part. Anchors that more than PAIRED records hold are refined to the hashes
+    of whole runs, so a standing phrase below the length gives no pairs however common it is.
+    """
+    members, docs, buckets = _classes(df, key, text, least)
+    met = cut(_meet(_blobs(docs, least, buckets), buckets).distinct(), "met")
     pairs, hot = met.where("b IS NOT NULL").select("a", "b"), met.where("b IS NULL").select("a", "h")
     if not hot.isEmpty():
-        runs = cut(_runs_at(docs, hot, least, buckets).distinct(), "runs")
+        runs = cut(_runs_at(docs, hot, least, buckets).select("run", "rec").distinct(), "runs")
         several = runs.groupBy("run").count().where("count > 1").select("run")
         runs = runs.join(several, "run", "left_semi")
         refined = runs.select("run", F.col("rec").alias("a")).join(runs.select("run", F.col("rec").alias("b")), "run").where("a < b").select("a", "b")
         pairs = cut(pairs.union(refined).distinct(), "pairs")
-    return members, cut(_extend(pairs, docs, least), "runs")
+    return members, cut(_extend(pairs, docs, least), "passages")
+
+
+def passages(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """(key, other, begin, size): the passages of the representative of each class of equal texts that the
+    representative of another class holds, in code points from 0; shared_amount() names the classes."""
+    return shared_passages(df, key, text, least)[1].select(F.col("rec").alias(key), "other", "begin", "size")
 
 
 def span_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b: records whose texts have a run of `least` code points in common."""
-    members, runs = shared_runs(df, key, text, least)
-    links = runs.select("a", "b").distinct()
+    members, held = shared_passages(df, key, text, least)
+    links = held.where("rec < other").select(F.col("rec").alias("a"), F.col("other").alias("b")).distinct()
     left, right = (members.select(F.col("rep").alias(k), F.col("rec").alias(x)) for k, x in (("a", "x"), ("b", "y")))
     near = links.join(left, "a").join(right, "b").select("x", "y")
     several = members.where("rec <> rep").select("rep").distinct()
@@ -286,15 +351,22 @@ def span_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", least: in
 
 
 def shared_amount(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(key, n_chars, shared_chars) of every record: code points of its text that lie in a run of at
-    least `least` held elsewhere too. Null texts have 0 of both; copies share their whole text."""
-    members, runs = shared_runs(df, key, text, least)
-    both = runs.select(F.col("a").alias("rep"), F.col("begin_a").alias("s"), (F.col("begin_a") + F.col("size")).alias("e"))
-    both = both.union(runs.select("b", "begin_b", F.col("begin_b") + F.col("size"))).distinct()
-    before = F.max("e").over(Window.partitionBy("rep").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
-    gain = F.greatest(F.lit(0).cast("long"), F.col("e") - F.greatest("s", F.coalesce(before, F.lit(0).cast("long"))))
-    covered = both.select("rep", gain.alias("gain")).groupBy("rep").agg(F.sum("gain").alias("shared"))
+    """(key, class_no, n_chars, shared_chars) of every record: the least key with the same text, and the code points
+    of the text that lie in a run of at least `least` held elsewhere too. Null texts have 0 of both and, as those
+    shorter than `least`, no class (null); copies share their whole text.
+
+    Records are never paired: anchors that several records hold lead to their runs, and runs that
+    several records hold to the places that they cover.
+    """
+    members, docs, buckets = _classes(df, key, text, least)
+    hot = _meet(_blobs(docs, least, buckets), buckets, paired=1).where("b IS NULL").select("a", "h").distinct()
+    runs = cut(_runs_at(docs, hot, least, buckets).distinct(), "runs")
+    several = runs.groupBy("run").agg(F.min("rec").alias("x"), F.max("rec").alias("y")).where("x <> y").select("run")
+    places = runs.join(several, "run", "left_semi").select("rec", "begin").distinct()
+    gain = F.least(F.lit(least).cast("long"), F.coalesce(F.col("begin") - F.lag("begin").over(Window.partitionBy("rec").orderBy("begin")), F.lit(least)))
+    covered = places.select(F.col("rec").alias("rep"), gain.alias("gain")).groupBy("rep").agg(F.sum("gain").alias("shared"))
     several = members.where("rec <> rep").select("rep").distinct().withColumn("copied", F.lit(True))
-    of = members.join(covered, "rep", "left").join(several, "rep", "left").select(F.col("rec").alias(key), F.when(F.col("copied"), F.col("n").cast("long")).otherwise(F.col("shared")).alias("shared"))
+    of = members.join(covered, "rep", "left").join(several, "rep", "left").select(F.col("rec").alias(key), "rep", F.when(F.col("copied"), F.col("n").cast("long")).otherwise(F.col("shared")).alias("shared"))
     none = F.lit(0).cast("long")
-    return df.where(F.col(key).isNotNull()).select(key, F.coalesce(F.length(text).cast("long"), none).alias("n_chars")).join(of, key, "left").select(key, "n_chars", F.coalesce("shared", none).alias("shared_chars"))
+    rows = df.where(F.col(key).isNotNull()).select(key, F.coalesce(F.length(text).cast("long"), none).alias("n_chars"))
+    return rows.join(of, key, "left").select(key, F.col("rep").alias("class_no"), "n_chars", F.coalesce("shared", none).alias("shared_chars"))
