@@ -19,7 +19,7 @@ def test_clean_output_of_every_title(spark, tmp_path):
         return text[:1].upper() + text[1:]
 
     want = {k: (None, None) if t is None else (clean("x</think> nghẹn " + re.sub(f"^{WS}+|{WS}+$", "", t)), clean("x</think> " + t)) for k, t in enumerate(titles)}
-    got = {r.rec_no: (r.answer, r.bare) for r in entry.queries()["clean_output_all"](spark, str(tmp_path)).collect()}
+    got = {r.rec_no: (r.answer, r.bare) for r in entry.queries()["clean_output"](spark, str(tmp_path)).collect()}
     assert got == want
     assert got[1][0] == "Đầu năm" and got[5][1] == "Quê)"
 

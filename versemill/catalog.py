@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from versemill.plans import agent_queries, corpus_queries, poem_queries, verse_queries
+from versemill.plans import agent_queries, corpus_queries, poem_queries, source_queries, verse_queries
 
-MODULES = [verse_queries, poem_queries, corpus_queries, agent_queries]
+MODULES = [verse_queries, poem_queries, corpus_queries, agent_queries, source_queries]
 
 
 def queries() -> dict:

@@ -94,3 +94,12 @@ WORD_ANY = r"[a-zA-Z\x{c0}-\x{1ef9}Đđ]+"
 #: Line ends of any kind.
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 EDGE = r"[^\p{L}\p{N}_]"
+
+# Foreign tokens that look like syllables and are kept out of the lexicon. Words such as "in", "an",
+# "so", "to" and "no" are syllables of the language and stay.
+FOREIGN = [
+    "the", "and", "guy", "led", "dien", "a", "i",
+    "you", "your", "have", "has", "with", "this", "that",
+    "they", "there", "not", "for", "are", "but", "his",
+    "her", "she", "which", "will", "what", "who", "when",
+]

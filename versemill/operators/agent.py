@@ -70,10 +70,14 @@ def request_topic(prompt: Column) -> Column:
     return F.regexp_replace(text, r"\.+$", "")
 
 
+# Syllables and signs that do not belong to the head of an answer.
+STRAY = r"nghèn|nghẹn|nghẽn|[^\p{L}\p{N}_\x{c0}-\x{1ef9}\t-\r\x1c-\x20]+"
+
+
 def clean_output(raw: Column) -> Column:
     """A model's answer after its thoughts, without stray signs at its head, its first letter in upper case."""
     text = tx.strip(F.regexp_replace(tx.strip(raw), "(?s)^.*</think>", ""))
-    text = F.regexp_replace(text, f"(?iu)^(nghèn|nghẹn|nghẽn|[^\\p{{L}}\\p{{N}}_\\x{{c0}}-\\x{{1ef9}}\t-\r\x1c-\x20]+){T.WS}*", "")
+    text = F.regexp_replace(text, f"(?iu)^({STRAY}){T.WS}*", "")
     return F.concat(F.upper(F.substring(text, 1, 1)), F.substring(text, 2, 2**31 - 1))
 
 
@@ -91,12 +95,21 @@ def manifest_faults(prompts: DataFrame, version: Column, split: Column, wanted_s
     return rows.select("id", fault.alias("fault")).where("fault IS NOT NULL").distinct()
 
 
+# What a prompt says about the people and keywords that a poem has to name.
+COVERAGE = {
+    "whole": "Ràng buộc nội dung: %s.",
+    "named": "phải nhắc rõ %s",
+    "exact": "phải dùng nguyên văn ít nhất một từ khoá: %s",
+    "loose": "phải phủ ít nhất %d/%d ý từ khoá; phần còn lại được paraphrase",
+}
+
+
 def coverage_instruction(recipients: Column, keywords: Column) -> Column:
     """What a prompt says about the people and keywords that a poem has to name."""
-    named = F.when(F.size(recipients) > 0, F.concat(F.lit("phải nhắc rõ "), F.array_join(recipients, ", ")))
-    exact = F.concat(F.lit("phải dùng nguyên văn ít nhất một từ khoá: "), F.array_join(keywords, ", "))
-    loose = F.format_string("phải phủ ít nhất %d/%d ý từ khoá; phần còn lại được paraphrase", F.least(F.lit(2), F.size(keywords)), F.size(keywords))
-    return F.concat(F.lit("Ràng buộc nội dung: "), F.concat_ws("; ", named, exact, loose), F.lit("."))
+    named = F.when(F.size(recipients) > 0, F.format_string(COVERAGE["named"], F.array_join(recipients, ", ")))
+    exact = F.format_string(COVERAGE["exact"], F.array_join(keywords, ", "))
+    loose = F.format_string(COVERAGE["loose"], F.least(F.lit(2), F.size(keywords)), F.size(keywords))
+    return F.format_string(COVERAGE["whole"], F.concat_ws("; ", named, exact, loose))
 
 
 def title_topic(title: Column) -> Column:
@@ -168,20 +181,25 @@ def parse_plan(raw: Column, lines: int = 4) -> Column:
 
 
 CRITIC = "struct<decision:string,issues:array<string>,repair_instruction:string>"
+# How the parts of a broken verdict are found, and what stands for those that are missing.
+BROKEN = {
+    "decision": r'"decision"\s*:\s*"(accept|reject)"',
+    "issues": r'(?s)"issues"\s*:\s*\[(.*?)\]\s*,\s*"repair_instruction"',
+    "repair_instruction": r'(?s)"repair_instruction"\s*:\s*"(.*?)"\s*\}',
+}
+MISSING = {"issues": "có từ hoặc cụm ghép không tự nhiên", "repair_instruction": "Dùng từ tiếng Việt thông dụng, tự nhiên."}
 
 
 def parse_critic(raw: Column) -> Column:
     """A critic's verdict. Broken output can be saved as a rejection only, never as an acceptance."""
     c = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), CRITIC)
-    sound = c["decision"].isin("accept", "reject") & c["issues"].isNotNull() & F.forall(c["issues"], lambda x: x.isNotNull()) & c["repair_instruction"].isNotNull()
-    rejected = F.regexp_extract(raw, r'"decision"\s*:\s*"(accept|reject)"', 1) == "reject"
-    issues = F.regexp_extract(raw, r'(?s)"issues"\s*:\s*\[(.*?)\]\s*,\s*"repair_instruction"', 1)
-    issues = F.when(issues == "", "có từ hoặc cụm ghép không tự nhiên").otherwise(issues)
-    repair = F.regexp_extract(raw, r'(?s)"repair_instruction"\s*:\s*"(.*?)"\s*\}', 1)
-    repair = F.when(repair == "", "Dùng từ tiếng Việt thông dụng, tự nhiên.").otherwise(repair)
+    whole = c["issues"].isNotNull() & F.forall(c["issues"], lambda x: x.isNotNull()) & c["repair_instruction"].isNotNull()
+    sound = F.coalesce(c["decision"].isin("accept", "reject") & whole, F.lit(False))
+    found = {name: F.regexp_extract(raw, pattern, 1) for name, pattern in BROKEN.items()}
+    issues, repair = (F.when(found[name] == "", default).otherwise(found[name]) for name, default in MISSING.items())
     issue = F.regexp_replace(F.regexp_replace(issues, r"\s+", " "), r'^[ ,"]+|[ ,"]+$', "")
     saved = F.struct(F.lit("reject").alias("decision"), F.array(issue).alias("issues"), repair.alias("repair_instruction"))
-    return F.when(F.coalesce(sound, F.lit(False)), c).when(rejected, saved)
+    return F.when(sound, c).when(found["decision"] == "reject", saved)
 
 
 def guide(wish: Column) -> Column:
@@ -197,18 +215,21 @@ def guide(wish: Column) -> Column:
 
 def retrieve(wishes: DataFrame, materials: DataFrame, k: int = 3) -> DataFrame:
     """(wish_id, material_id, score, place): materials that share most terms with a wish, one point more for
-    a named author, then by identifier.
+    a named author, then by identifier. For a few stated wishes; retrieve_many() is for many.
 
-    The wishes are the stated queries; each is held against every material where that lies, and only the
-    first k of a task reach the shuffle.
+    Terms meet in an inverted list. Materials that share none have their point at most, so the first k of all
+    by that point fill up what is lacking. A null wish has no terms.
     """
     searchable = tx.terms(F.concat_ws(" ", "text", "author", "url"))
     bonus = (F.coalesce("author", F.lit("")) != "").cast("int")
-    rows = tx.settle(materials.select("material_id", "text", "author", "url"), terms=searchable, bonus=bonus).select("material_id", "bonus", "terms")
-    asked = wishes.select("wish_id", tx.terms(F.col("wish")).alias("wanted"))
-    scored = rows.crossJoin(asked).select("wish_id", "material_id", (F.size(F.array_intersect("terms", "wanted")) + F.col("bonus")).alias("score"))
+    rows = tx.settle(materials.select("material_id", "text", "author", "url"), terms=searchable, bonus=bonus).select("material_id", "bonus", F.explode_outer("terms").alias("term"))
+    asked = wishes.select("wish_id", F.explode(tx.terms(F.col("wish"))).alias("term"))
+    shared = rows.join(asked, "term").groupBy("wish_id", "material_id").agg((F.count("*") + F.max("bonus")).alias("score"))
+    filler = materials.select("material_id", bonus.cast("long").alias("score")).orderBy(F.desc("score"), "material_id").limit(k)
+    every = shared.union(wishes.select("wish_id").distinct().join(F.broadcast(filler)).select("wish_id", "material_id", "score"))
+    every = every.groupBy("wish_id", "material_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("wish_id").orderBy(F.desc("score"), "material_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return every.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
 def retrieve_many(wishes: DataFrame, materials: DataFrame, k: int = 3, wish_block: int = WISH_BLOCK, material_block: int = MATERIAL_BLOCK) -> DataFrame:
@@ -256,3 +277,23 @@ def accepted_attempts(attempts: DataFrame, pool: str = "pool", attempt: str = "a
     """(pool, attempts, accepted_at): the first accepted attempt of each pool that no critic vetoed, null for none."""
     good = F.col("accepted") & ~F.coalesce(F.col("vetoed"), F.lit(False))
     return attempts.groupBy(pool).agg(F.count("*").alias("attempts"), F.min(F.when(good, F.col(attempt))).alias("accepted_at"))
+
+
+def retried_until_eligible(candidates: DataFrame, retries: int, pool: str = "pool", attempt: str = "attempt", idx: str = "idx") -> DataFrame:
+    """(pool, attempts, candidates, available, best): what a run that adds attempts until a candidate is valid and free of
+    certain errors would have made of each pool; at most `retries` attempts after the first.
+
+    Candidates have `score`, `valid` and `hard_fail`, attempts count from 1. The best is the eligible candidate of the highest score
+    among those made, the first of equals; without one, the best of all.
+    """
+    good = F.col("valid") & ~F.coalesce("hard_fail", F.lit(False))
+    last = candidates.groupBy(pool).agg(F.least(F.coalesce(F.min(F.when(good, F.col(attempt))), F.max(attempt)), F.lit(retries + 1)).alias("attempts"))
+    made = candidates.join(last, pool).where(F.col(attempt) <= F.col("attempts"))
+    best = F.max(F.struct(good.alias("good"), "score", (-F.col(idx)).alias("i")))
+    return made.groupBy(pool).agg(F.max("attempts").alias("attempts"), F.count("*").alias("candidates"), F.bool_or(good).alias("available"), (-best["i"]).alias("best"))
+
+
+def plan_sources(df: DataFrame, order: str, text: str = "text", unit: str = "unit_type", least_lines: int = 5, limit: int = 15) -> DataFrame:
+    """`df` with `pilot_id`: the first full poems, in order, that have enough lines, as sources of plans."""
+    rows = df.where((F.col(unit) == "raw_labeled_full_poem") & (F.size(tx.any_lines(F.col(text))) >= least_lines)).orderBy(order).limit(limit)
+    return rows.withColumn("pilot_id", F.format_string("PLAN-%03d", F.row_number().over(Window.orderBy(order))))

@@ -13,21 +13,27 @@ TONES = ["Chân thành", "Hài hước"]
 GENERAL = ["mọi nhà", "mọi người"]
 
 
-def audit_summary(df: DataFrame, natural: str, imagery: str, sensitive: str, decision: str, gate: float = 0.8) -> DataFrame:
+def audit_summary(df: DataFrame, natural: str, imagery: str, sensitive: str, decision: str, gate: float = 0.8, strict: bool = True) -> DataFrame:
     """One row: counts, acceptance rate, means, and whether the share of accepted records passes the gate.
 
-    Ratings that are no numbers of their domain are invalid and count as such only.
+    A rating that is no number of its domain, or a decision that is none, fails the job; with `strict` off such
+    rows are counted as `invalid`, take no part in anything else, and the gate is not passed.
     """
     n, i = F.expr(f"try_cast({natural} AS INT)"), F.expr(f"try_cast({imagery} AS INT)")
     s = F.expr(f"try_cast({sensitive} AS INT)")
     d = F.lower(tx.strip(F.col(decision)))
-    ok = n.between(1, 5) & i.between(1, 5) & s.isin(0, 1) & d.isin("accept", "reject")
-    rows = df.select(n.alias("n"), i.alias("i"), s.alias("s"), d.alias("d"), F.coalesce(ok, F.lit(False)).alias("ok"))
-    of = lambda c: F.sum(F.when(F.col("ok") & c, 1).otherwise(0))
+    ok = F.coalesce(n.between(1, 5) & i.between(1, 5) & s.isin(0, 1) & d.isin("accept", "reject"), F.lit(False))
+    if strict:
+        ok = F.when(ok, True).otherwise(F.raise_error(F.lit("a rating is outside its domain")).cast("boolean"))
+    rows = df.select(n.alias("n"), i.alias("i"), s.alias("s"), d.alias("d"), ok.alias("ok"))
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("ok") & c, 1).otherwise(0)), F.lit(0).cast("long"))
     mean = lambda c: F.bround(F.avg(F.when(F.col("ok"), F.col(c))), 3)
-    total, accepted = of(F.lit(True)), of(F.col("d") == "accept")
-    rate = F.coalesce(F.try_divide(accepted.cast("double"), total), F.lit(0.0))
-    return rows.agg(total.alias("n"), of(~F.col("ok") | F.col("ok")).alias("rated"), accepted.alias("accepted"), (total - accepted).alias("rejected"), F.bround(rate, 4).alias("accept_rate"), mean("n").alias("naturalness"), mean("i").alias("imagery"), of(F.col("s") == 1).alias("sensitive"), (rate >= gate).alias("gate_passed"))
+    rated, accepted = of(F.lit(True)), of(F.col("d") == "accept")
+    rate = F.coalesce(F.try_divide(accepted.cast("double"), rated), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("n"), rated.alias("rated"), (F.count("*") - rated).alias("invalid"), accepted.alias("accepted"), (rated - accepted).alias("rejected"), F.bround(rate, 4).alias("accept_rate"),
+        mean("n").alias("naturalness"), mean("i").alias("imagery"), of(F.col("s") == 1).alias("sensitive"), ((rate >= gate) & (F.count("*") == rated)).alias("gate_passed"),
+    )
 
 
 def choice(value: Column) -> Column:

@@ -80,3 +80,9 @@ def best_pairs(pool: DataFrame, most: float = 10.0) -> DataFrame:
     pairs = pairs.withColumn("gap", F.bround(F.col("la") - F.col("lb"), 4))
     w = Window.partitionBy("pool").orderBy(F.desc("gap"), "high", "low")
     return pairs.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("pool", "high", "low", "gap")
+
+
+def clearest(pairs: DataFrame, count: int) -> DataFrame:
+    """(pool, high, low, gap, place): the `count` pairs with the widest gaps, lower pools first on ties."""
+    top = pairs.orderBy(F.desc("gap"), "pool").limit(count)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("gap"), "pool")).cast("long"))

@@ -34,7 +34,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        # two independent 64-bit sums of the edges, which are distinct: equal for equal sets of edges only
+        state = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64(F.lit(2), "v", "u"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)

@@ -84,3 +84,56 @@ def retry_penalty(attempt: Column) -> Column:
 def strict_attempt(attempt: Column) -> Column:
     """Whether an attempt must keep tone and rhyme: from the second on."""
     return attempt >= 2
+
+
+ALL_TONES = 7
+
+
+def allowed_set(states: DataFrame, trie: DataFrame, masks: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    """(state, token, kind, relaxed, penalty): the tokens that each state of a decoder allows.
+
+    A state has root and path (the empty path is a root), line ("luc" or "bat"), word_pos, couplets, stop (null for
+    none), finished, after_bat, and for the syllable under way and the next one the tones allowed (tones, next_tones, bits
+    as in the trie) and the rhyme groups wanted (groups, next_groups, null for any).
+
+    A finished state, and one with enough couplets, allows the end only (kind "end"); a complete syllable at the
+    end of its line allows only a line end ("line"). Otherwise a syllable goes on ("walk") or, where it is complete, the
+    next one begins ("begin"); after an eight-word line, at the start of the next, a decoder without a stop may also
+    end. Strict states keep tokens below which the tones and groups can still be met; where none can, all
+    stay and are marked as relaxed. Soft ones pay for the first token of a syllable that by `masks` is in no
+    syllable of the tones or groups.
+    """
+    none = F.lit(None)
+    full = states.join(trie.where("complete").select("root", "path", F.lit(True).alias("complete")), ["root", "path"], "left").withColumn("complete", F.coalesce("complete", F.lit(False)))
+    closes = F.col("complete") & (((F.col("line") == "luc") & (F.col("word_pos") == 6)) | ((F.col("line") == "bat") & (F.col("word_pos") == 8)))
+    forced = F.when(F.col("finished"), "end").when(closes, "line").when(F.col("couplets") >= F.col("stop"), "end")
+    full = full.withColumn("forced", forced)
+    free = full.where("forced IS NULL")
+    only = full.where("forced IS NOT NULL").select("state", none.cast("string").alias("token"), F.col("forced").alias("kind"), F.lit(False).alias("relaxed"), F.lit(0.0).alias("penalty"))
+    may_end = free.where((F.col("path") == "") & (F.col("root") == 0) & F.col("stop").isNull() & F.col("after_bat"))
+    may_end = may_end.select("state", none.cast("string").alias("token"), F.lit("end").alias("kind"), F.lit(False).alias("relaxed"), F.lit(0.0).alias("penalty"))
+
+    at_root = F.col("path") == ""
+    walk = free.select("state", "root", "path", F.lit("walk").alias("kind"), F.col("tones").alias("t"), F.col("groups").alias("g"), at_root.alias("first"))
+    begin = free.where("complete").select("state", F.lit(1).alias("root"), F.lit("").alias("path"), F.lit("begin").alias("kind"), F.col("next_tones").alias("t"), F.col("next_groups").alias("g"), F.lit(True).alias("first"))
+    parent = F.when(F.instr("path", SEP) > 0, F.expr("left(path, length(path) - length(token) - 1)")).otherwise("")
+    children = trie.select("root", parent.alias("path"), "token", "tone_bits", "gids")
+    every = walk.union(begin).join(children, ["root", "path"])
+    meets = lambda bits, gids: (bits.bitwiseAND(F.col("t")) != 0) & (F.col("g").isNull() | F.arrays_overlap(gids, F.col("g")))
+    if strict:
+        every = every.withColumn("ok", (F.col("t") == ALL_TONES) & F.col("g").isNull() | meets(F.col("tone_bits"), F.col("gids")))
+        some = every.groupBy("state").agg(F.bool_or("ok").alias("some"))
+        every = every.join(some, "state").where("ok OR NOT some").select("state", "token", "kind", (~F.col("some")).alias("relaxed"), F.lit(0.0).alias("penalty"))
+        every = every.groupBy("state", "token").agg(F.max("kind").alias("kind"), F.max("relaxed").alias("relaxed"), F.min("penalty").alias("penalty"))
+    else:
+        every = every.join(masks.select("token", F.col("tone_bits").alias("mb"), F.col("gids").alias("mg")), "token", "left")
+        wrong = F.when((F.col("t") != ALL_TONES) & (F.coalesce("mb", F.lit(0)).bitwiseAND(F.col("t")) == 0), TONE_PENALTY).otherwise(0.0)
+        off = F.when(F.col("g").isNotNull() & ~F.coalesce(F.arrays_overlap("mg", "g"), F.lit(False)), RHYME_PENALTY).otherwise(0.0)
+        every = every.select("state", "token", "kind", F.lit(False).alias("relaxed"), F.when(F.col("first"), wrong + off).otherwise(0.0).alias("penalty"))
+        every = every.groupBy("state", "token").agg(F.max("kind").alias("kind"), F.max("relaxed").alias("relaxed"), F.max("penalty").alias("penalty"))
+    return only.union(may_end).union(every.select("state", "token", "kind", "relaxed", "penalty"))
+
+
+def token_texts(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """`tokens` (token) with `text`; tokens that the table of texts does not have are empty."""
+    return tokens.join(texts, "token", "left").withColumn("text", F.coalesce("text", F.lit("")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from versemill.functions import tables as T
@@ -106,10 +106,48 @@ def split_counts(df: DataFrame, split: str, text: str = "text") -> DataFrame:
     return df.groupBy(F.col(split).alias("split")).agg(F.count("*").alias("records"), F.sum(words).alias("tokens"))
 
 
-def merge_materials(df: DataFrame, text: Column, order: str, ref: Column) -> DataFrame:
-    """(text_sha256, first, refs, n): rows of one text as one material, named by its first row, with the
-    references of all its rows in order; references are distinct before they are gathered."""
+def numbered(df: DataFrame, group: str, order: str, name: str = "place", step: int = 1 << 16) -> DataFrame:
+    """`df` with the place (from 1) of each row in its group by the whole number `order`, ties in any order.
+
+    Rows are counted by stretches of `step` numbers first, so no window holds more than one stretch of a
+    group, however large the group is.
+    """
+    rows = df.withColumn("_part", F.floor(F.col(order) / step))
+    counts = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy(group, "_part").orderBy(order))
+    rows = rows.withColumn("_within", within)
+    rows = rows.join(counts, rows[group].eqNullSafe(counts["_g"]) & rows["_part"].eqNullSafe(counts["_p"]))
+    return rows.withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_g", "_p", "_before", "_within")
+
+
+def merge_materials(df: DataFrame, text: Column, order: str, ref: Column) -> tuple[DataFrame, DataFrame]:
+    """(materials(text_sha256, first, n), references(text_sha256, place, ref)): rows of one text as one
+    material, named by its first row, and the references of all its rows, one for each row, in order.
+
+    References stay rows of a table, as a material may have any number of them. A null text is a material too.
+    """
     rows = df.select(F.sha2(text, 256).alias("text_sha256"), F.col(order).alias("o"), ref.alias("ref"))
-    each = rows.groupBy("text_sha256", "ref").agg(F.min("o").alias("o"), F.count("*").alias("n"))
-    gathered = F.sort_array(F.collect_list(F.struct("o", "ref")))
-    return each.groupBy("text_sha256").agg(F.min("o").alias("first"), F.transform(gathered, lambda x: x["ref"]).alias("refs"), F.sum("n").alias("n"))
+    materials = rows.groupBy("text_sha256").agg(F.min("o").alias("first"), F.count("*").alias("n"))
+    return materials, numbered(rows, "text_sha256", "o").select("text_sha256", "place", "ref")
+
+
+def staging_stats(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """One row on the staging of a corpus: input_rows, exact_duplicates_removed, staging_rows, duplicate_clusters,
+    near_duplicate_links and the records of each split.
+
+    Null and blank texts are no input. Links are pairs of different fingerprints within reach; records of
+    one fingerprint are linked without being counted in pairs. A cluster lies in one split by its digest.
+    """
+    rows = cut(df.select(F.col(key), tx.staged(F.col(text)).alias("staged")).where("staged <> ''"), "staged")
+    unique = cut(keep_first(rows, F.col("staged"), key).select(key, "staged"), "unique")
+    members, pairs = near_pairs(cut(simhash(unique, key, "staged"), "fingerprints"))
+    pairs = cut(pairs, "links")
+    named = clusters(members, pairs).withColumn("split", hash_split(F.col("cluster")))
+    of = lambda s: F.count_if(F.col("split") == s).alias(s)
+    found = named.agg(F.countDistinct("cluster").alias("duplicate_clusters"), of("train"), of("dev"), of("test"))
+    sizes = rows.agg(F.count("*").alias("input_rows")).join(F.broadcast(unique.agg(F.count("*").alias("staging_rows"))))
+    sizes = sizes.join(F.broadcast(pairs.agg(F.count("*").alias("near_duplicate_links")))).join(F.broadcast(found))
+    removed = (F.col("input_rows") - F.col("staging_rows")).alias("exact_duplicates_removed")
+    return sizes.select("input_rows", removed, "staging_rows", "duplicate_clusters", "near_duplicate_links", "train", "dev", "test")

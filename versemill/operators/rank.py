@@ -60,18 +60,31 @@ def pearson(x: Column, y: Column) -> Column:
 
 
 def sweep(df: DataFrame, sets: dict[str, dict[str, float]]) -> DataFrame:
-    """(weights, pools, top1_agree, mean_overall): how each set of weights fares over all pools.
+    """(weights, pools, top1_agree, mean_overall, mean_correlation): how each set of weights fares over all pools.
 
-    Components are worked out once; the sets are a literal array, so the pools are only expanded, and one
-    window serves all sets.
+    Components are worked out once; the sets are a literal array, so the pools are only expanded, and
+    partial aggregates serve all sets; of equal scores the first of the pool is the best.
     """
     names = F.array(*[F.struct(F.lit(n).alias("weights"), total(F.col("parts"), w).alias("score")) for n, w in sets.items()])
     rows = df.select("pool", "idx", F.col("ev")["overall"].alias("overall"), F.explode(names).alias("s")).select("pool", "idx", "overall", "s.weights", "s.score")
-    best = Window.partitionBy("weights", "pool")
-    rows = rows.withColumn("most", F.max("overall").over(best)).withColumn("place", F.row_number().over(best.orderBy(F.desc("score"), "idx")))
-    top = rows.where("place = 1")
-    agree = (F.abs(F.col("overall") - F.col("most")) < 1e-9).cast("double")
-    return top.groupBy("weights").agg(F.count("*").alias("pools"), F.bround(F.avg(agree), 4).alias("top1_agree"), F.bround(F.avg("overall"), 3).alias("mean_overall"))
+    best = F.max(F.struct("score", (-F.col("idx")).alias("i"), "overall"))["overall"]
+    per = rows.groupBy("weights", "pool").agg(F.max("overall").alias("most"), best.alias("best"), pearson(F.col("score"), F.col("overall")).alias("corr"))
+    agree = (F.abs(F.col("best") - F.col("most")) < 1e-9).cast("double")
+    return per.groupBy("weights").agg(F.count("*").alias("pools"), F.bround(F.avg(agree), 4).alias("top1_agree"), F.bround(F.avg("best"), 3).alias("mean_overall"), F.round(F.avg("corr"), 4).alias("mean_correlation"))
+
+
+def benchmark_totals(df: DataFrame) -> DataFrame:
+    """One row of a ranked table (`ev`, `score`, `place`): means of the best of each pool, how many of them are
+    valid, how often the best has the highest overall score, and the mean correlation of score and overall."""
+    rows = df.select("pool", "place", "score", "ev", F.col("ev")["overall"].alias("o"))
+    per = rows.groupBy("pool").agg(F.max(F.when(F.col("place") == 1, F.col("ev"))).alias("ev"), F.max("o").alias("most"), pearson(F.col("score"), F.col("o")).alias("corr"))
+    mean = lambda f: F.bround(F.avg(F.col("ev")[f]), 1).alias(f)
+    valid = F.sum(F.col("ev")["is_valid"].cast("long"))
+    agree = (F.abs(F.col("ev")["overall"] - F.col("most")) < 1e-9).cast("double")
+    return per.agg(
+        F.count("*").alias("n"), *[mean(f) for f in ("scr", "tcr", "exact_rma", "slant_rma", "rma", "overall")], valid.alias("valid_n"), (F.count("*") - valid).alias("rejected_n"),
+        F.bround(F.avg(agree), 3).alias("top1_agree"), F.round(F.avg("corr"), 3).alias("avg_corr"),
+    )
 
 
 def blend(df: DataFrame, weight: float, raw: str = "raw") -> DataFrame:

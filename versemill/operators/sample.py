@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from versemill.plans.lineage import cut
+
 
 def digest(*parts: Column) -> Column:
     """The order that stands for shuffling: the same on any cluster."""
@@ -52,3 +54,15 @@ def blind_pairs(df: DataFrame, key: str, left: str, right: str, seed: int) -> tu
     rows = rows.withColumn("item", F.concat(F.lit("I"), F.substring("o", 1, 12)))
     form = rows.select("item", F.when(F.col("a_is_left"), F.col(left)).otherwise(F.col(right)).alias("a"), F.when(F.col("a_is_left"), F.col(right)).otherwise(F.col(left)).alias("b"))
     return form, rows.select("item", key, "a_is_left")
+
+
+def ordered_places(df: DataFrame, *order: str, name: str = "place") -> DataFrame:
+    """`df` with the place (from 1) of each row by columns that tell all rows apart.
+
+    Rows are parted by ranges, which are counted first; a window holds one range only.
+    """
+    rows = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = rows.groupBy("_part").count().select("_part", before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return rows.withColumn("_within", within).join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versemill.functions import phonetics as ph
 from versemill.functions import tables as T
+from versemill.operators.sample import ordered_places
 
 
 def spelled(vocabulary: DataFrame, syllable: str = "syllable") -> DataFrame:
@@ -18,8 +19,8 @@ def spelled(vocabulary: DataFrame, syllable: str = "syllable") -> DataFrame:
 
 
 def group_ids(groups: DataFrame) -> DataFrame:
-    """(rhyme, gid): rhymes numbered in order; there are as many rhymes as a language has, not as rows."""
-    return groups.select("rhyme").distinct().withColumn("gid", F.row_number().over(Window.orderBy("rhyme")) - 1)
+    """(rhyme, gid): rhymes numbered in order, from 0."""
+    return ordered_places(groups.select("rhyme").distinct(), "rhyme").select("rhyme", (F.col("place") - 1).cast("int").alias("gid"))
 
 
 def attributed(sequences: DataFrame, groups: DataFrame) -> DataFrame:

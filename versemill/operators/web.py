@@ -9,6 +9,7 @@ from versemill.functions import text as tx
 from versemill.operators.evaluate import evaluate
 from versemill.operators.lexical import assess
 from versemill.operators.lines import greedy
+from versemill.plans.lineage import cut, drop
 
 
 def fingerprint(text: Column) -> Column:
@@ -77,3 +78,91 @@ def chosen(df: DataFrame, wanted: list, key: str) -> DataFrame:
     if missing := [r[0] for r in rows.select(key).limit(20).collect()]:
         raise ValueError(f"missing: {missing}")
     return df.join(asked, key)
+
+
+def crawl_totals(pages: DataFrame) -> DataFrame:
+    """(pages, rendered_lines, scanned_windows, accepted, review, empty_pages): the totals of a page_audit()."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in ("rendered_lines", "scanned_windows", "accepted", "review")]
+    return pages.agg(F.count("*").alias("pages"), *sums, F.count_if(F.col("accepted") + F.col("review") == 0).alias("empty_pages"))
+
+
+def _folded(known: Column) -> Column:
+    """taken, overlaps and repeats of one group: a fold over its sound windows in order of pos.
+
+    A window that overlaps the last one taken goes first; then one whose digest was taken in this group,
+    or in an earlier one (`known`), which leaves its lines free.
+    """
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(None).cast("int").alias("last"), F.array().cast("array<string>").alias("seen"), none.alias("taken"), none.alias("overlaps"), none.alias("repeats"))
+
+    def step(s: Column, x: Column) -> Column:
+        changed = lambda **new: F.struct(*[new.get(f, s[f]).alias(f) for f in ("last", "seen", "taken", "overlaps", "repeats")])
+        at, digest = x["pos"], x["digest"]
+        more = lambda f: F.concat(s[f], F.array(at))
+        again = F.array_contains(s["seen"], digest) | F.coalesce(F.array_contains(known, digest), F.lit(False))
+        return F.when(s["last"].isNotNull() & (at < s["last"] + 4), changed(overlaps=more("overlaps"))).when(again, changed(repeats=more("repeats"))).otherwise(changed(last=at, seen=F.concat(s["seen"], F.array(digest)), taken=more("taken")))
+
+    return F.aggregate("windows", start, step)
+
+
+def fold_groups(windows: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """(grp, pos, digest, state) of sound windows (grp, pos, digest): "taken", "overlap" or "repeat", as one pass over all
+    groups in order would have it.
+
+    Groups are folded by themselves; then each learns which of its digests an earlier group has taken, and those
+    that learn something new are folded again, until none does. After k rounds the first k groups are as
+    in the single pass, and mostly all of them are after two or three. Groups are as long as a page, not as the corpus.
+    """
+    struct = F.sort_array(F.collect_list(F.struct(F.col("pos").cast("int").alias("pos"), "digest")))
+    groups = cut(windows.groupBy("grp").agg(struct.alias("windows")), "groups")
+    state, before = None, None
+    for _ in range(max_rounds):
+        if state is None:
+            rows = groups.withColumn("known", F.array().cast("array<string>"))
+        else:
+            taken = state.select("grp", F.explode(F.filter("windows", lambda x: F.array_contains(F.col("f.taken"), x["pos"]))["digest"]).alias("digest")).groupBy("digest").agg(F.min("grp").alias("first"))
+            held = groups.select("grp", F.explode(F.array_distinct(F.col("windows")["digest"])).alias("digest"))
+            known = held.join(taken, "digest").where(F.col("first") < F.col("grp")).groupBy("grp").agg(F.sort_array(F.collect_list("digest")).alias("known"))
+            rows = groups.join(known, "grp", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+        now = cut(rows.withColumn("f", _folded(F.col("known"))), "folded")
+        seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("grp", "known")), F.bit_xor(F.xxhash64(F.lit(2), "grp", "known"))).first())
+        if state is not None:
+            drop(state)
+        state = now
+        if seen == before:
+            break
+        before = seen
+    else:
+        raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
+    at = F.col("x.pos")
+    named = F.when(F.array_contains("f.taken", at), "taken").when(F.array_contains("f.repeats", at), "repeat").otherwise("overlap")
+    return state.select("grp", "f", F.explode("windows").alias("x")).select("grp", at.alias("pos"), F.col("x.digest").alias("digest"), named.alias("state"))
+
+
+def manual_import(groups: DataFrame, min_rma: float = 50.0, min_tcr: float = 70.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records(grp, pos, text, digest, bucket, review_reason), short(grp, text), audit) of pasted groups (grp, lines), taken
+    in the order of grp.
+
+    Every four neighbouring lines are a window. Windows without the form, with certain lexical errors, that overlap
+    a window taken from their group, or that repeat any taken before go, in this order. What stays is `strict` if tone and
+    rhyme are good enough, else for `review`. Groups of two lines are kept apart as short units. The audit has one row.
+    """
+    rows = cut(groups.select("grp", "lines", F.size("lines").alias("n")), "pasted")
+    spots = F.sequence(F.lit(0), F.col("n") - 4)
+    windows = rows.where("n >= 4").select("grp", "lines", F.explode(spots).alias("pos")).select("grp", "pos", F.array_join(F.slice("lines", F.col("pos") + 1, F.lit(4)), "\n").alias("text"))
+    scored = assess(evaluate(windows, "text", 4), "text").select("grp", "pos", "text", "hard_fail", F.col("ev.structure_ok").alias("sound"), F.col("ev.tcr").alias("tcr"), F.col("ev.rma").alias("rma"))
+    scored = cut(scored.withColumn("digest", F.sha2(F.lower(tx.nfc(F.col("text"))), 256)), "scored")
+    folded = cut(fold_groups(scored.where("sound AND NOT hard_fail").select("grp", "pos", "digest")), "fold")
+    taken = scored.join(folded.where("state = 'taken'").select("grp", "pos"), ["grp", "pos"])
+    good = (F.col("tcr") >= min_tcr) & (F.col("rma") >= min_rma)
+    reason = F.when(~good, F.when(F.col("rma") < min_rma, "low_rhyme_score").otherwise("low_tone_score"))
+    records = cut(taken.select("grp", "pos", "text", "digest", F.when(good, "strict").otherwise("review").alias("bucket"), reason.alias("review_reason")), "records")
+    audit = rows.agg(F.count("*").alias("source_groups"), F.count_if(F.col("n") == 2).alias("two_line_units"), F.count_if(F.col("n") < 4).alias("under_four_lines"))
+    one = [
+        scored.agg(F.count("*").alias("windows_scanned"), F.count_if("sound").alias("structure_ok_windows"), F.count_if(F.col("sound") & F.col("hard_fail")).alias("lexical_rejected")),
+        folded.agg(F.count_if(F.col("state") == "overlap").alias("overlap_rejected"), F.count_if(F.col("state") == "repeat").alias("exact_duplicates")),
+        records.agg(F.count_if(F.col("bucket") == "strict").alias("strict_records"), F.count_if(F.col("bucket") == "review").alias("review_records")),
+    ]
+    for part in one:
+        audit = audit.join(F.broadcast(part))
+    return records, rows.where("n = 2").select("grp", F.array_join("lines", "\n").alias("text")), audit

@@ -11,9 +11,12 @@ from versemill.functions import text as tx
 from versemill.operators import agent as ag
 from versemill.operators import audit as au
 from versemill.operators import lines as ln
+from versemill.operators import prompts as pr
 from versemill.operators import trie as tr
+from versemill.operators import decode
 from versemill.plans import sql as S
 from versemill.plans.corpus_queries import MATERIAL
+from versemill.plans.lineage import cut
 from versemill.plans.poem_queries import DOCS, POEMS, WEB
 from versemill.plans.session import table
 from versemill.plans.verse_queries import _DICT, poem_couplets
@@ -56,16 +59,13 @@ def request_topic(spark, sf_dir):
     return table(spark, sf_dir, DOCS).select("doc_id", ag.request_topic(t).alias("topic"))
 
 
-@query(f"SELECT rec_no, upper(substr(x, 1, 1)) || substr(x, 2) AS answer FROM (SELECT rec_no, regexp_replace({S.strip('title')}, {S.q('(?i)^nghẹn' + T.WS + '*')}, '') AS x FROM {POEMS} WHERE regexp_matches(title, '^[a-zA-Z]'))")
-def clean_output(spark, sf_dir):
-    """Titles as answers behind a thought and a stray syllable."""
-    rows = table(spark, sf_dir, POEMS).where(F.col("title").rlike("^[a-zA-Z]"))
-    raw = F.concat(F.lit("nghĩ\n</think> nghẹn "), tx.strip(F.col("title")))
-    return rows.select("rec_no", ag.clean_output(raw).alias("answer"))
+_TITLE = S.strip("title")
+_UNSTRAY = lambda x: f"regexp_replace({x}, {S.q('(?i)^(' + ag.STRAY + ')' + T.WS + '*')}, '')"
+_RAISED = lambda x: f"upper(substr({x}, 1, 1)) || substr({x}, 2)"
 
 
-@query()
-def clean_output_all(spark, sf_dir):
+@query(f"SELECT rec_no, {_RAISED('a')} AS answer, {_RAISED('b')} AS bare FROM (SELECT rec_no, {_UNSTRAY(S.strip(S.q('nghẹn ') + ' || ' + _TITLE))} AS a, {_UNSTRAY(_TITLE)} AS b FROM {POEMS})")
+def clean_output(spark, sf_dir):
     """Every title, whatever it begins with, as an answer behind a thought and a stray syllable, and behind
     the thought alone; null titles give null."""
     thought, title = F.lit("nghĩ\n</think> "), F.col("title")
@@ -149,46 +149,153 @@ def topic_guide(spark, sf_dir):
     return rows.select("doc_id", F.concat(F.get("g", F.lit(0)), F.lit("/"), F.get("g", F.lit(1))).alias("guide"))
 
 
-@query(f"SELECT rec_no, coalesce(domain, '?') AS domain, CASE WHEN rec_no % 3 = 0 THEN 'accept' ELSE 'reject' END AS decision FROM {WEB} WHERE rec_no IS NOT NULL")
+_BAD = S.q('["' + chr(92) * 2 + "\x00-\x1f]")
+_SAID = "CASE WHEN rec_no % 3 = 0 THEN 'accept' ELSE 'reject' END"
+
+
+@query(
+    f"SELECT rec_no, CASE WHEN text IS NULL OR (bad AND {_SAID} = 'accept') THEN NULL ELSE {_SAID} END AS decision, CASE WHEN text IS NULL OR (bad AND {_SAID} = 'accept') THEN NULL WHEN bad THEN md5(regexp_replace(regexp_replace('\"' || text || '\"', '[ \\t-\\r]+', ' ', 'g'), '^[ ,\"]+|[ ,\"]+$', '', 'g')) ELSE md5(text) END AS issue FROM (SELECT rec_no, text, regexp_matches(text, {_BAD}) AS bad FROM {WEB})"
+)
 def critic_json(spark, sf_dir):
-    """Verdicts made of every row, parsed; every third is broken and can come out as a rejection only."""
-    q = F.lit('"')
+    """Verdicts whose issue is the text of each row as it stands: line ends and quotes break them, and then they can
+    come out as a rejection only."""
     said = F.when(F.col("rec_no") % 3 == 0, "accept").otherwise("reject")
-    issue = F.when(F.col("rec_no") % 3 == 1, F.lit('từ "lạ" ở đây')).otherwise("ổn")
-    raw = F.concat(F.lit('Đây: {"decision": "'), said, F.lit('", "issues": ["'), issue, F.lit('"], "repair_instruction": "sửa"}'))
-    rows = tx.settle(table(spark, sf_dir, WEB).select("rec_no", "domain"), c=ag.parse_critic(raw))
-    return rows.select("rec_no", F.coalesce("domain", F.lit("?")).alias("domain"), F.col("c.decision").alias("decision"))
+    raw = F.concat(F.lit('Đây: {"decision": "'), said, F.lit('", "issues": ["'), F.col("text"), F.lit('"], "repair_instruction": "sửa"}'))
+    rows = tx.settle(table(spark, sf_dir, WEB).select("rec_no", "text"), c=ag.parse_critic(raw))
+    return rows.select("rec_no", F.col("c.decision").alias("decision"), F.md5(F.get("c.issues", F.lit(0))).alias("issue"))
 
 
-@query(f"SELECT rec_no, (rec_no % 4 <> 0) AS sound FROM {POEMS}")
+@query(f"SELECT rec_no, coalesce(len(a) = 4, false) AS sound, CASE WHEN len(a) = 4 THEN md5(array_to_string(a, '|')) END AS ideas FROM (SELECT rec_no, string_split(text, chr(10)) AS a FROM {POEMS})")
 def plan_json(spark, sf_dir):
-    """Plans of four lines made of every row, parsed; every fourth lacks a line."""
-    line = lambda k: f'{{"line": {k}, "role": "r", "idea": "i", "image": "m"}}'
-    full, short = (", ".join(line(k) for k in range(1, n + 1)) for n in (4, 3))
-    lines = F.when(F.col("rec_no") % 4 == 0, short).otherwise(full)
-    raw = F.concat(F.lit('x {"recipient": "r", "wish_intent": "w", "keywords": ["a"], "imagery": [], "tone": "t", "line_plan": ['), lines, F.lit("]} y"))
-    return table(spark, sf_dir, POEMS).select("rec_no", ag.parse_plan(raw).isNotNull().alias("sound"))
+    """Plans with a line for each line of the text, in a model's chatter; only those of four lines are sound."""
+    line = F.transform(F.split("text", "\n"), lambda x, k: F.struct((k + 1).alias("line"), F.lit("r").alias("role"), x.alias("idea"), F.lit("m").alias("image")))
+    plan = F.struct(F.lit("r").alias("recipient"), F.lit("w").alias("wish_intent"), F.array(F.lit("a")).alias("keywords"), F.array().cast("array<string>").alias("imagery"), F.lit("t").alias("tone"), line.alias("line_plan"))
+    raw = F.concat(F.lit("x "), F.to_json(plan), F.lit(" y"))
+    rows = tx.settle(table(spark, sf_dir, POEMS).select("rec_no", "text"), p=F.when(F.col("text").isNotNull(), ag.parse_plan(raw)))
+    return rows.select("rec_no", F.col("p").isNotNull().alias("sound"), F.md5(F.array_join(F.col("p.line_plan")["idea"], "|")).alias("ideas"))
+
+
+_RATED = "SELECT r, i, s, d, coalesce(r BETWEEN 1 AND 5 AND i BETWEEN 1 AND 5 AND s IN (0, 1), false) AS ok FROM (SELECT round(metrics.tcr) % 7 AS r, rec_no % 6 AS i, rec_no % 3 AS s, rec_no % 7 < 6 AS d FROM {WEB})"
+_SUMMARY = "SELECT {n} AS n, count(*) FILTER (ok) AS rated, {n} - count(*) FILTER (ok) AS invalid, count(*) FILTER (ok AND d) AS accepted, count(*) FILTER (ok AND NOT d) AS rejected, round_even(coalesce(count(*) FILTER (ok AND d)::DOUBLE / nullif(count(*) FILTER (ok), 0), 0), 4) AS accept_rate, round_even(avg(r) FILTER (ok), 3) AS naturalness, round_even(avg(i) FILTER (ok), 3) AS imagery, count(*) FILTER (ok AND s = 1) AS sensitive, {n} = count(*) FILTER (ok) AND coalesce(count(*) FILTER (ok AND d)::DOUBLE / nullif(count(*) FILTER (ok), 0), 0) >= 0.8 AS gate_passed FROM (" + _RATED.replace("{WEB}", WEB) + ") WHERE {where}"
+
+
+def _ratings(spark, sf_dir):
+    n = F.col("rec_no")
+    return table(spark, sf_dir, WEB).select((F.round("metrics.tcr").cast("long") % 7).alias("r"), (n % 6).alias("i"), (n % 3).alias("s"), F.when(n % 7 < 6, " Accept").otherwise("reject").alias("d"))
+
+
+@query(_SUMMARY.format(n="count(*)", where="ok"))
+def audit_ratings(spark, sf_dir):
+    """Four ratings made of every row whose ratings are all within their domains; any other would fail the job."""
+    rows = _ratings(spark, sf_dir).where("r BETWEEN 1 AND 5 AND i BETWEEN 1 AND 5 AND s IN (0, 1)")
+    return au.audit_summary(rows, "r", "i", "s", "d")
+
+
+@query(_SUMMARY.format(n="count(*)", where="true"))
+def audit_summary(spark, sf_dir):
+    """Four ratings made of every row, some outside their domain or missing, which are counted apart."""
+    return au.audit_summary(_ratings(spark, sf_dir), "r", "i", "s", "d", strict=False)
+
+
+@query(f"SELECT count(*) AS n, round_even(avg((h = m)::INT::DOUBLE), 4) AS agreement FROM (SELECT CASE rec_no % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'TIE' END AS h, CASE WHEN metrics.tcr > metrics.rma THEN 'A' ELSE 'B' END AS m FROM {WEB}) WHERE h <> 'TIE'")
+def agreement(spark, sf_dir):
+    """How often a choice made of the row number is the side with the higher of two scores."""
+    n = F.col("rec_no") % 3
+    human = F.when(n == 0, "A").when(n == 1, "B").otherwise("TIE")
+    return au.agreement(table(spark, sf_dir, WEB), human, F.col("metrics.tcr"), F.col("metrics.rma"))
+
+
+_TOLD = lambda name, **v: S.fill(pr.TEXTS[name], **v)
+_COVER = f"printf({S.q(ag.COVERAGE['whole'])}, array_to_string(list_filter([CASE WHEN len(people) > 0 THEN printf({S.q(ag.COVERAGE['named'])}, array_to_string(people, ', ')) END, printf({S.q(ag.COVERAGE['exact'])}, array_to_string(keys, ', ')), printf({S.q(ag.COVERAGE['loose'])}, least(2, len(keys)), len(keys))], lambda x: x IS NOT NULL), '; '))"
+_PROMPT = (
+    f"array_to_string(list_filter([{S.q(pr.TEXTS['head'])}, CASE WHEN recipient <> '' THEN {_TOLD('recipient', recipient='recipient')} END, CASE WHEN wish <> '' THEN {_TOLD('wish', wish='wish')} END, CASE WHEN topic <> '' THEN {_TOLD('topic', topic='topic')} END, "
+    f"{_TOLD('lines', num_lines='n')}, CASE WHEN len(keys) > 0 THEN {_TOLD('keywords', keywords=chr(97) + 'rray_to_string(keys, ' + S.q(', ') + ')')} END, CASE WHEN rhyme <> '' THEN {_TOLD('rhyme', rhyme='rhyme')} END], lambda x: x IS NOT NULL), chr(10))"
+)
+_TURNS = lambda system, user: f"'<|im_start|>system' || chr(10) || {S.q(pr.TEXTS[system])} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || {user} || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)"
+_KEYLIST = "array_to_string(keys, ', ')"
+_ASKED = f"""SELECT rec_no, text, CASE rec_no % 4 WHEN 0 THEN 'Ông bà' WHEN 1 THEN 'mọi người' WHEN 2 THEN '' END AS recipient, {S.squeeze("coalesce(title, '')")} AS wish, CASE WHEN rec_no % 5 > 0 THEN 'Tết' END AS topic, rec_no % 4 * 2 + 2 AS n,
+['mai vàng', 'sum vầy', 'lộc biếc'][1 : rec_no % 4] AS keys, CASE WHEN rec_no % 2 = 0 THEN 'an' END AS rhyme, CASE WHEN rec_no % 3 = 0 THEN []::VARCHAR[] ELSE ['ông', 'bà'][1 : rec_no % 3] END AS people FROM {POEMS} WHERE text IS NOT NULL"""
+
+
+def asked(spark, sf_dir) -> DataFrame:
+    """Requests made of every poem: recipient, wish, topic, lines, keywords, rhyme and the people to be named."""
+    n = F.col("rec_no")
+    words = lambda ws, k: F.slice(F.array(*map(F.lit, ws)), F.lit(1), k.cast("int"))
+    return table(spark, sf_dir, POEMS).where("text IS NOT NULL").select(
+        "rec_no", "text", F.when(n % 4 == 0, "Ông bà").when(n % 4 == 1, "mọi người").when(n % 4 == 2, "").alias("recipient"), tx.squeeze(F.coalesce("title", F.lit(""))).alias("wish"), F.when(n % 5 > 0, "Tết").alias("topic"),
+        (n % 4 * 2 + 2).alias("n"), words(["mai vàng", "sum vầy", "lộc biếc"], n % 4).alias("keys"), F.when(n % 2 == 0, "an").alias("rhyme"), words(["ông", "bà"], n % 3).alias("people"),
+    )
 
 
 @query(
-    f"SELECT decision_ok AS ok, count(*) AS n, round_even(avg(quality), 3) AS naturalness FROM (SELECT (round(metrics.tcr) % 7 BETWEEN 1 AND 5) AS decision_ok, CASE WHEN round(metrics.tcr) % 7 BETWEEN 1 AND 5 THEN round(metrics.tcr) % 7 END AS quality FROM {WEB} WHERE metrics.tcr IS NOT NULL) GROUP BY 1"
+    f"SELECT rec_no, md5({_PROMPT}) AS prompt, md5({_TURNS('poet', _PROMPT)}) AS chat, md5({_TOLD('gold', recipient=chr(67) + 'ASE WHEN recipient IN (' + S.q('mọi người') + ') THEN ' + S.q('mọi nhà') + ' ELSE recipient END', keywords=_KEYLIST, tone=S.q('Chân thành'))}) AS gold, md5({_TURNS('critic', _TOLD('critic_user', wish='wish', keywords=_KEYLIST, poem='text'))}) AS critic, md5({_TURNS('prose', _TOLD('prose_user', topic='topic'))}) AS prose, md5({_TURNS('plan', _TOLD('plan_user', poem='text'))}) AS plan FROM ({_ASKED})"
 )
-def audit_ratings(spark, sf_dir):
-    """Ratings made of the tone scores: what is within its domain, and the mean of it."""
-    r = F.round("metrics.tcr").cast("long") % 7
-    rows = table(spark, sf_dir, WEB).where("metrics.tcr IS NOT NULL").select(r.alias("r"))
-    ok = F.col("r").between(1, 5)
-    return rows.groupBy(ok.alias("ok")).agg(F.count("*").alias("n"), F.bround(F.avg(F.when(ok, F.col("r"))), 3).alias("naturalness"))
+def prompt_texts(spark, sf_dir):
+    """The prompts and chats made of every request: for a poem, a reviewed example, a critic, prose and a plan."""
+    c = F.col
+    keys = c("keys")
+    chat = lambda turns: F.md5(pr.chat_text(turns))
+    prompt = pr.poem_prompt(c("recipient"), c("wish"), c("topic"), c("n"), keys, c("rhyme"))
+    return asked(spark, sf_dir).select(
+        "rec_no", F.md5(prompt).alias("prompt"), chat(pr.messages("poet", prompt)).alias("chat"), F.md5(pr.gold_prompt(c("recipient"), keys, F.lit("Chân thành"))).alias("gold"),
+        chat(pr.critic_messages(c("text"), c("wish"), keys)).alias("critic"), chat(pr.prose_messages(c("topic"))).alias("prose"), chat(pr.plan_messages(c("text"))).alias("plan"),
+    )
+
+
+_RETRY = _TOLD("failed", reasons=f"{_COVER} || '; ' || CASE WHEN rec_no % 2 = 0 THEN {S.q(pr.TEXTS['content_kept'])} ELSE {S.q(pr.TEXTS['content_missing'])} END || CASE WHEN rec_no % 3 = 0 THEN '; ' || {S.q(pr.TEXTS['form_first'])} ELSE '' END")
+_REPAIR = f"CASE WHEN rec_no % 5 < 3 THEN {_TOLD('repair', issues=chr(67) + 'ASE WHEN rec_no % 5 = 0 THEN ' + S.q(pr.TEXTS['some_issue']) + ' ELSE ' + S.q('a; b; c; d') + ' END', repair=S.q('sửa'), poem='text')} END"
+_CERTAIN = f"CASE WHEN rec_no % 7 > 0 THEN {_TOLD('certain', issues=S.fill(pr.TEXTS['orphan'], token=S.q('ơ')) + ' || ' + S.q('; ') + ' || ' + S.fill(pr.TEXTS['truncated'], keyword=S.q('mai vàng')))} END"
+
+
+@query(f"SELECT rec_no, md5({_RETRY}) AS retry, md5({_REPAIR}) AS repair, md5(array_to_string(list_filter([{_RETRY}, {_CERTAIN}, {_REPAIR}], lambda x: x IS NOT NULL), chr(10))) AS strict FROM ({_ASKED})")
+def feedback_texts(spark, sf_dir):
+    """What the next attempt is told of the last one: by the gate, by a critic, and by certain errors."""
+    c, n = F.col, F.col("rec_no")
+    issues = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, "abcde")))
+    critic = F.struct(F.when(n % 5 < 3, "reject").otherwise("accept").alias("decision"), issues.alias("issues"), F.lit("sửa").alias("repair_instruction"))
+    one = lambda kind, token, keyword: F.struct(F.lit(kind).alias("type"), F.lit(token).cast("string").alias("token"), F.lit(keyword).cast("string").alias("keyword"))
+    certain = F.when(n % 7 > 0, F.array(one("orphan_vowel", "ơ", None), one("other", "x", None), one("truncated_keyword", None, "mai vàng")))
+    rows = tx.settle(asked(spark, sf_dir), critic=critic, certain=certain)
+    state = (c("people"), c("keys"), n % 2 == 0, n % 3 == 0)
+    return rows.select("rec_no", F.md5(pr.retry_feedback(*state)).alias("retry"), F.md5(pr.repair_feedback(c("text"), c("critic"))).alias("repair"), F.md5(pr.strict_repair_feedback(*state, c("certain"), c("text"), c("critic"))).alias("strict"))
+
+
+@query(f"SELECT rec_no, 'PLAN-' || lpad(row_number() OVER (ORDER BY rec_no)::VARCHAR, 3, '0') AS pilot_id FROM (SELECT rec_no FROM {MATERIAL} WHERE rec_no % 2 = 0 AND len(regexp_split_to_array(text, {S.q(T.LINE_END)})) >= 5 ORDER BY rec_no LIMIT 15)")
+def plan_sources(spark, sf_dir):
+    """The first fifteen full poems of five lines or more."""
+    rows = table(spark, sf_dir, MATERIAL).withColumn("unit", F.when(F.col("rec_no") % 2 == 0, "raw_labeled_full_poem").otherwise("x"))
+    return ag.plan_sources(rows, "rec_no", unit="unit").select("rec_no", "pilot_id")
+
+
+_ATTEMPTS = f"SELECT (rec_no - 1) // 8 AS pool, (rec_no - 1) % 8 // 2 + 1 AS attempt, (rec_no - 1) % 8 AS idx, coalesce(metrics.rma, 0) AS score, coalesce(metrics.is_valid_lucbat, false) AND rec_no % 3 = 0 AS good FROM {WEB}"
+
+
+@query(f"WITH c AS ({_ATTEMPTS}), l AS (SELECT pool, least(coalesce(min(attempt) FILTER (good), max(attempt)), 3) AS attempts FROM c GROUP BY pool) SELECT pool, attempts, count(*) AS candidates, bool_or(good) AS available, arg_min(idx, (good::INT * -1, -score, idx)) AS best FROM c JOIN l USING (pool) WHERE attempt <= attempts GROUP BY pool, attempts")
+def retry_until_eligible(spark, sf_dir):
+    """Pools of eight windows as four attempts of two, at most two after the first."""
+    n = F.col("rec_no")
+    rows = table(spark, sf_dir, WEB).select(F.expr("(rec_no - 1) DIV 8").alias("pool"), F.expr("(rec_no - 1) % 8 DIV 2 + 1").alias("attempt"), ((n - 1) % 8).alias("idx"), F.coalesce("metrics.rma", F.lit(0.0)).alias("score"), F.coalesce("metrics.is_valid_lucbat", F.lit(False)).alias("valid"), (n % 3 != 0).alias("hard_fail"))
+    return ag.retried_until_eligible(rows, 2)
+
+
+@query(f"SELECT pool, count(*) AS attempts, min(attempt) FILTER (ok AND NOT veto) AS accepted_at FROM (SELECT (rec_no - 1) // 8 AS pool, (rec_no - 1) % 8 + 1 AS attempt, coalesce(metrics.structure_ok, false) AS ok, rec_no % 4 = 0 AS veto FROM {WEB}) GROUP BY pool")
+def accepted_attempts(spark, sf_dir):
+    n = F.col("rec_no")
+    rows = table(spark, sf_dir, WEB).select(F.expr("(rec_no - 1) DIV 8").alias("pool"), ((n - 1) % 8 + 1).alias("attempt"), F.coalesce("metrics.structure_ok", F.lit(False)).alias("accepted"), F.when(n % 4 == 0, True).alias("vetoed"))
+    return ag.accepted_attempts(rows)
 
 
 @query(
-    f"SELECT n, n AS rated, accepted, n - accepted AS rejected, round_even(CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE accepted::DOUBLE / n END, 4) AS accept_rate, naturalness, imagery, sensitive, CASE WHEN n = 0 THEN false ELSE accepted::DOUBLE / n >= 0.8 END AS gate_passed FROM (SELECT count(*) FILTER (ok) AS n, count(*) FILTER (ok AND d) AS accepted, round_even(avg(r) FILTER (ok), 3) AS naturalness, round_even(avg(i) FILTER (ok), 3) AS imagery, count(*) FILTER (ok AND s = 1) AS sensitive FROM (SELECT *, coalesce(r BETWEEN 1 AND 5 AND i BETWEEN 1 AND 5 AND s IN (0, 1), false) AS ok FROM (SELECT round(metrics.tcr) % 7 AS r, rec_no % 6 AS i, rec_no % 3 AS s, rec_no % 7 < 6 AS d FROM {WEB})))"
+    f"SELECT id, fault FROM (SELECT rec_no AS id, CASE WHEN rec_no % 11 = 0 THEN 'split' WHEN t = '' THEN 'prompt' WHEN w = '' THEN 'wish_intent' WHEN rec_no % 7 = 0 THEN 'recipient' WHEN rec_no % 5 = 0 THEN 'keywords' WHEN rec_no % 3 = 0 THEN 'num_lines' END AS fault FROM (SELECT rec_no, {S.squeeze("coalesce(title, '')")} AS t, {S.squeeze("coalesce(url, '')")} AS w FROM {POEMS})) WHERE fault IS NOT NULL"
 )
-def audit_summary(spark, sf_dir):
-    """Four ratings made of every row, some outside their domain or missing, summed up by the audit."""
+def manifest_faults(spark, sf_dir):
+    """The first fault of each prompt of a manifest made of every poem; the protocol's metadata are checked with it."""
     n = F.col("rec_no")
-    rows = table(spark, sf_dir, WEB).select((F.round("metrics.tcr").cast("long") % 7).alias("r"), (n % 6).alias("i"), (n % 3).alias("s"), F.when(n % 7 < 6, " Accept").otherwise("reject").alias("d"))
-    return au.audit_summary(rows, "r", "i", "s", "d")
+    rows = table(spark, sf_dir, POEMS).select(
+        n.alias("id"), F.col("title").alias("prompt"), F.col("url").alias("wish_intent"), F.when(n % 7 == 0, " ").when(n % 2 == 0, "bà").alias("recipient"), F.when(n % 5 == 0, F.array(F.lit("một"), F.lit(" MỘT"))).otherwise(F.array(F.lit("một"), F.lit("hai"))).alias("keywords"),
+        F.when(n % 3 == 0, 6).otherwise(4).alias("num_lines"), F.lit(None).cast("string").alias("protocol_version"),
+    )
+    return ag.manifest_faults(rows, F.lit("tet4-v1"), F.when(F.col("id") % 11 == 0, "dev").otherwise("test"), "test")
 
 
 @query(f"SELECT CASE WHEN rec_no % 5 = 0 THEN 'tie' WHEN (rec_no % 2 = 0) = (rec_no % 3 = 0) THEN 'left' ELSE 'right' END AS winner, count(*) AS n FROM {POEMS} GROUP BY 1")
@@ -240,6 +347,35 @@ def token_masks(spark, sf_dir):
     return tr.token_masks(sequences(spark, sf_dir)).select("token", "tone_bits", F.array_join("gids", ",").alias("gids"))
 
 
+_NODES = f"SELECT root, array_to_string(tk[:d], chr(1)) AS path, array_to_string(tk[: d - 1], chr(1)) AS parent, tk[d] AS token, bit_or(bit) AS bits, list(DISTINCT gid) FILTER (gid IS NOT NULL) AS gids, bool_or(d = len(tk)) AS complete FROM (SELECT *, unnest(range(1, len(tk) + 1)) AS d FROM ({_SEQ})) GROUP BY ALL"
+_STATES = """SELECT root || ':' || path AS state, root, path, complete, CASE WHEN length(path) % 2 = 0 THEN 'luc' ELSE 'bat' END AS line, length(path) % 5 + 4 AS word_pos, CASE WHEN length(path) % 7 = 3 THEN 2 END AS stop, length(path) % 4 AS couplets, length(path) % 13 = 12 AS finished, length(path) % 2 = 0 AS after_bat,
+CASE length(path) % 3 WHEN 0 THEN 7 WHEN 1 THEN 3 ELSE 4 END AS tones, CASE WHEN length(path) % 5 = 1 THEN [0, 3, 5, 8] END AS gids, 3 AS next_tones, CASE WHEN length(path) % 4 = 2 THEN [1, 2] END AS next_gids FROM (SELECT root, path, complete FROM n UNION ALL SELECT 0, '', false UNION ALL SELECT 1, '', false)"""
+_FORCED = "CASE WHEN finished THEN 'end' WHEN complete AND ((line = 'luc' AND word_pos = 6) OR (line = 'bat' AND word_pos = 8)) THEN 'line' WHEN couplets >= stop THEN 'end' END"
+
+
+@query(
+    f"""WITH n AS MATERIALIZED ({_NODES}), s AS MATERIALIZED (SELECT *, {_FORCED} AS forced FROM ({_STATES})),
+w AS (SELECT state, root, path, 'walk' AS kind, tones AS t, gids AS g FROM s WHERE forced IS NULL UNION ALL SELECT state, 1, '', 'begin', next_tones, next_gids FROM s WHERE forced IS NULL AND complete),
+c AS (SELECT w.state, w.kind, n.token, (n.bits & w.t) <> 0 AND (w.g IS NULL OR list_has_any(n.gids, w.g)) OR (w.t = 7 AND w.g IS NULL) AS ok FROM w JOIN n ON n.root = w.root AND n.parent = w.path), k AS (SELECT *, coalesce(ok, false) AS fine, bool_or(coalesce(ok, false)) OVER (PARTITION BY state) AS met FROM c)
+SELECT state, token, max(kind) AS kind, bool_or(NOT met) AS relaxed FROM k WHERE fine OR NOT met GROUP BY state, token UNION ALL SELECT state, NULL, forced, false FROM s WHERE forced IS NOT NULL UNION ALL SELECT state, NULL, 'end', false FROM s WHERE forced IS NULL AND path = '' AND root = 0 AND stop IS NULL AND after_bat"""
+)
+def decode_allowed(spark, sf_dir):
+    """What a strict decoder would allow at every node of the trie, with the states that end and those that are relaxed."""
+    nodes = cut(tr.nodes(sequences(spark, sf_dir)), "nodes")
+    return decode.allowed_set(decode_states(nodes), nodes).drop("penalty")
+
+
+def decode_states(nodes: DataFrame) -> DataFrame:
+    """Every node and both roots as a state whose place and constraints follow from the length of its path."""
+    n = F.length("path")
+    roots = nodes.sparkSession.createDataFrame([(0, ""), (1, "")], "root int, path string")
+    groups = lambda k, of, ids: F.when(n % k == of, F.array(*[F.lit(i) for i in ids]))
+    return nodes.select("root", "path").union(roots).select(
+        F.concat(F.col("root").cast("string"), F.lit(":"), "path").alias("state"), "root", "path", F.when(n % 2 == 0, "luc").otherwise("bat").alias("line"), (n % 5 + 4).alias("word_pos"), F.when(n % 7 == 3, 2).alias("stop"), (n % 4).alias("couplets"),
+        (n % 13 == 12).alias("finished"), (n % 2 == 0).alias("after_bat"), F.when(n % 3 == 0, 7).when(n % 3 == 1, 3).otherwise(4).alias("tones"), groups(5, 1, [0, 3, 5, 8]).alias("groups"), F.lit(3).alias("next_tones"), groups(4, 2, [1, 2]).alias("next_groups"),
+    )
+
+
 @query(f"SELECT a.rhyme, {S.kind('a.rhyme', 'b.rhyme')} AS kind, b.rhyme AS other FROM ({_DICT}) a, ({_DICT}) b WHERE {S.kind('a.rhyme', 'b.rhyme')} IS NOT NULL")
 def rhyme_group_match(spark, sf_dir):
     groups = ln.rhyme_dictionary(ln.rhyme_pairs(poem_couplets(spark, sf_dir)))
@@ -267,9 +403,28 @@ def page_select(spark, sf_dir):
 def decode_trace(spark, sf_dir):
     """Every window as a sequence of characters: what a decoder over the rhyme dictionary would have
     allowed, and the penalties of its tones and rhymes, summed by window."""
-    from versemill.operators import decode
-
     clean = F.lower(F.regexp_replace(tx.nfc(F.col("text")), r"[^\p{L}\n ]+", ""))
     rows = table(spark, sf_dir, WEB).where("text IS NOT NULL").select(F.col("rec_no").alias("id"), F.filter(F.split(clean, ""), lambda c: c != "").alias("tokens"))
     found = decode.traced(rows, tr.nodes(sequences(spark, sf_dir)))
     return found.groupBy("id").agg(F.count("*").alias("steps"), F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum("penalty").alias("penalty"))
+
+
+@query()
+def manual_import(spark, sf_dir):
+    """Every document as a pasted group: what the import counts, windows that repeat earlier ones left free."""
+    from versemill.operators import web
+
+    rows = ln.rendered_lines(table(spark, sf_dir, DOCS), "doc_id")
+    groups = rows.groupBy(F.col("id").alias("grp")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    return web.manual_import(groups)[2]
+
+
+@query()
+def crawl_audit(spark, sf_dir):
+    """Documents as pages: the totals of a crawl."""
+    from versemill.operators import web
+    from versemill.plans.verse_queries import gated_windows
+
+    rows = ln.rendered_lines(table(spark, sf_dir, DOCS), "doc_id")
+    windows = cut(gated_windows(spark, sf_dir), "windows")
+    return web.crawl_totals(web.page_audit(rows, windows, web.select_windows(windows)))

@@ -20,12 +20,23 @@ QUERIES, SQL = {}, {}
 MATERIAL = "tet4_source_material_corpus_v1"
 # A list of worn phrases for the queries; the operator takes any list.
 CLICHES = ["bánh chưng", "bánh tét", "mùa xuân", "quê nhà", "hoa mai", "năm mới", "mai vàng", "sum vầy"]
-WEIGHT_SETS = {
-    "flat": {"evaluator": 0.35, "diversity": 0.20, "cliche": 0.15, "keyword": 0.20, "length": 0.10},
-    "middle": {"evaluator": 0.60, "diversity": 0.13, "cliche": 0.12, "keyword": 0.10, "length": 0.05},
-    "default": T.RANK_WEIGHTS,
-    "steep": {"evaluator": 0.90, "diversity": 0.04, "cliche": 0.02, "keyword": 0.02, "length": 0.02},
-}
+# The sets of weights that are compared, as (evaluator, diversity, cliche, keyword, length).
+WEIGHTS = [
+    (0.35, 0.20, 0.15, 0.20, 0.10),
+    (0.50, 0.15, 0.15, 0.12, 0.08),
+    (0.55, 0.14, 0.13, 0.10, 0.08),
+    (0.60, 0.13, 0.12, 0.10, 0.05),
+    (0.65, 0.12, 0.11, 0.08, 0.04),
+    (0.70, 0.10, 0.10, 0.06, 0.04),
+    (0.75, 0.05, 0.12, 0.05, 0.03),
+    (0.75, 0.08, 0.10, 0.05, 0.02),
+    (0.78, 0.06, 0.10, 0.04, 0.02),
+    (0.80, 0.05, 0.10, 0.03, 0.02),
+    (0.80, 0.04, 0.10, 0.04, 0.02),
+    (0.85, 0.03, 0.07, 0.03, 0.02),
+    (0.90, 0.04, 0.02, 0.02, 0.02),
+]
+WEIGHT_SETS = {f"set {k:02d}": dict(zip(("evaluator", "diversity", "cliche", "keyword", "length"), w)) for k, w in enumerate(WEIGHTS, 1)}
 
 
 def query(sql: str | None = None):
@@ -75,14 +86,29 @@ def rerank_top1(spark, sf_dir):
     return rk.rerank(pools(spark, sf_dir), guard="hard_fail").where("place = 1").select("pool", F.col("rec_no").alias("id"), F.col("ev.overall").alias("overall"))
 
 
-_SWEPT = " UNION ALL ".join(f"SELECT {S.q(n)} AS weights, pool, idx, overall, {_total(w)} AS score FROM ({_PARTS})" for n, w in WEIGHT_SETS.items())
+_SETS = ", ".join(f"({S.q(n)}, {', '.join(f'{v}::DOUBLE' for v in w.values())})" for n, w in WEIGHT_SETS.items())
+_CORR = lambda x, y: f"coalesce(CASE WHEN stddev_pop({x}) * stddev_pop({y}) = 0 THEN 0 ELSE covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END, 0)"
 
 
-@query(f"SELECT weights, count(*) AS pools, round_even(avg((abs(overall - most) < 1e-9)::INT::DOUBLE), 4) AS top1_agree, round_even(avg(overall), 3) AS mean_overall FROM (SELECT *, max(overall) OVER (PARTITION BY weights, pool) AS most, row_number() OVER (PARTITION BY weights, pool ORDER BY score DESC, idx) AS place FROM ({_SWEPT})) WHERE place = 1 GROUP BY weights")
+@query(
+    f"""WITH parts AS MATERIALIZED ({_PARTS}), swept AS (SELECT v.weights, pool, idx, overall, round_even(0.0::DOUBLE + w1 * p1 + w2 * p2 + w3 * p3 + w4 * p4 + w5 * p5, 4) AS score FROM parts, (VALUES {_SETS}) v(weights, w1, w2, w3, w4, w5)),
+placed AS (SELECT *, max(overall) OVER (PARTITION BY weights, pool) AS most, row_number() OVER (PARTITION BY weights, pool ORDER BY score DESC, idx) AS place FROM swept), per AS (SELECT weights, pool, {_CORR('score', 'overall')} AS corr FROM swept GROUP BY ALL)
+SELECT weights, count(*) AS pools, round_even(avg((abs(overall - most) < 1e-9)::INT::DOUBLE), 4) AS top1_agree, round_even(avg(overall), 3) AS mean_overall, round(avg(corr), 4) AS mean_correlation FROM placed JOIN per USING (weights, pool) WHERE place = 1 GROUP BY weights"""
+)
 def weight_sweep(spark, sf_dir):
+    """All thirteen sets of weights over all pools."""
     return rk.sweep(pools(spark, sf_dir), WEIGHT_SETS)
 
 
+@query(
+    f"""WITH ranked AS MATERIALIZED ({_RANKED}), per AS (SELECT pool, max(overall) AS most, {_CORR('score', 'overall')} AS corr FROM ranked GROUP BY pool), best AS (SELECT * FROM ranked JOIN per USING (pool) WHERE plain = 1)
+SELECT count(*) AS n, round_even(avg(scr), 1) AS scr, round_even(avg(tcr), 1) AS tcr, round_even(avg(exact_rma), 1) AS exact_rma, round_even(avg(slant_rma), 1) AS slant_rma, round_even(avg(rma), 1) AS rma, round_even(avg(overall), 1) AS overall, count(*) FILTER (is_valid) AS valid_n, count(*) FILTER (NOT is_valid) AS rejected_n, round_even(avg((abs(overall - most) < 1e-9)::INT::DOUBLE), 3) AS top1_agree, round(avg(corr), 3) AS avg_corr FROM best"""
+)
+def benchmark_totals(spark, sf_dir):
+    """What a benchmark reports of the best candidates of all pools."""
+    return rk.benchmark_totals(rk.rerank(pools(spark, sf_dir)))
+
+
 @query(f"SELECT pool, count(*) AS n, round_even(coalesce(CASE WHEN stddev_pop(score) * stddev_pop(overall) = 0 THEN 0 ELSE covar_pop(score, overall) / (stddev_pop(score) * stddev_pop(overall)) END, 0), 4) AS correlation FROM ({_RANKED}) GROUP BY pool HAVING count(*) >= 2")
 def score_correlation(spark, sf_dir):
     """How the ranking score follows the evaluator in each pool."""
@@ -129,6 +155,12 @@ def collocation_pair(spark, sf_dir):
     return co.best_pairs(pools(spark, sf_dir).select("rec_no", "pool", "idx", F.col("ev.overall").alias("overall")).join(lp, "rec_no"))
 
 
+@query(f"SELECT pool, high, low, gap, place FROM (SELECT *, row_number() OVER (ORDER BY gap DESC, pool) AS place FROM (SELECT a.pool, a.idx AS high, b.idx AS low, round_even(a.lp - b.lp, 4) AS gap, row_number() OVER (PARTITION BY a.pool ORDER BY round_even(a.lp - b.lp, 4) DESC, a.idx, b.idx) AS rn FROM ({_CP}) a JOIN ({_CP}) b ON a.pool = b.pool AND abs(a.overall - b.overall) <= 10 AND a.lp > b.lp) WHERE rn = 1) WHERE place <= 20")
+def clearest_gaps(spark, sf_dir):
+    """The twenty pools whose pairs differ most."""
+    return co.clearest(collocation_pair(spark, sf_dir), 20)
+
+
 _STAGED = f"(SELECT rec_no, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(nfc_normalize(coalesce(text, '')), '\\r\\n|\\r|\\n'), lambda x: {S.squeeze('x')}), lambda x: x <> ''), chr(10)), '') AS st FROM {WEB})"
 
 
@@ -169,6 +201,20 @@ def dup_clusters(spark, sf_dir):
     return dd.clusters(members, pairs)
 
 
+_UNIQUE = "(SELECT min(doc_id) AS doc_id, st AS text FROM (SELECT doc_id, coalesce(array_to_string(list_filter(list_transform(regexp_split_to_array(nfc_normalize(coalesce(text, '')), '\\r\\n|\\r|\\n'), lambda x: " + S.squeeze("x") + "), lambda x: x <> ''), chr(10)), '') AS st FROM documents) WHERE st <> '' GROUP BY st)"
+
+
+@query(
+    f"""WITH RECURSIVE u AS MATERIALIZED {_UNIQUE}, s AS MATERIALIZED ({_SIM.replace(f'FROM {DOCS} ', 'FROM u ')}), r AS (SELECT hi, lo, min(id) AS rep FROM s GROUP BY ALL), n AS (SELECT a.rep AS a, b.rep AS b FROM r a JOIN r b ON a.rep <> b.rep AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3),
+reach AS (SELECT rep AS node, rep AS of FROM r UNION SELECT n.b, reach.of FROM reach JOIN n ON n.a = reach.node), c AS (SELECT s.id, 'cluster-' || substr(sha256(CAST(min(reach.of) AS VARCHAR)), 1, 16) AS cluster FROM s JOIN r USING (hi, lo) JOIN reach ON reach.node = r.rep GROUP BY s.id),
+p AS (SELECT cluster, ('0x' || substr(sha256(cluster), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS p FROM c), i AS (SELECT count(*) AS n FROM documents WHERE regexp_matches(coalesce(text, ''), '[^' || {S.q(T.WS[1:-1])} || ']'))
+SELECT i.n AS input_rows, i.n - (SELECT count(*) FROM u) AS exact_duplicates_removed, (SELECT count(*) FROM u) AS staging_rows, count(DISTINCT cluster) AS duplicate_clusters, (SELECT count(*) // 2 FROM n) AS near_duplicate_links, count(*) FILTER (p < 0.8) AS train, count(*) FILTER (p >= 0.8 AND p < 0.9) AS dev, count(*) FILTER (p >= 0.9) AS test FROM p, i GROUP BY i.n"""
+)
+def staging_stats(spark, sf_dir):
+    """What the staging of all documents reports of itself."""
+    return dd.staging_stats(table(spark, sf_dir, DOCS), "doc_id")
+
+
 @query(f"SELECT split, count(*) AS n FROM (SELECT CASE WHEN p < 0.8 THEN 'train' WHEN p < 0.9 THEN 'dev' ELSE 'test' END AS split FROM (SELECT ('0x' || substr(sha256(duplicate_cluster), 1, 8))::BIGINT / 4294967295.0::DOUBLE AS p FROM {POEMS} WHERE duplicate_cluster IS NOT NULL)) GROUP BY split")
 def hash_split(spark, sf_dir):
     rows = table(spark, sf_dir, POEMS).where("duplicate_cluster IS NOT NULL")
@@ -231,9 +277,10 @@ def blind_pairs(spark, sf_dir):
 _MT = "lower(" + S.strip("nfc_normalize(text)") + ")"
 
 
-@query(f"SELECT text_sha256, min(o) AS first, string_agg(ref, '|' ORDER BY o, ref) AS refs, CAST(sum(n) AS BIGINT) AS n FROM (SELECT sha256({_MT}) AS text_sha256, coalesce(source_id, '') || ' ' || coalesce(unit_type, '') AS ref, min(rec_no) AS o, count(*) AS n FROM {MATERIAL} GROUP BY ALL) GROUP BY 1")
+@query(f"SELECT text_sha256, min(rec_no) OVER m AS first, count(*) OVER m AS n, row_number() OVER (PARTITION BY text_sha256 ORDER BY rec_no) AS place, ref FROM (SELECT sha256({_MT}) AS text_sha256, rec_no, coalesce(source_id, '') || ' ' || coalesce(unit_type, '') || ' ' || coalesce(url, '') AS ref FROM {MATERIAL}) WINDOW m AS (PARTITION BY text_sha256)")
 def merge_materials(spark, sf_dir):
-    """Rows of one text as one material with the references of all."""
-    ref = F.concat(F.coalesce("source_id", F.lit("")), F.lit(" "), F.coalesce("unit_type", F.lit("")))
+    """Rows of one text as one material with the references of all of them, in order."""
+    ref = F.concat(F.coalesce("source_id", F.lit("")), F.lit(" "), F.coalesce("unit_type", F.lit("")), F.lit(" "), F.coalesce("url", F.lit("")))
     rows = table(spark, sf_dir, MATERIAL).withColumn("norm", F.lower(tx.strip(tx.nfc(F.col("text")))))
-    return dd.merge_materials(rows, F.col("norm"), "rec_no", ref).select("text_sha256", "first", F.array_join("refs", "|").alias("refs"), "n")
+    materials, references = dd.merge_materials(rows, F.col("norm"), "rec_no", ref)
+    return materials.join(references, "text_sha256").select("text_sha256", "first", "n", "place", "ref")

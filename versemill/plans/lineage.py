@@ -18,10 +18,17 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of this process only in local mode."""
+    """A folder of this application below the one named by spark.checkpoint.dir, removed when the driver ends; a
+    temporary one of this process only in local mode where that setting is absent."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            path, fs = _path(spark, f"{named.rstrip('/')}/versemill-{app}")
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+            _own[app] = path.toString()
+        return _own[app]
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
@@ -46,6 +53,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return out
 
 
+def sweep(spark: SparkSession) -> None:
+    """Removes all tables that this application has cut so far; results that were not yet read are lost."""
+    path, fs = _path(spark, shared_dir(spark))
+    for entry in fs.listStatus(path):
+        fs.delete(entry.getPath(), True)
+
+
 def drop(df: DataFrame) -> None:
     """Removes the table behind a result of cut() that nothing reads any more."""
     location = getattr(df, "_cut_at", None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from versemill.functions import tables as T
 
 
@@ -91,3 +93,14 @@ def line_table(table: str, key: str, text: str = "text", punctuation: str = T.PU
     split = f"SELECT {key} AS id{extra}, unnest(string_split(nfc_normalize({text}), chr(10))) AS line, generate_subscripts(string_split(nfc_normalize({text}), chr(10)), 1) AS ord0 FROM {table} WHERE {text} IS NOT NULL"
     cleaned = f"SELECT id{extra}, ord0, {tokens('line', punctuation)} AS tk FROM ({split})"
     return f"SELECT id{extra}, row_number() OVER (PARTITION BY id ORDER BY ord0) - 1 AS pos, tk FROM ({cleaned}) WHERE len(tk) > 0"
+
+
+def fill(text: str, **values: str) -> str:
+    """A text with names in braces as a concatenation of literals and expressions; null if one of them is."""
+    out = []
+    for k, part in enumerate(re.split(r"\{([a-z_0-9]+)\}", text)):
+        if k % 2:
+            out.append(f"(({values[part]})::VARCHAR)")
+        elif part:
+            out.append(q(part))
+    return "(" + " || ".join(out) + ")"

@@ -14,8 +14,6 @@ from versemill.plans.session import table
 
 QUERIES, SQL = {}, {}
 POEMS, WEB, DOCS = "quality_fsoft_v1", "tet4_web_staging_v1", "documents"
-# Foreign tokens kept out of the lexicon.
-BLOCKED = ["a", "i", "the", "and", "of", "to", "in", "is", "you", "my", "me", "it", "on", "we", "be", "so", "no", "he", "she", "do", "at", "an", "or", "by", "up", "go", "us", "hi"]
 
 
 def query(sql: str | None = None):
@@ -127,11 +125,11 @@ def surviving_groups(spark, sf_dir):
 
 
 @query(
-    f"SELECT DISTINCT w AS syllable FROM (SELECT w FROM (SELECT unnest({S.tokens('nfc_normalize(text)', T.PUNCT_CORPUS)}) AS w FROM {WEB} WHERE text IS NOT NULL) GROUP BY w HAVING count(*) >= 2 AND {S.lexicon('w')} UNION ALL SELECT w FROM (SELECT unnest(words) AS w FROM ({_DICT})) WHERE {S.lexicon('w')}) WHERE w NOT IN ({', '.join(S.q(b) for b in BLOCKED)})"
+    f"SELECT DISTINCT w AS syllable FROM (SELECT w FROM (SELECT unnest({S.tokens('nfc_normalize(text)', T.PUNCT_CORPUS)}) AS w FROM {WEB} WHERE text IS NOT NULL) GROUP BY w HAVING count(*) >= 2 AND {S.lexicon('w')} UNION ALL SELECT w FROM (SELECT unnest(words) AS w FROM ({_DICT})) WHERE {S.lexicon('w')}) WHERE w NOT IN ({', '.join(S.q(b) for b in T.FOREIGN)})"
 )
 def syllable_vocab(spark, sf_dir):
     named = ln.rhyme_dictionary(ln.rhyme_pairs(poem_couplets(spark, sf_dir)))
-    return ln.syllable_vocabulary(table(spark, sf_dir, WEB), "text", named, BLOCKED)
+    return ln.syllable_vocabulary(table(spark, sf_dir, WEB), "text", named, T.FOREIGN)
 
 
 def _rendered(t, key):

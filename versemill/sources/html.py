@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,51 +20,54 @@ META = {"author", "article:author", "article:published_time", "date", "datepubli
 SCHEMA = StructType([StructField("lines", ArrayType(StringType())), StructField("meta", MapType(StringType(), StringType()))])
 
 
-class _Page(HTMLParser):
-    """Collects the text of shown elements, one line for each block."""
+_EDGE = "\x00"
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.lines: list[str] = []
-        self.meta: dict[str, str] = {}
-        self.open: list[str] = []
-        self.hidden = 0
 
-    def end_line(self) -> None:
-        line = re.sub("[ \t\xa0]+", " ", "".join(self.open)).strip()
-        self.open.clear()
-        if line:
-            self.lines.append(line)
+class _Pieces(HTMLParser):
+    """What a page consists of, in order: (step, text, given), where step is 1 for an element opened, -1 for one
+    closed and 0 for text; elements have their name as text."""
+
+    def __init__(self, html: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[tuple[int, str, list]] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in HIDDEN
-        if tag == "meta":
-            given = dict(attrs)
-            name = (given.get("name") or given.get("property") or "").lower()
-            if name in META and given.get("content"):
-                self.meta[name] = given["content"].strip()
-        elif tag in BLOCKS and not self.hidden:
-            self.end_line()
+        self.found.append((1, tag, attrs))
 
     def handle_endtag(self, tag):
-        self.hidden -= tag in HIDDEN and self.hidden > 0
-        if tag in BLOCKS and tag != "br" and not self.hidden:
-            self.end_line()
+        self.found.append((-1, tag, []))
 
     def handle_data(self, data):
-        if not self.hidden:
-            self.open.append(data)
+        self.found.append((0, data.replace(_EDGE, ""), []))
+
+
+def _depths(pieces: list[tuple[int, str, list]]) -> Iterator[int]:
+    """How many hidden elements are open at each piece; a closing tag too many counts nothing."""
+    steps = (step if step and name in HIDDEN else 0 for step, name, _ in pieces)
+    return islice(accumulate(steps, lambda depth, step: max(0, depth + step), initial=0), 1, None)
+
+
+def _named(given: list) -> tuple[str, str | None]:
+    values = dict(given)
+    return (values.get("name") or values.get("property") or "").lower(), values.get("content")
 
 
 def rendered(html: str | None) -> dict | None:
-    """lines and meta of one page; null for null."""
+    """lines and meta of one page; null for null.
+
+    The shown text is put together with a mark at each edge of a block and then cut at the marks.
+    """
     if html is None:
         return None
-    page = _Page()
-    page.feed(html)
-    page.close()
-    page.end_line()
-    return {"lines": page.lines, "meta": list(page.meta.items())}
+    pieces = _Pieces(html).found
+    shown = [p for p, depth in zip(pieces, _depths(pieces)) if depth == 0]
+    edges = lambda step, name: name in BLOCKS and (step > 0 or name != "br")
+    text = "".join(x if step == 0 else _EDGE for step, x, _ in shown if step == 0 or edges(step, x))
+    lines = [re.sub("[ \t\xa0]+", " ", line).strip() for line in text.split(_EDGE)]
+    meta = dict((name, content.strip()) for name, content in (_named(given) for step, x, given in pieces if step > 0 and x == "meta") if name in META and content)
+    return {"lines": [line for line in lines if line], "meta": list(meta.items())}
 
 
 def _render(pages: pa.Array) -> pa.Array:

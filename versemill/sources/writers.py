@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from versemill.operators.sample import ordered_places
+
 SPLITS = ("train", "dev", "test")
 
 
@@ -32,11 +34,10 @@ def write_report(stats: DataFrame, path: str) -> None:
 def review_form(df: DataFrame, key: str, shown: list[str], asked: list[str], prefix: str = "DA") -> DataFrame:
     """(review_id, *shown, *asked): rows in the order of their digests with blank columns to fill in.
 
-    Forms are for people to read; a sample comes before, so its numbering is one small task.
+    Rows of one key are numbered in any order.
     """
-    order = Window.orderBy(F.sha2(F.col(key).cast("string"), 256), key)
-    number = F.format_string(f"{prefix}%03d", F.row_number().over(order))
-    return df.select(number.alias("review_id"), *shown, *[F.lit("").alias(a) for a in asked])
+    rows = ordered_places(df.withColumn("_d", F.sha2(F.col(key).cast("string"), 256)), "_d", key, name="_place")
+    return rows.select(F.format_string(f"{prefix}%03d", "_place").alias("review_id"), *shown, *[F.lit("").alias(a) for a in asked])
 
 
 def write_form(form: DataFrame, path: str) -> None:
@@ -46,3 +47,12 @@ def write_form(form: DataFrame, path: str) -> None:
 def append_once(batch: DataFrame, batch_id: int, path: str) -> None:
     """For foreachBatch: a batch that comes again after a failure overwrites its own folder."""
     batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def write_bundle(tables: dict[str, DataFrame], meta: dict[str, str], path: str) -> None:
+    """Tables that belong together below one folder, with a row of metadata; the metadata come last, so a folder
+    that has them is whole."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    first = next(iter(tables.values()))
+    first.sparkSession.createDataFrame([tuple(meta.values())], ", ".join(f"`{k}` string" for k in meta)).coalesce(1).write.mode("overwrite").json(f"{path}/meta")
