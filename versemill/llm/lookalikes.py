@@ -104,9 +104,10 @@ def unified(df: DataFrame, key: str = "rec_no", text: str = "text") -> DataFrame
 
     Width, kinds of blank and line break, the way marks are stored and what is not visible are
     settled by rule. Look-alike letters are settled by script: in a token whose dominant script is
-    Latin they are replaced if the word that comes out is in the corpus vocabulary, or comes out of
-    two or more different spellings. Nothing else is changed. Null stays null; repeated rows give
-    repeated rows; rows without a key are left out.
+    Latin they are replaced if the word that comes out is in the corpus vocabulary. Tokens that are of one script, but
+    have letters that are look-alikes within it (a stroke through a D that is another letter), are repaired by the
+    same test. Nothing else is changed. Null stays null; repeated rows give repeated rows; rows without a key are
+    left out.
 
     Tokens and vocabulary meet in joins, so neither has to fit into one place.
     """
@@ -114,9 +115,7 @@ def unified(df: DataFrame, key: str = "rec_no", text: str = "text") -> DataFrame
     forms = cut(_forms(rows), "forms")
     odd = forms.where(F.size("mixed") > 0)
     tokens = odd.select(F.explode("mixed").alias("token", "fix")).distinct().withColumn("w", F.lower("fix"))
-    known = tokens.join(_vocabulary(forms), "w", "left_semi").select("token", "fix")
-    spelled = tokens.groupBy("fix").count().where("count > 1").select("fix")
-    accepted = cut(known.union(tokens.join(spelled, "fix", "left_semi").select("token", "fix")).distinct(), "accepted")
+    accepted = cut(tokens.join(_vocabulary(forms), "w", "left_semi").select("token", "fix"), "accepted")
     each = odd.select("rec", "raw", "form", F.explode(F.map_keys("mixed")).alias("token")).distinct()
     fixes = each.join(accepted, "token", "left").groupBy("rec", "raw", "form").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("fix").isNotNull(), F.struct("token", "fix")))).alias("fix")

@@ -33,6 +33,10 @@ def p3_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.survivors(table(spark, sf_dir, MATERIAL), table(spark, sf_dir, "source_trust"))
 
 
+def p3_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.references(table(spark, sf_dir, MATERIAL))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.cross_split_pairs(table(spark, sf_dir, QUALITY))
 
@@ -78,7 +82,7 @@ def p8_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_shared)
+    every = (p1_found, p2_found, p2_text, p3_found, p3_survivors, p3_refs, p4_found, p4_report, p5_found, p5_splits, p6_ids, p7_found, p7_mix, p7_shares, p8_found, p8_spans, p8_shared)
     return {f.__name__: f for f in every}
 
 
@@ -111,9 +115,12 @@ def oracle_sql() -> dict[str, str]:
     related = _related()
     point = "(('0x' || substr(sha256('split:' || group_no), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
     grams = "SELECT DISTINCT doc_id, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)"
+    refs = f"SELECT DISTINCT group_no, r.source_id, r.url, r.unit_type FROM (SELECT group_no, unnest(source_refs) AS r FROM (SELECT source_refs, min(rec_no) OVER w AS group_no, count(*) OVER w AS held FROM (SELECT rec_no, source_refs, lower({S.strip('nfc_normalize(text)')}) AS m FROM {MATERIAL} WHERE text IS NOT NULL) WINDOW w AS (PARTITION BY m)) WHERE held > 1) WHERE coalesce(trim(r.source_id), '') <> '' OR coalesce(trim(r.url), '') <> ''"
     places = "SELECT doc_id, i, substr(text, i, 100) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 98)) AS i FROM documents WHERE length(text) >= 100)"
     return {
         "p3_found": _p3(),
+        "p3_refs": refs,
+        "p3_survivors": f"WITH f AS MATERIALIZED ({_p3()}), r AS (SELECT group_no, count(*) AS n FROM ({refs}) GROUP BY 1) SELECT f.*, b.source_id, b.unit_type, b.text, b.category, a.author, u.url, coalesce(r.n, 0) AS n_refs FROM f JOIN {MATERIAL} b ON b.rec_no = f.best_no LEFT JOIN {MATERIAL} a ON a.rec_no = f.author_no LEFT JOIN {MATERIAL} u ON u.rec_no = f.url_no LEFT JOIN r ON r.group_no = f.group_no",
         "p5_found": f"WITH RECURSIVE {related} SELECT DISTINCT rec_no, group_no FROM t WHERE group_no IN (SELECT group_no FROM t GROUP BY 1 HAVING count(DISTINCT split) > 1)",
         "p5_splits": f"WITH RECURSIVE {related} SELECT rec_no, group_no, CASE WHEN {point} < 0.8 THEN 'train' WHEN {point} < 0.9 THEN 'dev' ELSE 'test' END AS new_split FROM t",
         "p8_spans": f"WITH f AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), g AS ({places.replace('documents', 'f')}), n AS (SELECT DISTINCT a.doc_id, b.doc_id AS other, a.i FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id), t AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other ORDER BY i) AS island FROM n) SELECT doc_id, other, min(i) - 1 AS begin, count(*) + 99 AS size FROM t GROUP BY doc_id, other, island",

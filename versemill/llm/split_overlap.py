@@ -1,8 +1,9 @@
-"""Same or near-same records across splits: a weighted cosine join.
+"""Same or near-same records across splits: a cosine join.
 
 A text is a vector over its terms (the k-th occurrence of a word is a term of its own), scaled to
-length one, so each of its n terms has the weight n ** -0.5. Near-duplicates have
-common >= 0.7 * max(n, m), hence a cosine common / sqrt(n * m) of at least 0.7.
+length one. Near-duplicates are defined by counts, so the terms of one text weigh the same, n ** -0.5 each; any
+other weights (by rarity, say) would need a lower threshold to lose no pair, and would prune less.
+Near-duplicates have common >= 0.7 * max(n, m), hence a cosine common / sqrt(n * m) of at least 0.7.
 
 Only the rarest terms of a vector enter the inverted lists: the others are left out as long as they
 alone can't reach the threshold with any vector. A partner that reaches it has at least 0.7 n terms, so
@@ -45,43 +46,64 @@ def least_residual(n: int, i: int) -> float:
     return need * need / i - 1e-6 if i else (0.0 if need <= 1e-6 else np.inf)
 
 
+class _List:
+    """One inverted list: its train and evaluation rows, and how many pairs each bound leaves."""
+
+    def __init__(self, c: dict[str, np.ndarray]):
+        self.c = c
+        self.train, self.held = np.flatnonzero(c["sides"] & TRAIN), np.flatnonzero(c["sides"] & EVAL)
+        self.every, self.bounded, self.near = self.train.size * self.held.size, 0, 0
+
+    def pairs(self) -> Iterator[tuple]:
+        """(train rec, evaluation rec) of the pairs that can reach the threshold: by the norms first, and only of those
+        that are left by the fingerprints of what follows."""
+        c, train, held = self.c, self.train, self.held
+        if not train.size or not held.size:
+            return
+        blocks = c["i"][0] != c["j"][0]
+        n, spent, low, high = c["n"].astype(np.int64), c["spent"].astype(np.int64), c["low"].view(np.uint64), c["high"].view(np.uint64)
+        follows = n - spent - 1  # terms that follow the matched one: n times the square of the residual norm
+        held = held[np.argsort(-follows[held], kind="stable")]
+        # train rows with one count and place have one norm and one residual norm, so one bound for all
+        order = train[np.lexsort((spent[train], n[train]))]
+        cuts = np.flatnonzero((np.diff(n[order]) != 0) | (np.diff(spent[order]) != 0)) + 1
+        for x in np.split(order, cuts):
+            size, rest = int(n[x[0]]), int(follows[x[0]])
+            # the others must leave a residual norm that lets the dot product reach the threshold
+            some = held[: np.searchsorted(-follows[held], -least_residual(size, rest), side="right")]
+            can = residual_bound(size, n[some], rest, follows[some]) >= fp.SHARE / 10 * np.maximum(size, n[some]) / np.sqrt(size * n[some]) - 1e-9
+            some = some[can]
+            if not some.size:
+                continue
+            self.bounded += x.size * some.size
+            far = fp.farthest(np.int64(size), n[some]) - spent[some]
+            step = max(1, ROWS // some.size)
+            for s in range(0, x.size, step):
+                t = x[s : s + step]
+                d = np.bitwise_count(low[t][:, None] ^ low[some][None, :])
+                d += np.bitwise_count(high[t][:, None] ^ high[some][None, :])
+                a, b = np.nonzero(d <= (far[None, :] - spent[t][:, None]))
+                p, q = t[a], some[b]
+                ok = c["rec"][p] != c["rec"][q]
+                if blocks:
+                    ok &= c["own"][p] != c["own"][q]
+                self.near += int(ok.sum())
+                yield c["rec"][p[ok]], c["rec"][q[ok]]
+
+
 def _lists(c: dict[str, np.ndarray]) -> Iterator[tuple]:
-    """Candidates of one inverted list: a train row and an evaluation row that can reach the threshold."""
-    blocks = c["i"][0] != c["j"][0]
-    train, held = np.flatnonzero(c["sides"] & TRAIN), np.flatnonzero(c["sides"] & EVAL)
-    if not train.size or not held.size:
-        return
-    n, spent, low, high = c["n"].astype(np.int64), c["spent"].astype(np.int64), c["low"].view(np.uint64), c["high"].view(np.uint64)
-    follows = n - spent - 1  # terms that follow the matched one: n times the square of the residual norm
-    held = held[np.argsort(-follows[held], kind="stable")]
-    # train rows with one count and place have one norm and one residual norm, so one bound for all
-    order = train[np.lexsort((spent[train], n[train]))]
-    cuts = np.flatnonzero((np.diff(n[order]) != 0) | (np.diff(spent[order]) != 0)) + 1
-    for x in np.split(order, cuts):
-        size, rest = int(n[x[0]]), int(follows[x[0]])
-        # the others must leave a residual norm that lets the dot product reach the threshold
-        some = held[: np.searchsorted(-follows[held], -least_residual(size, rest), side="right")]
-        can = residual_bound(size, n[some], rest, follows[some]) >= fp.SHARE / 10 * np.maximum(size, n[some]) / np.sqrt(size * n[some]) - 1e-9
-        some = some[can]
-        if not some.size:
-            continue
-        far = fp.farthest(np.int64(size), n[some]) - spent[some]
-        step = max(1, ROWS // some.size)
-        for s in range(0, x.size, step):
-            t = x[s : s + step]
-            d = np.bitwise_count(low[t][:, None] ^ low[some][None, :])
-            d += np.bitwise_count(high[t][:, None] ^ high[some][None, :])
-            a, b = np.nonzero(d <= (far[None, :] - spent[t][:, None]))
-            p, q = t[a], some[b]
-            ok = c["rec"][p] != c["rec"][q]
-            if blocks:
-                ok &= c["own"][p] != c["own"][q]
-            yield c["rec"][p[ok]], c["rec"][q[ok]]
+    return _List(c).pairs()
 
 
-def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """(members(rec, rep, side), links(a, b)): rows with their side, and pairs of classes of different
-    texts, a held in train and b in an evaluation split, that are near-duplicates."""
+def _effort(c: dict[str, np.ndarray]) -> Iterator[tuple]:
+    one = _List(c)
+    for _ in one.pairs():
+        pass
+    yield tuple(np.array([v]) for v in (c["shard"][0], one.every, one.bounded, one.near))
+
+
+def _inverted(df: DataFrame, key: str, text: str, split: str, limit: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members(rec, rep, side), reps, entries of the inverted lists)."""
     name = split_name(F.col(split))
     side = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rec"), F.when(name == "train", TRAIN).when(name.isin("dev", "test"), EVAL).alias("side"))
     known = df.withColumn(split, name).where(F.col(split).isNotNull())
@@ -89,7 +111,19 @@ def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) ->
     members = cut(members.join(side.where("side IS NOT NULL"), "rec").distinct(), "sided")
     reps = reps.join(members.groupBy(F.col("rep").alias("rec")).agg(F.bit_or("side").alias("sides")), "rec")
     common = sh.common_terms(reps)
-    entries = sh.shards(reps, common, limit, ["sides"])
+    return members, reps, sh.shards(reps, common, limit, ["sides"])
+
+
+def join_effort(df: DataFrame, key: str = "rec_no", text: str = "text", split: str = "split", limit: int = sh.LIMIT) -> DataFrame:
+    """(shard, pairs, bounded, near) of each inverted list: its pairs of both sides, those that the norms leave, and those
+    of them that the fingerprints leave for the exact dot product."""
+    return sh.by_shard(_inverted(df, key, text, split, limit)[2], _effort, "shard long, pairs long, bounded long, near long")
+
+
+def split_classes(df: DataFrame, key: str, text: str, split: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(members(rec, rep, side), links(a, b)): rows with their side, and pairs of classes of different
+    texts, a held in train and b in an evaluation split, that are near-duplicates."""
+    members, reps, entries = _inverted(df, key, text, split, limit)
     found = sh.by_shard(entries, _lists, "a long, b long").distinct()
     near = exact_overlap(found, reps).where(F.col("common") * 10 >= F.greatest("na", "nb") * fp.SHARE)
     return members, cut(near.select("a", "b"), "links")

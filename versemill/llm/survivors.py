@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# What stands in a field when nobody, or nothing, is named.
+from versemill.plans.lineage import cut
+
+#: What stands in a field when nobody, or nothing, is named: a parameter of the functions below, this is its default.
 NOBODY = [
     "", "-", "--", "?", "n/a", "na", "n.a", "n.a.", "null", "none", "nil", "nan", "undefined", "unknown", "anonymous",
     "anon", "khuyết danh", "ẩn danh", "vô danh", "nặc danh", "chưa rõ", "không rõ", "không rõ tác giả", "chưa rõ tác giả",
@@ -33,10 +35,10 @@ def _with_key(df: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.sha2("_text", 256).alias("m"), *columns)
 
 
-def named(author: Column) -> Column:
+def named(author: Column, nobody: list[str] = NOBODY) -> Column:
     """True if an author names someone; brackets, case and blanks around do not matter."""
     bare = F.regexp_replace(F.lower(author), r"^[\s\p{Z}()\[\]<>\"'.:]+|[\s\p{Z}()\[\]<>\"':]+$", "")
-    return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(NOBODY), F.lit(False))
+    return F.coalesce(bare.rlike(r"[\p{L}\p{N}]") & ~bare.isin(nobody), F.lit(False))
 
 
 def absolute(url: Column) -> Column:
@@ -50,7 +52,7 @@ def referenced(refs: Column) -> Column:
     return F.coalesce(F.exists(refs, lambda r: full(r["source_id"]) | full(r["url"])), F.lit(False))
 
 
-def best_representatives(df: DataFrame, trust: DataFrame, key: str = "rec_no", text: str = "text") -> DataFrame:
+def best_representatives(df: DataFrame, trust: DataFrame, key: str = "rec_no", text: str = "text", nobody: list[str] = NOBODY) -> DataFrame:
     """(group_no, best_no, author_no, url_no) of each material that two or more rows hold.
 
     Rows hold the same material if their normalized texts are equal; null texts hold none, while
@@ -68,7 +70,7 @@ def best_representatives(df: DataFrame, trust: DataFrame, key: str = "rec_no", t
         F.col(key).cast("long").alias("rec"),
         "source_id",
         F.unix_micros("ingested_at").alias("at"),
-        named(F.col("author")).alias("author"),
+        named(F.col("author"), nobody).alias("author"),
         absolute(F.col("url")).alias("url"),
         referenced(F.col("source_refs")).alias("refs"),
     )
@@ -99,11 +101,23 @@ def best_representatives(df: DataFrame, trust: DataFrame, key: str = "rec_no", t
     return chosen.join(held, "m").select("group_no", "best_no", F.coalesce("author_no", zero).alias("author_no"), F.coalesce("url_no", zero).alias("url_no"))
 
 
-def survivors(df: DataFrame, trust: DataFrame, key: str = "rec_no", text: str = "text") -> DataFrame:
-    """One built record for each material of two or more rows: the best row's text, source and
-    references, with author and url of the rows chosen for them."""
-    chosen = best_representatives(df, trust, key, text)
-    best = df.select(F.col(key).alias("best_no"), "source_id", "unit_type", "text", "source_refs", "category")
+def references(df: DataFrame, key: str = "rec_no", text: str = "text") -> DataFrame:
+    """(group_no, source_id, url, unit_type): the different usable references of all rows of each material that two or more
+    rows hold, null and blank parts as they are. They stay rows, as a material may have any number of them."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("_text"), F.col(key).cast("long").alias("rec"), "source_refs")
+    rows = cut(_with_key(rows, ["rec", "source_refs"]), "materials")
+    groups = rows.groupBy("m").agg(F.min("rec").alias("group_no"), F.count("*").alias("held")).where("held > 1").select("m", "group_no")
+    each = rows.select("m", F.explode("source_refs").alias("r")).where(referenced(F.array("r"))).select("m", "r.source_id", "r.url", "r.unit_type").distinct()
+    return each.join(groups, "m").select("group_no", "source_id", "url", "unit_type")
+
+
+def survivors(df: DataFrame, trust: DataFrame, key: str = "rec_no", text: str = "text", nobody: list[str] = NOBODY) -> DataFrame:
+    """One built record for each material of two or more rows: the best row's text, source and category, author
+    and url of the rows chosen for them, and the number of different references of all its rows (references() has them)."""
+    chosen = cut(best_representatives(df, trust, key, text, nobody), "chosen")
+    best = df.select(F.col(key).alias("best_no"), "source_id", "unit_type", text, "category")
     author = df.select(F.col(key).alias("author_no"), "author")
     url = df.select(F.col(key).alias("url_no"), "url")
-    return chosen.join(best, "best_no").join(author, "author_no", "left").join(url, "url_no", "left")
+    held = references(df, key, text).groupBy("group_no").agg(F.count("*").alias("n_refs"))
+    out = chosen.join(best, "best_no").join(author, "author_no", "left").join(url, "url_no", "left").join(held, "group_no", "left")
+    return out.withColumn("n_refs", F.coalesce("n_refs", F.lit(0).cast("long")))
