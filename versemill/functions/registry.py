@@ -32,16 +32,22 @@ def statements() -> list[str]:
         f"CREATE OR REPLACE TEMPORARY FUNCTION lb_rhyme(x STRING) RETURNS STRING RETURN CASE WHEN length({rest}) > 2 AND {rest} RLIKE '^[uo][aeioâă]' THEN substr({rest}, 2) ELSE {rest} END",
         f"CREATE OR REPLACE TEMPORARY FUNCTION lb_kind_extracted(p STRING, q STRING) RETURNS STRING RETURN CASE WHEN p = '' OR q = '' THEN NULL WHEN p = q THEN 'exact' WHEN coalesce({canon}[p], p) = coalesce({canon}[q], q) OR concat_ws('|', least(p, q), greatest(p, q)) IN ({pairs}) THEN 'slant' END",
         "CREATE OR REPLACE TEMPORARY FUNCTION lb_rhyme_kind(a STRING, b STRING) RETURNS STRING RETURN lb_kind_extracted(lb_rhyme(a), lb_rhyme(b))",
+        f"CREATE OR REPLACE TEMPORARY FUNCTION lb_tone_bit(x STRING) RETURNS INT RETURN CASE lb_tone(x) WHEN 'ngang' THEN 0 WHEN 'huyền' THEN 1 WHEN 'unknown' THEN NULL ELSE 2 END",
+        f"CREATE OR REPLACE TEMPORARY FUNCTION lb_is_syllable(x STRING) RETURNS BOOLEAN RETURN x RLIKE {_text('^[' + T.SYLLABLE_LETTERS + ']+$')} AND length(regexp_replace(x, {_text('[^' + T.TONAL + ']')}, '')) + length(regexp_replace(x, {_text('[^' + T.DOUBLE + ']')}, '')) <= 1",
         f"CREATE OR REPLACE TEMPORARY FUNCTION lb_tokens(x STRING) RETURNS ARRAY<STRING> RETURN filter(transform(split(x, {_text(T.WS + '+')}), w -> lower({word})), w -> w <> '')",
     ]
 
 
 def register(spark: SparkSession) -> list[str]:
-    """Makes lb_tone, lb_rhyme, lb_kind_extracted, lb_rhyme_kind, lb_tokens and the table function lb_lines known to SQL."""
+    """Makes the functions and the table functions lb_lines and lb_windows known to SQL; their names are returned."""
     for s in statements():
         spark.sql(s)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION lb_lines(x STRING) RETURNS TABLE(pos INT, line STRING) RETURN SELECT pos, col FROM posexplode(split(x, '\\n'))")
-    return ["lb_tone", "lb_rhyme", "lb_kind_extracted", "lb_rhyme_kind", "lb_tokens", "lb_lines"]
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION lb_windows(x STRING, n INT) RETURNS TABLE(pos INT, window STRING) RETURN "
+        "SELECT k, array_join(slice(split(x, '\\n'), k + 1, n), '\\n') FROM explode(filter(sequence(0, greatest(0, size(split(x, '\\n')) - n)), k -> k + n <= size(split(x, '\\n')))) AS t(k)"
+    )
+    return ["lb_tone", "lb_rhyme", "lb_kind_extracted", "lb_rhyme_kind", "lb_tone_bit", "lb_is_syllable", "lb_tokens", "lb_lines", "lb_windows"]
 
 
 def columns() -> dict[str, Column]:

@@ -180,6 +180,19 @@ def parse_plan(raw: Column, lines: int = 4) -> Column:
     return F.when(full & (F.size(plan["line_plan"]) == lines) & sound, plan)
 
 
+LOOSE_PLAN = PLAN[: PLAN.index("line_plan")] + "line_plan:array<string>>"
+
+
+def parse_loose_plan(raw: Column, lines: int = 4) -> Column:
+    """A plan whose lines are sentences, or anything else that JSON has, as text; null unless all keys are there and
+    there are as many lines as wanted."""
+    plan = F.from_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0), LOOSE_PLAN)
+    full = F.lit(True)
+    for k in ("recipient", "wish_intent", "keywords", "imagery", "tone", "line_plan"):
+        full = full & plan[k].isNotNull()
+    return F.when(full & (F.size(plan["line_plan"]) == lines), plan)
+
+
 CRITIC = "struct<decision:string,issues:array<string>,repair_instruction:string>"
 # How the parts of a broken verdict are found, and what stands for those that are missing.
 BROKEN = {
@@ -297,3 +310,11 @@ def plan_sources(df: DataFrame, order: str, text: str = "text", unit: str = "uni
     """`df` with `pilot_id`: the first full poems, in order, that have enough lines, as sources of plans."""
     rows = df.where((F.col(unit) == "raw_labeled_full_poem") & (F.size(tx.any_lines(F.col(text))) >= least_lines)).orderBy(order).limit(limit)
     return rows.withColumn("pilot_id", F.format_string("PLAN-%03d", F.row_number().over(Window.orderBy(order))))
+
+
+def domain_stats(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row: records and tokens (parted by white space) of a table, and of its different texts."""
+    tokens = F.size(F.filter(F.split(F.col(text), f"{T.WS}+"), lambda w: w != "")).cast("long")
+    each = df.where(F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("digest")).agg(F.count("*").alias("n"), F.first(tokens).alias("tokens"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(name)
+    return each.agg(total(F.col("n"), "records"), F.count("*").alias("unique_records"), total(F.col("n") * F.col("tokens"), "tokens"), total(F.col("tokens"), "unique_tokens"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from versemill.functions import phonetics as ph
+from versemill.functions import registry
 from versemill.functions import tables as T
 from versemill.functions import text as tx
 from versemill.operators import agent as ag
@@ -13,13 +13,14 @@ from versemill.operators import audit as au
 from versemill.operators import lines as ln
 from versemill.operators import prompts as pr
 from versemill.operators import trie as tr
+from versemill.operators import web
 from versemill.operators import decode
 from versemill.plans import sql as S
 from versemill.plans.corpus_queries import MATERIAL
 from versemill.plans.lineage import cut
-from versemill.plans.poem_queries import DOCS, POEMS, WEB
+from versemill.plans.poem_queries import DOCS, POEMS, WEB, eval_sql
 from versemill.plans.session import table
-from versemill.plans.verse_queries import _DICT, poem_couplets
+from versemill.plans.verse_queries import _DICT, _DOC_LINES, _GATED, _words_of, gated_windows, poem_couplets, token_column
 
 QUERIES, SQL = {}, {}
 
@@ -390,41 +391,159 @@ def decode_verify(spark, sf_dir):
     return tr.verify(rows, tr.nodes(sequences(spark, sf_dir)))
 
 
-@query()
+_WIN = f"SELECT id, pos, win, sha256(lower({S.strip('translate(nfc_normalize(win), chr(13), ' + chr(39) * 2 + ')')})) AS fp FROM ({_GATED})"
+_NO_ORPHAN = f"len(list_filter({S.words('nfc_normalize(text)')}, lambda t: list_contains({S.array(T.ORPHAN_VOWELS)}, t))) = 0"
+_SELECTED = f"""w0 AS MATERIALIZED ({_WIN}), w1 AS MATERIALIZED (SELECT id * 1000000 + pos AS key, id AS page, pos AS spot, win AS text, fp FROM w0 QUALIFY row_number() OVER (PARTITION BY id, fp ORDER BY pos) = 1),
+w2 AS MATERIALIZED (SELECT w1.page, w1.spot, w1.fp, concat_ws(',', CASE WHEN q.rma < 50 THEN 'low_rhyme_score' END, CASE WHEN q.tcr < 70 THEN 'low_tone_score' END) AS reason FROM w1 JOIN {eval_sql('w1', 'key', 'CAST(4 AS INT)')} q ON q.id = w1.key WHERE q.structure_ok AND {_NO_ORPHAN.replace('text', 'w1.text')}),
+w3 AS (SELECT page, unnest(list_reduce(list_transform(list_sort(list(spot)), lambda o: [o]), lambda x, y: CASE WHEN y[1] >= x[-1] + 4 THEN list_concat(x, y) ELSE x END)) AS spot FROM w2 GROUP BY page),
+w4 AS (SELECT page, spot, fp, reason, CASE WHEN reason = '' THEN 'accepted' ELSE 'review' END AS bucket FROM w2 JOIN w3 USING (page, spot)), w5 AS (SELECT * FROM w4 QUALIFY row_number() OVER (PARTITION BY fp, bucket ORDER BY page, spot) = 1),
+kept AS (SELECT w5.page, w5.spot, w5.fp, w5.bucket, w5.reason FROM w5 LEFT JOIN (SELECT fp, page AS first FROM w5 WHERE bucket = 'accepted') f USING (fp) WHERE bucket = 'accepted' OR first IS NULL OR first > page)"""
+
+
+@query(f"WITH {_SELECTED} SELECT page AS id, spot AS pos, fp AS fingerprint, bucket, reason AS review_reason FROM kept")
 def page_select(spark, sf_dir):
     """Documents as pages: season windows judged, overlaps and repeats dropped, accepted or for review."""
-    from versemill.operators import web
-    from versemill.plans.verse_queries import gated_windows
-
     return web.select_windows(gated_windows(spark, sf_dir))
 
 
-@query()
+_TOKENS = f"SELECT id, unnest(a) AS tok, generate_subscripts(a, 1) - 1 AS i FROM (SELECT rec_no AS id, string_split(lower(regexp_replace(nfc_normalize(text), '[^\\p{{L}}\\n ]+', '', 'g')), '') AS a FROM {WEB} WHERE text IS NOT NULL) WHERE a <> ['']"
+_STEPPED = f"""t0 AS (SELECT id, i, tok, tok IN (' ', chr(10)) AS cut FROM ({_TOKENS})), t1 AS (SELECT *, sum(cut::INT) OVER (PARTITION BY id ORDER BY i)::BIGINT AS g FROM t0),
+t2 AS (SELECT *, (first_value(tok) OVER h = ' ')::INT AS root, array_to_string(list_filter(list(tok) OVER h, lambda x: x <> chr(10)), chr(1)) AS walked, array_to_string(list_filter(list(tok) OVER (PARTITION BY id, g ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), lambda x: x NOT IN (' ', chr(10))), '') AS syl FROM t1 WINDOW h AS (PARTITION BY id, g ORDER BY i)),
+t3 AS MATERIALIZED (SELECT *, lag(walked) OVER p AS before, lag(root) OVER p AS before_root FROM t2 WINDOW p AS (PARTITION BY id ORDER BY i))"""
+
+
+def characters(spark, sf_dir) -> DataFrame:
+    """Every window as a sequence of characters."""
+    clean = F.lower(F.regexp_replace(tx.nfc(F.col("text")), r"[^\p{L}\n ]+", ""))
+    return table(spark, sf_dir, WEB).where("text IS NOT NULL").select(F.col("rec_no").alias("id"), F.filter(F.split(clean, ""), lambda c: c != "").alias("tokens"))
+
+
+@query(f"WITH {_STEPPED} SELECT id, i, g AS syllable_no, root, md5(coalesce(before, '')) AS before, syl AS syllable FROM t3")
+def decode_steps(spark, sf_dir):
+    """The state of a decoder before each character of each window."""
+    rows = decode.steps(characters(spark, sf_dir))
+    return rows.select("id", F.col("i").cast("long").alias("i"), F.col("syllable_no").cast("long").alias("syllable_no"), "root", F.md5(F.coalesce("before", F.lit(""))).alias("before"), "syllable")
+
+
+_BANG_OF = lambda x: f"{x} IN ('ngang', 'huyền')"
+
+
+@query(
+    f"""WITH {_STEPPED}, nd AS (SELECT root, array_to_string(tk[:d], chr(1)) AS path, bool_or(d = len(tk)) AS complete FROM (SELECT *, unnest(range(1, len(tk) + 1)) AS d FROM ({_SEQ})) GROUP BY 1, 2),
+s0 AS (SELECT DISTINCT id, g, syl FROM t3), s1 AS (SELECT id, g, syl, lag(syl, 2) OVER o AS b2, lag(syl, 6) OVER o AS b6, g % 14 AS p FROM s0 WINDOW o AS (PARTITION BY id ORDER BY g)),
+s2 AS (SELECT *, {S.tone('syl')} AS t, CASE WHEN b2 IS NOT NULL THEN {S.tone('b2')} END AS t2 FROM s1),
+s3 AS (SELECT id, g, (CASE WHEN CASE WHEN p IN (1, 5, 7, 11) THEN NOT {_BANG_OF('t')} WHEN p IN (3, 9) THEN {_BANG_OF('t')} WHEN p = 13 THEN CASE WHEN t2 = 'ngang' THEN t <> 'huyền' WHEN t2 = 'huyền' THEN t <> 'ngang' ELSE NOT {_BANG_OF('t')} END ELSE false END THEN 1.5 ELSE 0 END + CASE WHEN p IN (5, 11) AND b6 IS NOT NULL AND {S.kind(S.rhyme('b6'), S.rhyme('syl'))} IS NULL THEN 3.0 ELSE 0 END)::DOUBLE AS cost FROM s2),
+a0 AS (SELECT t3.id, t3.g, t3.i, t3.tok, t3.cut, a.path IS NOT NULL AS node, coalesce(b.complete, false) AS ended, (t3.g % 14 IN (6, 0) AND t3.g > 0) AS line_end FROM t3 LEFT JOIN nd a ON a.root = t3.root AND a.path = t3.walked LEFT JOIN nd b ON b.root = t3.before_root AND b.path = t3.before)
+SELECT a0.id, count(*) AS steps, count(*) FILTER ((node OR tok = chr(10)) AND (NOT cut OR ended) AND CASE WHEN tok = chr(10) THEN line_end WHEN tok = ' ' THEN NOT line_end ELSE true END) AS allowed, any_value(c.penalty) AS penalty FROM a0 JOIN (SELECT id, sum(cost) AS penalty FROM s3 GROUP BY id) c USING (id) GROUP BY a0.id"""
+)
 def decode_trace(spark, sf_dir):
     """Every window as a sequence of characters: what a decoder over the rhyme dictionary would have
     allowed, and the penalties of its tones and rhymes, summed by window."""
-    clean = F.lower(F.regexp_replace(tx.nfc(F.col("text")), r"[^\p{L}\n ]+", ""))
-    rows = table(spark, sf_dir, WEB).where("text IS NOT NULL").select(F.col("rec_no").alias("id"), F.filter(F.split(clean, ""), lambda c: c != "").alias("tokens"))
-    found = decode.traced(rows, tr.nodes(sequences(spark, sf_dir)))
+    found = decode.traced(characters(spark, sf_dir), tr.nodes(sequences(spark, sf_dir)))
     return found.groupBy("id").agg(F.count("*").alias("steps"), F.sum(F.col("allowed").cast("long")).alias("allowed"), F.sum("penalty").alias("penalty"))
 
 
-@query()
+_GROUPS = f"SELECT id AS grp, list(line ORDER BY pos) AS a, count(*) AS n FROM ({_DOC_LINES}) GROUP BY id"
+
+
+@query(
+    f"""WITH RECURSIVE g0 AS MATERIALIZED ({_GROUPS}), v0 AS MATERIALIZED (SELECT grp * 1000000 + k AS key, grp, k AS pos, array_to_string(a[k + 1 : k + 4], chr(10)) AS text FROM (SELECT grp, a, unnest(range(0, n - 3)) AS k FROM g0 WHERE n >= 4)),
+v1 AS MATERIALIZED (SELECT v0.*, q.structure_ok AS sound, NOT ({_NO_ORPHAN.replace('text', 'v0.text')}) AS bad, q.tcr >= 70 AND q.rma >= 50 AS good FROM v0 JOIN {eval_sql('v0', 'key', 'CAST(4 AS INT)')} q ON q.id = v0.key),
+v2 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY grp, pos) AS n, grp, pos, good, sha256(lower(nfc_normalize(text))) AS digest FROM v1 WHERE sound AND NOT bad),
+f AS (SELECT 0::BIGINT AS n, -1::BIGINT AS grp, -9::BIGINT AS last, []::VARCHAR[] AS seen, '' AS state, false AS good UNION ALL SELECT v2.n, v2.grp, CASE WHEN v2.grp = f.grp AND v2.pos < f.last + 4 OR list_contains(f.seen, v2.digest) THEN CASE WHEN v2.grp = f.grp THEN f.last ELSE -9 END ELSE v2.pos END,
+CASE WHEN v2.grp = f.grp AND v2.pos < f.last + 4 OR list_contains(f.seen, v2.digest) THEN f.seen ELSE list_append(f.seen, v2.digest) END, CASE WHEN v2.grp = f.grp AND v2.pos < f.last + 4 THEN 'overlap' WHEN list_contains(f.seen, v2.digest) THEN 'repeat' ELSE 'taken' END, v2.good FROM f JOIN v2 ON v2.n = f.n + 1)
+SELECT (SELECT count(*) FROM g0) AS source_groups, (SELECT count(*) FROM g0 WHERE n = 2) AS two_line_units, (SELECT count(*) FROM g0 WHERE n < 4) AS under_four_lines, (SELECT count(*) FROM v1) AS windows_scanned, (SELECT count(*) FROM v1 WHERE sound) AS structure_ok_windows, (SELECT count(*) FROM v1 WHERE sound AND bad) AS lexical_rejected,
+count(*) FILTER (state = 'overlap') AS overlap_rejected, count(*) FILTER (state = 'repeat') AS exact_duplicates, count(*) FILTER (state = 'taken' AND good) AS strict_records, count(*) FILTER (state = 'taken' AND NOT good) AS review_records FROM f"""
+)
 def manual_import(spark, sf_dir):
     """Every document as a pasted group: what the import counts, windows that repeat earlier ones left free."""
-    from versemill.operators import web
-
     rows = ln.rendered_lines(table(spark, sf_dir, DOCS), "doc_id")
     groups = rows.groupBy(F.col("id").alias("grp")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
     return web.manual_import(groups)[2]
 
 
-@query()
+@query(f"WITH {_SELECTED}, l AS (SELECT id, count(*) AS n FROM ({_DOC_LINES}) GROUP BY id), s AS (SELECT id, count(*) AS n FROM w0 GROUP BY id), k AS (SELECT page AS id, count(*) FILTER (bucket = 'accepted') AS accepted, count(*) FILTER (bucket = 'review') AS review FROM kept GROUP BY page) SELECT count(*) AS pages, sum(l.n)::BIGINT AS rendered_lines, coalesce(sum(s.n), 0)::BIGINT AS scanned_windows, coalesce(sum(accepted), 0)::BIGINT AS accepted, coalesce(sum(review), 0)::BIGINT AS review, count(*) FILTER (coalesce(accepted + review, 0) = 0) AS empty_pages FROM l LEFT JOIN s USING (id) LEFT JOIN k USING (id)")
 def crawl_audit(spark, sf_dir):
     """Documents as pages: the totals of a crawl."""
-    from versemill.operators import web
-    from versemill.plans.verse_queries import gated_windows
-
     rows = ln.rendered_lines(table(spark, sf_dir, DOCS), "doc_id")
     windows = cut(gated_windows(spark, sf_dir), "windows")
     return web.crawl_totals(web.page_audit(rows, windows, web.select_windows(windows)))
+
+
+@query(
+    f"""WITH n AS MATERIALIZED ({_NODES}), mk AS (SELECT token, bit_or(bit) AS mb, coalesce(list(DISTINCT gid) FILTER (gid IS NOT NULL), []) AS mg FROM (SELECT unnest(list_distinct(tk)) AS token, bit, gid FROM ({_SEQ})) GROUP BY 1), s AS MATERIALIZED (SELECT *, {_FORCED} AS forced FROM ({_STATES})),
+w AS (SELECT state, root, path, 'walk' AS kind, tones AS t, gids AS g, path = '' AS first FROM s WHERE forced IS NULL UNION ALL SELECT state, 1, '', 'begin', next_tones, next_gids, true FROM s WHERE forced IS NULL AND complete),
+c AS (SELECT w.state, n.token, CASE WHEN first THEN CASE WHEN w.t <> 7 AND mk.mb & w.t = 0 THEN 1.5 ELSE 0 END + CASE WHEN w.g IS NOT NULL AND NOT list_has_any(mk.mg, w.g) THEN 3.0 ELSE 0 END ELSE 0 END::DOUBLE AS penalty FROM w JOIN n ON n.root = w.root AND n.parent = w.path JOIN mk USING (token))
+SELECT state, token, max(penalty) AS penalty FROM c GROUP BY state, token"""
+)
+def decode_soft(spark, sf_dir):
+    """What the first tokens of syllables would cost a soft decoder at every node of the trie."""
+    rows = cut(sequences(spark, sf_dir), "sequences")
+    nodes = cut(tr.nodes(rows), "nodes")
+    found = decode.allowed_set(decode_states(nodes), nodes, tr.token_masks(rows), strict=False)
+    return found.where("token IS NOT NULL").select("state", "token", "penalty")
+
+
+@query(
+    f"SELECT rec_no, CASE WHEN rec_no % 3 = 0 THEN 'Chúc ' || r || ': ' || w ELSE w END AS wish, CASE WHEN lower(w) = 'xuân' OR w = '' THEN 'xuân' ELSE coalesce(nullif(w, ''), '') || '|xuân' END AS keywords, CASE WHEN w = '' THEN 'wish_intent' WHEN rec_no % 3 = 0 AND r = '' THEN 'recipient' WHEN lower(w) = 'xuân' THEN 'keywords' END AS fault FROM (SELECT rec_no, {S.squeeze('coalesce(title, ' + chr(39) * 2 + ')')} AS w, {S.squeeze('coalesce(source_id, ' + chr(39) * 2 + ')')} AS r FROM {POEMS})"
+)
+def metadata_normal(spark, sf_dir):
+    """The protocol's metadata made of titles and sources: wish, keywords of different spellings, first fault."""
+    n, title = F.col("rec_no"), F.col("title")
+    keys = F.array(title, F.lit(" xuân "), F.lit("XUÂN"), F.lit(" "))
+    m = ag.normalize_metadata(title, F.when(n % 3 == 0, F.coalesce("source_id", F.lit(""))), F.filter(keys, lambda k: k.isNotNull()), F.lit(4), F.lit("tet4-v1"))
+    rows = tx.settle(table(spark, sf_dir, POEMS).select("rec_no", "title", "source_id"), m=m)
+    return rows.select("rec_no", F.col("m.wish_intent").alias("wish"), F.array_join("m.keywords", "|").alias("keywords"), F.col("m.fault").alias("fault"))
+
+
+@query(f"SELECT note, CASE WHEN v IN ('A', 'B', 'TIE') THEN v WHEN regexp_matches(v, '^A[^A-Z0-9]') THEN 'A' WHEN regexp_matches(v, '^B[^A-Z0-9]') THEN 'B' END AS choice, count(*) AS n FROM (SELECT note, upper({S.strip('note')}) AS v FROM (SELECT [' a ', 'B', 'tie', 'A: ', 'b)', 'A1', 'bc '][rec_no % 7 + 1] || CASE WHEN rec_no % 7 IN (3, 4) THEN coalesce(title, '') ELSE '' END AS note FROM {POEMS})) GROUP BY ALL")
+def choices(spark, sf_dir):
+    """Reviewers' notes, some with a title behind the letter, as choices."""
+    n = (F.col("rec_no") % 7).cast("int")
+    note = F.concat(F.get(F.array(*map(F.lit, [" a ", "B", "tie", "A: ", "b)", "A1", "bc "])), n), F.when(n.isin(3, 4), F.coalesce("title", F.lit(""))).otherwise(""))
+    return table(spark, sf_dir, POEMS).select(note.alias("note")).groupBy("note", au.choice(F.col("note")).alias("choice")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT rec_no, CASE WHEN text IS NOT NULL AND len(a) = 4 THEN md5(array_to_string(a, '|')) END AS plan FROM (SELECT rec_no, text, string_split(text, chr(10)) AS a FROM {POEMS})")
+def loose_plan(spark, sf_dir):
+    """Plans whose lines are plain sentences, one for each line of a text; only those of four are plans."""
+    plan = F.struct(*[F.lit("x").alias(k) for k in ("recipient", "wish_intent")], F.array(F.lit("a")).alias("keywords"), F.array(F.lit("b")).alias("imagery"), F.lit("t").alias("tone"), F.split("text", "\n").alias("line_plan"))
+    raw = F.concat(F.lit("```json\n"), F.to_json(plan), F.lit("\n```"))
+    rows = tx.settle(table(spark, sf_dir, POEMS).select("rec_no", "text"), p=F.when(F.col("text").isNotNull(), ag.parse_loose_plan(raw)))
+    return rows.select("rec_no", F.md5(F.array_join("p.line_plan", "|")).alias("plan"))
+
+
+@query(f"SELECT rec_no, CASE WHEN lower(CASE WHEN lower(r) = 'chung chung' THEN 'mọi nhà' ELSE r END) IN ('mọi nhà', 'mọi người') THEN 'general' ELSE 'specific_or_group' END AS scope FROM (SELECT rec_no, ['Chung chung', ' Mọi  người', 'ông bà', 'MỌI NHÀ', ''][rec_no % 5 + 1] AS r0, regexp_replace({S.strip('[' + chr(39) + 'Chung chung' + chr(39) + ', ' + chr(39) + ' Mọi  người' + chr(39) + ', ' + chr(39) + 'ông bà' + chr(39) + ', ' + chr(39) + 'MỌI NHÀ' + chr(39) + ', ' + chr(39) * 2 + '][rec_no % 5 + 1]')}, '[ \\t]+', ' ', 'g') AS r FROM {MATERIAL})")
+def recipient_scopes(spark, sf_dir):
+    """Whom reviewed rows are addressed to."""
+    to = F.get(F.array(*map(F.lit, ["Chung chung", " Mọi  người", "ông bà", "MỌI NHÀ", ""])), (F.col("rec_no") % 5).cast("int"))
+    rows = table(spark, sf_dir, MATERIAL).select("rec_no", F.col("text").alias("poem"), F.lit("accept").alias("decision"), to.alias("recipient"), F.lit("một|hai").alias("keywords_pipe"), F.lit("Chân thành").alias("tone"))
+    return au.gold_import(rows, "rec_no").select("rec_no", F.col("recipient_scope").alias("scope"))
+
+
+_TOKENS_OF = f"len(list_filter(regexp_split_to_array(text, {S.q(T.WS + '+')}), lambda w: w <> ''))"
+
+
+@query(f"WITH d AS (SELECT text, {_SIG} AS s FROM {DOCS} WHERE text IS NOT NULL), k AS (SELECT text, {_TOKENS_OF} AS n FROM d WHERE list_contains(s, 'tet_direct') OR (list_contains(s, 'spring_explicit') AND list_contains(s, 'reunion'))) SELECT count(*) AS records, count(DISTINCT text) AS unique_records, sum(n)::BIGINT AS tokens, (SELECT sum(n)::BIGINT FROM (SELECT DISTINCT text, n FROM k)) AS unique_tokens FROM k")
+def domain_stats(spark, sf_dir):
+    """Documents of the domain: records and tokens before and after equal texts are folded."""
+    rows = table(spark, sf_dir, DOCS).where("text IS NOT NULL").select("text", ag.signals(F.col("text")).alias("s")).where(ag.in_domain(F.col("s")))
+    return ag.domain_stats(rows, "text")
+
+
+@query(
+    f"SELECT w AS word, {S.tone('w')} AS tone, {S.rhyme('w')} AS rhyme, {S.syllable('w')} AS valid, CASE {S.tone('w')} WHEN 'ngang' THEN 0 WHEN 'huyền' THEN 1 WHEN 'unknown' THEN NULL ELSE 2 END AS bit, {S.kind(S.rhyme('w'), S.rhyme(S.q('xuân')))} AS kind FROM (SELECT DISTINCT w FROM {_words_of(DOCS)})"
+)
+def sql_functions(spark, sf_dir):
+    """The words of all documents through the functions of the SQL surface."""
+    registry.register(spark)
+    token_column(table(spark, sf_dir, DOCS)).distinct().createOrReplaceTempView("versemill_words")
+    return spark.sql("SELECT w AS word, lb_tone(w) AS tone, lb_rhyme(w) AS rhyme, lb_is_syllable(w) AS valid, lb_tone_bit(w) AS bit, lb_rhyme_kind(w, 'xuân') AS kind FROM versemill_words")
+
+
+@query(f"SELECT rec_no, count(*) AS n, md5(min(win)) AS least FROM (SELECT rec_no, k, array_to_string(a[k : k + 3], chr(10)) AS win FROM (SELECT rec_no, string_split(text, chr(10)) AS a, unnest(range(1, len(string_split(text, chr(10))) - 2)) AS k FROM {POEMS} WHERE text IS NOT NULL)) GROUP BY rec_no")
+def sql_windows(spark, sf_dir):
+    """Windows of four lines by the table function of the SQL surface."""
+    registry.register(spark)
+    table(spark, sf_dir, POEMS).createOrReplaceTempView("versemill_poems")
+    return spark.sql("SELECT rec_no, count(*) AS n, md5(min(w.window)) AS least FROM versemill_poems, LATERAL lb_windows(text, 4) w WHERE text IS NOT NULL GROUP BY rec_no")
