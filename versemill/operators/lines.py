@@ -115,10 +115,12 @@ def greedy(offsets: Column, size: int = 4) -> Column:
     return F.aggregate(F.sort_array(offsets), start, step, lambda s: s["taken"])
 
 
-def blocks(rows: DataFrame, size: int = 4) -> DataFrame:
-    """(id, block, kind, block_text, before, after, remainder): lines cut into full blocks, with context.
+def blocks(rows: DataFrame, size: int = 4, context: int | None = None) -> DataFrame:
+    """(id, block, kind, first_line, block_text, before, after, remainder): lines cut into full blocks, with context.
 
-    kind tells a text of one block from leading, trailing and interior ones.
+    kind tells a text of one block from leading, trailing and interior ones. `context` is the number of lines
+    before and after that a block carries. With None it carries all of them, so the result grows with the
+    square of a text; for long texts name a number, first_line (from 0) leads to the rest.
     """
     whole = rows.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("all"))
     n = F.size("all")
@@ -128,12 +130,15 @@ def blocks(rows: DataFrame, size: int = 4) -> DataFrame:
     kind = F.when(F.col("n") == size, "native_four_line").when(F.col("k") == 0, "derived_leading")
     kind = kind.when((F.col("k") == F.col("full") - 1) & (F.col("n") % size == 0), "derived_trailing").otherwise("derived_interior")
     join = lambda c: F.array_join(c, "\n")
+    reach = F.col("n") if context is None else F.lit(context)
+    begin = F.greatest(F.lit(0), start - reach)
     return parts.select(
         "id",
         (F.col("k") + 1).alias("block"),
         kind.alias("kind"),
+        start.alias("first_line"),
         join(F.slice("all", start + 1, size)).alias("block_text"),
-        join(F.slice("all", F.lit(1), start)).alias("before"),
-        join(F.slice("all", start + size + 1, F.col("n"))).alias("after"),
+        join(F.slice("all", begin + 1, start - begin)).alias("before"),
+        join(F.slice("all", start + size + 1, reach)).alias("after"),
         (F.col("n") % size).alias("remainder"),
     )

@@ -547,3 +547,11 @@ def sql_windows(spark, sf_dir):
     registry.register(spark)
     table(spark, sf_dir, POEMS).createOrReplaceTempView("versemill_poems")
     return spark.sql("SELECT rec_no, count(*) AS n, md5(min(w.window)) AS least FROM versemill_poems, LATERAL lb_windows(text, 4) w WHERE text IS NOT NULL GROUP BY rec_no")
+
+
+@query(f"WITH {_STEPPED}, k AS (SELECT DISTINCT unnest(tk) AS token FROM ({_SEQ})) SELECT tok AS token, CASE WHEN tok IN (SELECT token FROM k) THEN 'text of ' || tok ELSE '' END AS text FROM (SELECT DISTINCT tok FROM t0)")
+def token_texts(spark, sf_dir):
+    """The characters of all windows by the table of the dictionary's characters; those outside it have no text."""
+    tokens = characters(spark, sf_dir).select(F.explode("tokens").alias("token")).distinct()
+    known = sequences(spark, sf_dir).select(F.explode("tokens").alias("token")).distinct()
+    return decode.token_texts(tokens, known.withColumn("text", F.concat(F.lit("text of "), "token")))

@@ -145,6 +145,19 @@ def rank_blend(spark, sf_dir):
     return rk.blend(pools(spark, sf_dir).join(raw, "rec_no", "left"), 0.05)
 
 
+_WITH_COLLOCATION = f"round_even(score_ + 0.05::DOUBLE * coalesce(greatest(0, least(1, (raw + 12) / 8)), 0), 4)"
+
+
+@query(f"SELECT id, abs(total - (score + 0.05::DOUBLE * coalesce(greatest(0, least(1, (raw + 12) / 8)), 0))) < 0.0002 AS adds_up, raw IS NOT NULL AS scored FROM (SELECT r.id, r.score, p.raw, {_WITH_COLLOCATION} AS total FROM (SELECT *, {_total(T.RANK_WEIGHTS)} AS score_ FROM ({_RANKED})) r LEFT JOIN ({_PER_POEM}) p USING (id))")
+def rerank_collocation(spark, sf_dir):
+    """The ranking score with the collocation score as its sixth part: it adds its weight and nothing else."""
+    raw = co.poem_scores(scored(spark, sf_dir)).select(F.col("id").alias("rec_no"), "raw")
+    part = co.bounded(F.col("raw"))
+    rows = pools(spark, sf_dir).join(raw, "rec_no", "left")
+    whole = rk.total(F.col("parts"), {**T.RANK_WEIGHTS, "collocation": 0.05}, {"collocation": part})
+    return rows.select(F.col("rec_no").alias("id"), (F.abs(whole - (F.col("score") + 0.05 * part)) < 0.0002).alias("adds_up"), F.col("raw").isNotNull().alias("scored"))
+
+
 _CP = f"SELECT r.pool, r.idx, r.overall, round_even(p.raw, 4) AS lp FROM ({_RANKED}) r JOIN ({_PER_POEM}) p USING (id)"
 
 

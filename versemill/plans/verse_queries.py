@@ -174,6 +174,13 @@ def tumbling_blocks(spark, sf_dir):
     return rows.select("id", F.col("block").cast("long").alias("block"), "kind", F.md5("block_text").alias("digest"), F.length("before").cast("long").alias("before_chars"), F.length("after").cast("long").alias("after_chars"), F.col("remainder").cast("long").alias("remainder"))
 
 
+@query(f"SELECT id, k AS block, (k - 1) * 4 AS first_line, md5(coalesce(array_to_string(a[greatest(1, (k - 1) * 4 - 1) : (k - 1) * 4], chr(10)), '')) AS before, md5(coalesce(array_to_string(a[k * 4 + 1 : k * 4 + 2], chr(10)), '')) AS after FROM (SELECT id, a, n, unnest(range(1, n // 4 + 1)) AS k FROM (SELECT id, list(line ORDER BY pos) AS a, count(*) AS n FROM ({_DOC_LINES}) GROUP BY id) WHERE n >= 4)")
+def block_context(spark, sf_dir):
+    """Blocks of the documents, long ones too, with two lines before and after."""
+    rows = ln.blocks(ln.rendered_lines(table(spark, sf_dir, DOCS), "doc_id"), context=2)
+    return rows.select("id", F.col("block").cast("long").alias("block"), F.col("first_line").cast("long").alias("first_line"), F.md5("before").alias("before"), F.md5("after").alias("after"))
+
+
 @query(
     f"SELECT rec_no, CAST(CASE WHEN len(a) = 0 THEN '' ELSE array_to_string(a, chr(10)) END AS VARCHAR) AS staged FROM (SELECT rec_no, list_filter(list_transform(regexp_split_to_array(nfc_normalize(coalesce(text, '')), '\\r\\n|\\r|\\n'), lambda x: {S.squeeze('x')}), lambda x: x <> '') AS a FROM {WEB})"
 )
