@@ -360,7 +360,7 @@ def shared_amount(df: DataFrame, key: str = "doc_id", text: str = "text", least:
     """
     members, docs, buckets = _classes(df, key, text, least)
     hot = _meet(_blobs(docs, least, buckets), buckets, paired=1).where("b IS NULL").select("a", "h").distinct()
-    runs = cut(_runs_at(docs, hot, least, buckets).distinct(), "runs")
+    runs = cut(_runs_at(docs, hot, least, buckets), "runs")
     several = runs.groupBy("run").agg(F.min("rec").alias("x"), F.max("rec").alias("y")).where("x <> y").select("run")
     places = runs.join(several, "run", "left_semi").select("rec", "begin").distinct()
     gain = F.least(F.lit(least).cast("long"), F.coalesce(F.col("begin") - F.lag("begin").over(Window.partitionBy("rec").orderBy("begin")), F.lit(least)))
