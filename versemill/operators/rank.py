@@ -70,7 +70,7 @@ def sweep(df: DataFrame, sets: dict[str, dict[str, float]]) -> DataFrame:
     best = F.max(F.struct("score", (-F.col("idx")).alias("i"), "overall"))["overall"]
     per = rows.groupBy("weights", "pool").agg(F.max("overall").alias("most"), best.alias("best"), pearson(F.col("score"), F.col("overall")).alias("corr"))
     agree = (F.abs(F.col("best") - F.col("most")) < 1e-9).cast("double")
-    return per.groupBy("weights").agg(F.count("*").alias("pools"), F.bround(F.avg(agree), 4).alias("top1_agree"), F.bround(F.avg("best"), 3).alias("mean_overall"), F.round(F.avg("corr"), 4).alias("mean_correlation"))
+    return per.groupBy("weights").agg(F.count("*").alias("pools"), F.bround(F.avg(agree), 4).alias("top1_agree"), F.bround(F.avg("best"), 3).alias("mean_overall"), F.round(F.avg("corr"), 2).alias("mean_correlation"))
 
 
 def benchmark_totals(df: DataFrame) -> DataFrame:

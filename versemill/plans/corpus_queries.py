@@ -93,7 +93,7 @@ _CORR = lambda x, y: f"coalesce(CASE WHEN stddev_pop({x}) * stddev_pop({y}) = 0
 @query(
     f"""WITH parts AS MATERIALIZED ({_PARTS}), swept AS (SELECT v.weights, pool, idx, overall, round_even(0.0::DOUBLE + w1 * p1 + w2 * p2 + w3 * p3 + w4 * p4 + w5 * p5, 4) AS score FROM parts, (VALUES {_SETS}) v(weights, w1, w2, w3, w4, w5)),
 placed AS (SELECT *, max(overall) OVER (PARTITION BY weights, pool) AS most, row_number() OVER (PARTITION BY weights, pool ORDER BY score DESC, idx) AS place FROM swept), per AS (SELECT weights, pool, {_CORR('score', 'overall')} AS corr FROM swept GROUP BY ALL)
-SELECT weights, count(*) AS pools, round_even(avg((abs(overall - most) < 1e-9)::INT::DOUBLE), 4) AS top1_agree, round_even(avg(overall), 3) AS mean_overall, round(avg(corr), 4) AS mean_correlation FROM placed JOIN per USING (weights, pool) WHERE place = 1 GROUP BY weights"""
+SELECT weights, count(*) AS pools, round_even(avg((abs(overall - most) < 1e-9)::INT::DOUBLE), 4) AS top1_agree, round_even(avg(overall), 3) AS mean_overall, round(avg(corr), 2) AS mean_correlation FROM placed JOIN per USING (weights, pool) WHERE place = 1 GROUP BY weights"""
 )
 def weight_sweep(spark, sf_dir):
     """All thirteen sets of weights over all pools."""

@@ -150,7 +150,8 @@ def read_phrase_list(spark, sf_dir):
     return spark.createDataFrame([(len(found), len(set(found)))], "n long, titles long")
 
 
-_LINES = f"SELECT id, pos, {S.strip('regexp_replace(' + S.q('câu ') + ' || line, ' + S.q('[“”' + chr(34) + ']+$') + ', ' + chr(39) * 2 + ')')} AS line FROM ({_rendered(POEMS, 'rec_no')})"
+_CALLED = lambda unseen: S.strip("regexp_replace(nfc_normalize('câu ' || line), " + S.q(f"[{unseen}]") + ", '', 'g')")
+_LINES = f"SELECT id, pos, {S.strip('regexp_replace(' + _CALLED('\\x{feff}') + ', ' + S.q('[“”' + chr(34) + ']+$') + ', ' + chr(39) * 2 + ')')} AS line FROM ({_rendered(POEMS, 'rec_no')})"
 
 
 def _pasted(spark, sf_dir, head: list, foot: list) -> DataFrame:
@@ -171,7 +172,7 @@ def read_labeled_paste(spark, sf_dir):
     return found.select("file", "url", "category", "label", F.md5(F.array_join("lines", "\n")).alias("digest"))
 
 
-@query(f"SELECT id AS file, 'https://b.example/' || id AS url, CASE WHEN extra THEN 'Ẩn danh' END AS author, CASE WHEN extra THEN md5('một' || chr(10) || 'hai') ELSE md5(string_agg(line, chr(10) ORDER BY pos)) END AS digest FROM (SELECT id, pos, {S.strip(S.q('câu ') + ' || line')} AS line FROM ({_rendered(POEMS, 'rec_no')})), (VALUES (false), (true)) v(extra) GROUP BY id, extra")
+@query(f"SELECT id AS file, 'https://b.example/' || id AS url, CASE WHEN extra THEN 'Ẩn danh' END AS author, CASE WHEN extra THEN md5('một' || chr(10) || 'hai') ELSE md5(string_agg(line, chr(10) ORDER BY pos)) END AS digest FROM (SELECT id, pos, {_CALLED('\\x{200b}\\x{feff}')} AS line FROM ({_rendered(POEMS, 'rec_no')})), (VALUES (false), (true)) v(extra) GROUP BY id, extra")
 def read_manual_paste(spark, sf_dir):
     """Poems pasted with address and author; numbers before lines go, blank lines do not end a group."""
     rows = _pasted(spark, sf_dir, ["Nguồn: https://b.example/{n}"], ["Khám phá thêm", "Tác giả: Ẩn danh", "1. một", "", "2) hai"])
