@@ -67,12 +67,6 @@ def test_splits_leaks_samples(spark):
         assert (r.a, r.b) == ((r.c, r.s) if r.a_is_left else (r.s, r.c))
 
 
-def test_materials_keep_first_and_all_references(spark):
-    df = spark.createDataFrame([(1, "x", "a"), (2, "X", "b"), (3, "x", "a"), (4, "y", None)], "o long, t string, ref string")
-    got = {r.first: (r.refs, r.n) for r in dd.merge_materials(df, F.lower("t"), "o", F.coalesce("ref", F.lit(""))).collect()}
-    assert got == {1: (["a", "b"], 3), 4: ([""], 1)}
-
-
 def test_requests_and_raw_output(spark):
     df = spark.createDataFrame([("Viết bài thơ 6 câu về mùa xuân, vần an nhé",), ("chúc Tết",)], "p string")
     got = [r.m for r in df.select(ag.parse_request(F.col("p")).alias("m")).collect()]
@@ -111,7 +105,7 @@ def test_topics_answers_and_manifests(spark):
 
 
 def test_audits_and_tallies(spark):
-    rows = [("4", "3", "0", "accept")] * 8 + [("2", "2", "1", "reject")] * 2 + [("9", "x", "0", "accept")]
+    rows = [("4", "3", "0", "accept")] * 8 + [("2", "2", "1", "reject")] * 2
     r = au.audit_summary(spark.createDataFrame(rows, "a string, b string, c string, d string"), "a", "b", "c", "d").first()
     assert (r.n, r.accepted, r.sensitive, r.accept_rate, r.gate_passed) == (10, 8, 2, 0.8, True)
     ratings = spark.createDataFrame([(1, "A"), (2, "B"), (3, "TIE")], "pair_id int, preference string")
